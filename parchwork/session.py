@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: Rows of an Arrow batch of texts or files.
+BATCH_ROWS = 1000
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -37,8 +40,13 @@ def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from the same place as the driver.
 
     On a cluster the package is installed or sent with ``--py-files``; this
-    only adds the checkout to the workers' search path.
+    only adds the checkout to the workers' search path. Rows here are whole
+    texts or files, so Arrow batches are kept to ``BATCH_ROWS`` of them unless
+    the session says otherwise.
     """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":  # the default
+        spark.conf.set(batch, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
