@@ -6,17 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchwork.llm import mixing
+from pyspark.sql import functions as F
+
+from parchwork.llm import langid, mixing, pieces
+from parchwork.llm.text import crc_fold
 from parchwork.session import attach, table
 
+#: The SentencePiece model that the queries encode with.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attach(spark)
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.read_model(MODEL))
+
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     attach(spark)
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attach(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_fold(F.col("doc_id"), 4) == 2
+    profiles = langid.train(docs.where(~held_out))
+    found = langid.predict(F.col("text"), profiles)
+    return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_mix_sources": op4_mix_sources,
+    "op9_language_id": op9_language_id,
 }
 
 SQL: dict[str, str] = {
