@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from parchwork.llm import langid, mixing, pieces
+from parchwork.llm import jaccard, langid, mixing, pieces
 from parchwork.llm.text import crc_fold
 from parchwork.session import attach, table
 
@@ -26,6 +26,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attach(spark)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     attach(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -38,9 +43,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_mix_sources": op4_mix_sources,
+    "op5_jaccard_join": op5_jaccard_join,
     "op9_language_id": op9_language_id,
 }
 
 SQL: dict[str, str] = {
     "op4_mix_sources": mixing.SQL,
+    "op5_jaccard_join": jaccard.SQL,
 }
