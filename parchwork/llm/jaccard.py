@@ -9,7 +9,7 @@ signature (cell and content), so the subsets enumerated are the single cells.
 Linked sets a and b differ in at most (a + b) / 7 shingles, hence in that many
 cells at most; a set with more occupied cells than that shares a whole occupied
 cell, and so a signature, with every set it links to. A set is *sound* if it
-occupies more than size / 3 cells, which covers any partner. Cells are chosen
+occupies more cells than that bound for its largest partner, a third of its size. Cells are chosen
 so that nearly all sets are sound; those that are not also emit each shingle as
 a signature, and two unsound linked sets share one of these. A set emits in its
 own band, and in the one below if a partner may be there.
@@ -66,8 +66,8 @@ def band_of(size: int) -> int:
 
 
 def cells(band: int) -> int:
-    """Number of cells of a band. With this many, a set at the band's upper end expects to occupy 0.4 of its size."""
-    return int(0.45 * BAND_ENDS[band]) + 4
+    """Number of cells of a band. With this many, a set at the band's upper end expects to occupy 0.37 of its size."""
+    return int(0.4 * BAND_ENDS[band]) + 4
 
 
 def bands_for(size: int) -> list[int]:
@@ -82,12 +82,12 @@ def bands_for(size: int) -> list[int]:
 
 
 def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """Signatures of a sorted set, their bands (-1: of a single shingle), and for each band by how many occupied cells the set exceeds size / 3."""
+    """Signatures of a sorted set, their bands (-1: of a single shingle), and for each band by how many its occupied cells exceed those in which a linked set can differ."""
     size = len(shingles)
     if size < BAND_ENDS[0]:  # links to equal sets only, which have its key
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8), {}
     found, bands, slack = [], [], {}
-    unsound = False
+    unsound, own = False, max(1, band_of(size))
     for band in bands_for(size):
         m = np.uint64(cells(band))
         cell = (mix(shingles + np.uint64(band + 1)) >> np.uint64(32)) * m >> np.uint64(32)
@@ -99,7 +99,9 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int,
         sums = np.add.reduceat(content, at)
         found.append(mix(sums + (cell[at] * np.uint64(0x2545F4914F6CDD1D) + np.uint64(band))))
         bands.append(np.full(len(at), band, dtype=np.int8))
-        slack[band] = len(at) - size // 3
+        # most cells in which a linked set can differ: it has up to 4/3 of the size, in the band below no more than the band's end
+        differ = (size + 4 * size // 3) // 7 if band == own else (size + int(BAND_ENDS[band])) // 7
+        slack[band] = len(at) - differ
         unsound |= slack[band] <= 0
     if unsound:
         found.append(mix(shingles + np.uint64(0x1B873593)))
