@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from parchwork.llm import jaccard, langid, linededup, mixing, pieces
+from parchwork.llm import jaccard, langid, linededup, mixing, pieces, secrets
+from parchwork.llm import spans as S
 from parchwork.llm.text import crc_fold
 from parchwork.session import attach, table
 
@@ -36,6 +37,15 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    found = secrets.findings(versions, secrets.scan(versions))
+    kinds = {r.name: F.col(f"found_{r.name}") for r in secrets.RULES}
+    base = {k: kinds[k] for k in secrets.BASE}
+    counts = [F.size(c).cast("long").alias(f"n_{k}") for k, c in base.items()]
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(S.written(base, by_start=True), 256).alias("base_sha256"), S.written(kinds, by_start=True).alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     attach(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -50,10 +60,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_secret_ledger": op6_secret_ledger,
     "op9_language_id": op9_language_id,
 }
 
 SQL: dict[str, str] = {
     "op4_mix_sources": mixing.SQL,
     "op5_jaccard_join": jaccard.SQL,
+    "op6_secret_ledger": secrets.SQL,
 }
