@@ -5,6 +5,7 @@ Everything here works on a session the caller owns; nothing starts a cluster.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from pathlib import Path
@@ -73,6 +74,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that only dead plans refer to, before more disk is needed.
+
+    Spark removes them once the JVM has collected the plans, which a driver
+    with memory to spare may not do for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def output_columns(df: DataFrame, names: list[str]) -> list[str]:
     """Columns of ``df`` that do not clash (in any case) with ``names``."""
     taken = {n.lower() for n in names}
