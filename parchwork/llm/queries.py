@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from parchwork.llm import jaccard, langid, linededup, mixing, pieces, secrets
+from parchwork.llm import jaccard, langid, linededup, mixing, pieces, pii, secrets
 from parchwork.llm import spans as S
 from parchwork.llm.text import crc_fold
 from parchwork.session import attach, table
@@ -46,6 +46,16 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(S.written(base, by_start=True), 256).alias("base_sha256"), S.written(kinds, by_start=True).alias("spans"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attach(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    base = {k: F.col(f"found_{k}") for k in pii.BASE}
+    kinds = base | {k: F.col(f"found_{k}") for k in pii.PROPOSED}
+    counts = [F.size(c).cast("long").alias(f"n_{k}") for k, c in base.items()]
+    return found.select("doc_id", *counts, F.sha2(S.written(base, by_start=False), 256).alias("base_sha256"), S.written(kinds, by_start=False).alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     attach(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -61,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_secret_ledger": op6_secret_ledger,
+    "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
 }
 
@@ -68,4 +79,5 @@ SQL: dict[str, str] = {
     "op4_mix_sources": mixing.SQL,
     "op5_jaccard_join": jaccard.SQL,
     "op6_secret_ledger": secrets.SQL,
+    "op8_personal_data": pii.SQL,
 }
