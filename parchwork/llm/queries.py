@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from parchwork.llm import jaccard, langid, linededup, mixing, pieces, pii, secrets
+from parchwork.llm import jaccard, langid, linededup, mixing, pieces, pii, quadratic, quality_rules, secrets
 from parchwork.llm import spans as S
 from parchwork.llm.text import crc_fold
 from parchwork.session import attach, table
@@ -22,6 +22,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.read_model(MODEL))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attach(spark)
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     attach(spark)
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -46,6 +51,16 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(S.written(base, by_start=True), 256).alias("base_sha256"), S.written(kinds, by_start=True).alias("spans"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attach(spark)
+    stats = quadratic.statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    model = quadratic.fit(stats.where(~held_out), labels)
+    scored = stats.select("doc_id", held_out.alias("held_out"), quadratic.score(F.col("stats"), model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     attach(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,10 +82,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_secret_ledger": op6_secret_ledger,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
 }
