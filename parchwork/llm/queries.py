@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from parchwork.llm import jaccard, langid, linededup, mixing, pieces, pii, quadratic, quality_rules, secrets
+from parchwork.llm import forest, jaccard, langid, linededup, mixing, pieces, pii, quadratic, quality_rules, secrets
 from parchwork.llm import spans as S
 from parchwork.llm.text import crc_fold
 from parchwork.session import attach, table
@@ -80,6 +80,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attach(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return forest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
+    "op10_hash_prefix_forest": op10_hash_prefix_forest,
 }
 
 SQL: dict[str, str] = {
