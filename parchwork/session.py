@@ -8,6 +8,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,11 +68,24 @@ def cut(df: DataFrame) -> DataFrame:
     as in a local test, a temporary folder is used. Lost executors therefore
     cost a re-read of shared files, not the rows.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where none is configured, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="parchwork-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def release(spark: SparkSession) -> None:
