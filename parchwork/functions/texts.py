@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from parchwork.kernels.encodings import decode_text, glyph_text
 from parchwork.kernels.filters import apply_filters
@@ -44,7 +45,7 @@ def compose(text: str) -> str:
     return unicodedata.normalize("NFKC", _MODIFIER.sub(one, text))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _compose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([None if t is None else t if t.isascii() and "^" not in t and "`" not in t else compose(t) for t in texts.to_pylist()], pa.string())
@@ -55,7 +56,7 @@ def normalize(text: Column) -> Column:
     return _compose(normalize_blanks(text))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def decode_string(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Text of a byte string: UTF-16 after a byte order mark, else the document encoding."""
     for rows in batches:
@@ -73,7 +74,7 @@ def filtered(data: Column, filters: list[str], parms: list[dict] | None = None)
     return udf(data)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def glyph_name_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Text of a glyph name."""
     for rows in batches:
