@@ -17,20 +17,25 @@ own band, and in the one below if a partner may be there.
 Equal sets are one *key* (a hash of the set) from the start, so exact copies
 cost nothing further.
 
-Buckets (keys with one signature). Each member is compared with the bucket's
-least key, its pivot: as many comparisons as members. Where all members link to
-the pivot they are connected and nothing is left. Elsewhere a pair still needs
-comparing only if it lies in different components so far and at least one of
-the two is not linked to the pivot. The distance 1 - J is a metric, so a pair
-whose distances to the pivot differ by more than 1/4 can't link. Buckets of
-more than ``WIDE`` members, such as those of a passage that many documents
-hold, are needed only by pairs of which both have too few signatures elsewhere:
-if a set's signatures in narrower buckets outnumber the cells in which a
-partner may differ, each of its partners is met there.
-
-Signatures travel as packed arrays dealt by hash range, links become component
-labels by distributed label propagation, and what verification needs of a set
-is its shingles once for each pair.
+Buckets (keys with one signature). A key is compared with the pivot, the least
+key, of the bucket it shares most with, and with its other pivots if it is in
+another component than they still. Where all members of a bucket have become
+connected, nothing is left. Elsewhere, pairs of members are compared that are
+in different components and of which one at least is not in the pivot's. The
+distance 1 - J is a metric, so a pair whose distances to the pivot differ by
+more than 1/4 can't link; nor can one whose sizes and shared shingles rule it
+out. Buckets of more than ``WIDE`` members, such as those of a passage that
+many documents hold, concern only pairs of which both have too few signatures
+elsewhere: if a set's signatures in narrower buckets outnumber the cells in
+which a partner may differ, each of its partners is met there.
+
+Before any pair is formed, keys drop out that can't link: those that share
+fewer signatures than a linked set must, and then, among the rest, those of
+which less than three quarters of the shingles occur in another set.
+
+Signatures and shingles travel as packed arrays dealt by hash range, links
+become component labels by distributed label propagation, and verification
+moves a set once for each pair.
 """
 
 from __future__ import annotations
@@ -39,12 +44,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchwork.llm.components import components
 from parchwork.llm.shingles import mix, set_key, shingle_sets
-from parchwork.session import cut
+from parchwork.session import cut, release
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -111,40 +116,87 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int,
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key) of every row; the key is null for an empty set."""
+    """(doc_id, n_shingles, set_key, slack) of every row; the key is null for an empty set.
+
+    slack holds (band, slack) pairs of :func:`signatures`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+            slack: list[dict[int, int]] = [{}] * batch.num_rows
             for row, found in shingle_sets(batch.column("text")):
                 sizes[row] = len(found)
-                keys[row] = set_key(found) if len(found) else 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(keys, mask=sizes == 0)], names=["doc_id", "n_shingles", "set_key"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key long")
+                if len(found):
+                    keys[row], slack[row] = set_key(found), signatures(found)[2]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(keys, mask=sizes == 0), pa.array([list(x.items()) for x in slack], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "n_shingles", "set_key", "slack"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key long, slack map<int,int>")
+
+
+def _pack(held: list[tuple[int, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """One row for each part of the hash range, from (key, hashes, bands): packed arrays, in order of keys."""
+    found = np.concatenate([s for _, s, _ in held])
+    bands = np.concatenate([b for _, _, b in held])
+    owner = np.repeat(np.arange(len(held)), [len(s) for _, s, _ in held])
+    keys = np.array([k for k, _, _ in held], dtype=np.int64)
+    part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    rows: list[list] = [[], [], [], [], []]
+    for p in np.flatnonzero(edges[1:] > edges[:-1]):
+        mine = order[edges[p] : edges[p + 1]]
+        owners, counts = np.unique(owner[mine], return_counts=True)
+        for column, value in zip(rows, (int(p), found[mine].tobytes(), bands[mine].tobytes(), keys[owners].tobytes(), counts.astype(np.uint32).tobytes()), strict=True):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["part", "hashes", "bands", "keys", "counts"])
+
+
+_PACKED = "part int, hashes binary, bands binary, keys binary, counts binary"
+
+
+def _packed(sets: Iterator[tuple[int, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in sets:
+        held.append(row)
+        size += len(row[1])
+        if size >= PACK:
+            yield _pack(held, parts)
+            held, size = [], 0
+    if held:
+        yield _pack(held, parts)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(hashes, bands, keys) that occur more than once, by hash and key, each once."""
+    hashes, bands, keys = [], [], []
+    for batch in batches:
+        for h, b, k, c in zip(*[batch.column(x).to_pylist() for x in ("hashes", "bands", "keys", "counts")], strict=True):
+            hashes.append(np.frombuffer(h, dtype=np.uint64))
+            bands.append(np.frombuffer(b, dtype=np.int8))
+            keys.append(np.repeat(np.frombuffer(k, dtype=np.int64), np.frombuffer(c, dtype=np.uint32)))
+    if not hashes:
+        return None
+    hashes, bands, keys = np.concatenate(hashes), np.concatenate(bands), np.concatenate(keys)
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    again = np.zeros(len(h), dtype=bool)
+    again[1:] = h[1:] == h[:-1]
+    again[:-1] |= again[1:].copy()
+    order = order[again]
+    hashes, bands, keys = hashes[order], bands[order], keys[order]
+    order = np.lexsort((keys, hashes))
+    hashes, bands, keys = hashes[order], bands[order], keys[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])
+    return (hashes[new], bands[new], keys[new]) if len(hashes) else None
 
 
 def _packed_signatures(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, signatures, bands, keys, counts): packed arrays, in order of keys."""
-
-    def pack(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        found = np.concatenate([s for _, s, _ in held])
-        bands = np.concatenate([b for _, _, b in held])
-        owner = np.repeat(np.arange(len(held)), [len(s) for _, s, _ in held])
-        keys = np.array([k for k, _, _ in held], dtype=np.int64)
-        part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        rows: list[list] = [[], [], [], [], []]
-        for p in np.flatnonzero(edges[1:] > edges[:-1]):
-            mine = order[edges[p] : edges[p + 1]]
-            owners, counts = np.unique(owner[mine], return_counts=True)
-            for column, value in zip(rows, (int(p), found[mine].tobytes(), bands[mine].astype(np.int8).tobytes(), keys[owners].tobytes(), counts.astype(np.uint32).tobytes()), strict=True):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["part", "signatures", "bands", "keys", "counts"])
+    """The signatures of all texts, dealt by hash range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, done = [], 0, set()
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        done: set[int] = set()
         for batch in batches:
             for _, found in shingle_sets(batch.column("text")):
                 if not len(found):
@@ -156,98 +208,116 @@ def _packed_signatures(docs: DataFrame, parts: int) -> DataFrame:
                     done.clear()
                 done.add(key)
                 sigs, bands, _ = signatures(found)
-                if not len(sigs):
-                    continue
-                held.append((key, sigs, bands))
-                size += len(sigs)
-                if size >= PACK:
-                    yield pack(held)
-                    held, size = [], 0
-        if held:
-            yield pack(held)
+                if len(sigs):
+                    yield key, sigs, bands
 
-    return docs.select("text").mapInArrow(run, "part int, signatures binary, bands binary, keys binary, counts binary")
+    return docs.select("text").mapInArrow(lambda batches: _packed(each(batches), parts), _PACKED)
+
+
+def _sets(docs: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
+    """(set_key, n, shingles) for the wanted keys, each from the text of its owner."""
+    wanted = keys.join(owners, "set_key").select("doc_id", F.col("set_key").alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted, keys, sizes, values = batch.column("wanted").to_pylist(), [], [], []
+            for row, found in shingle_sets(batch.column("text")):
+                if len(found) and set_key(found) == wanted[row]:  # rows may repeat a doc_id
+                    keys.append(wanted[row])
+                    sizes.append(len(found))
+                    values.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(values, pa.binary())], names=["set_key", "n", "shingles"])
+
+    return cut(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "set_key long, n long, shingles binary"))
+
+
+def _promising(sets: DataFrame, parts: int) -> DataFrame:
+    """The sets of which at least ``PERCENT`` % is shared with others of ``sets``; a link needs that."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for key, value in zip(batch.column("set_key").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                found = np.frombuffer(value, dtype=np.uint64)
+                yield key, found, np.zeros(len(found), dtype=np.int8)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _unpacked(batches)
+        if found is None:
+            return
+        hashes, _, keys = found
+        several = np.zeros(len(hashes), dtype=bool)  # one key only, where rows repeat it
+        several[1:] = hashes[1:] == hashes[:-1]
+        several[:-1] |= several[1:].copy()
+        names, counts = np.unique(keys[several], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["set_key", "shared"])
+
+    packed = sets.mapInArrow(lambda batches: _packed(each(batches), parts), _PACKED)
+    shared = packed.repartitionById(parts, F.col("part")).mapInArrow(count, "set_key long, shared long").groupBy("set_key").agg(F.sum("shared").alias("shared"))
+    return cut(sets.select("set_key", "n", "shingles").join(shared, "set_key").where(100 * F.col("shared") >= PERCENT * F.col("n")))
+
+
+def _possible(n_x: Column, n_y: Column, shared_x: Column, shared_y: Column) -> Column:
+    """Whether sets can link whose intersection is at most what either shares with any other set."""
+    return (100 + PERCENT) * F.least(shared_x, shared_y) >= PERCENT * (n_x + n_y)
 
 
 def _buckets(packed: DataFrame, parts: int) -> DataFrame:
-    """Rows (signature, pivot, members, band, size): the members other than the pivot of buckets with two keys or more.
+    """Rows (signature, pivot, members, band, size, times): the members other than the pivot of buckets with two keys or more.
 
-    Small buckets with the same members are one row; a bucket above
+    Small buckets with the same members are one row, with their number in
+    ``times``; a bucket above
     ``ROW_MEMBERS`` takes several rows with the same pivot and signature.
     """
-    schema = "signature long, pivot long, members array<long>, band int, size long"
+    schema = "signature long, pivot long, members array<long>, band int, size long, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, bands, keys = [], [], []
-        for batch in batches:
-            for s, b, k, c in zip(*[batch.column(x).to_pylist() for x in ("signatures", "bands", "keys", "counts")], strict=True):
-                sigs.append(np.frombuffer(s, dtype=np.uint64))
-                bands.append(np.frombuffer(b, dtype=np.int8))
-                keys.append(np.repeat(np.frombuffer(k, dtype=np.int64), np.frombuffer(c, dtype=np.uint32)))
-        if not sigs:
-            return
-        sigs, bands, keys = np.concatenate(sigs), np.concatenate(bands), np.concatenate(keys)
-        order = np.argsort(sigs, kind="stable")
-        s = sigs[order]
-        again = np.zeros(len(s), dtype=bool)  # signatures that occur more than once
-        again[1:] = s[1:] == s[:-1]
-        again[:-1] |= again[1:].copy()
-        order = order[again]
-        sigs, bands, keys = sigs[order], bands[order], keys[order]
-        order = np.lexsort((keys, sigs))
-        sigs, bands, keys = sigs[order], bands[order], keys[order]
-        if not len(sigs):
+        found = _unpacked(batches)
+        if found is None:
             return
-        new = np.ones(len(sigs), dtype=bool)
-        new[1:] = (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1])
-        sigs, bands, keys = sigs[new], bands[new], keys[new]
+        sigs, bands, keys = found
         first = np.ones(len(sigs), dtype=bool)
         first[1:] = sigs[1:] != sigs[:-1]
         begins = np.flatnonzero(first)
         ends = np.append(begins[1:], len(sigs))
         begins, ends = begins[ends - begins > 1], ends[ends - begins > 1]
-        seen: set[bytes] = set()
-        out: list[list] = [[], [], [], [], []]
+        small: dict[bytes, int] = {}  # by members and band: the row
+        out: list[list] = [[], [], [], [], [], []]
         for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
             if b - a <= WIDE:
                 what = keys[a:b].tobytes() + bands[a : a + 1].tobytes()
-                if what in seen:
+                if what in small:
+                    out[5][small[what]] += 1
                     continue
-                seen.add(what)
+                small[what] = len(out[0])
             for lo in range(a + 1, b, ROW_MEMBERS):
-                for column, value in zip(out, (int(sigs[a].astype(np.int64)), int(keys[a]), keys[lo : min(b, lo + ROW_MEMBERS)], int(bands[a]), b - a), strict=True):
+                row = (int(sigs[a].astype(np.int64)), int(keys[a]), keys[lo : min(b, lo + ROW_MEMBERS)], int(bands[a]), b - a, 1)
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
-            if len(out[0]) >= 20_000:
+            if len(out[0]) >= 50_000:
                 yield batch_of(out)
-                out = [[], [], [], [], []]
+                out, small = [[], [], [], [], [], []], {}
         if out[0]:
             yield batch_of(out)
 
     def batch_of(out: list[list]) -> pa.RecordBatch:
         offsets = np.cumsum([0, *[len(m) for m in out[2]]]).astype(np.int32)
         members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out[2])))
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), members, pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64())], names=["signature", "pivot", "members", "band", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), members, pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64())], names=["signature", "pivot", "members", "band", "size", "times"])
 
     dealt = packed.repartitionById(parts, F.col("part"))
     return dealt.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """(a, b, distance, linked) for distinct pairs of keys, by comparing whole sets.
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, distance, linked) for those distinct pairs of keys that can link, by comparing whole sets.
 
-    ``owners`` gives each key a document that has it.
+    The set of b travels to that of a, once for each pair; the rows of an a in
+    very many pairs can be split, as both sides of each join have exchanges of
+    their own.
     """
-    needed = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(needed.join(owners, "set_key").select("doc_id", F.col("set_key").alias("wanted")), "doc_id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted, keys, values = batch.column("wanted").to_pylist(), [], []
-            for row, found in shingle_sets(batch.column("text")):
-                if len(found) and set_key(found) == wanted[row]:
-                    keys.append(wanted[row])
-                    values.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], names=["set_key", "shingles"])
+    size = lambda k: sets.select(F.col("set_key").alias(k), F.col("n").alias(f"n_{k}"), F.col("shared").alias(f"shared_{k}"))
+    sized = pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b")
+    sized = cut(sized.where(_possible(F.col("n_a"), F.col("n_b"), F.col("shared_a"), F.col("shared_b"))).select("a", "b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,46 +330,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame
                 distance[i], linked[i] = 1 - common / union, 100 * common >= PERCENT * union
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance), pa.array(linked)], names=["a", "b", "distance", "linked"])
 
-    found = cut(texts.mapInArrow(sets, "set_key long, shingles binary"))
-    with_x = pairs.join(found.select(F.col("set_key").alias("a"), F.col("shingles").alias("x")), "a")
-    with_y = with_x.join(found.select(F.col("set_key").alias("b"), F.col("shingles").alias("y")), "b")
-    result = with_y.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, linked boolean")
+    x = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("y"))
+    result = sized.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, linked boolean")
     return cut(result.groupBy("a", "b").agg(F.first("distance").alias("distance"), F.first("linked").alias("linked")))
 
 
-def _left_over(buckets: DataFrame, stars: DataFrame, labels: DataFrame, slack: DataFrame) -> DataFrame:
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components so far."""
+    for k in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")), k, "left")
+    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).drop("label_a", "label_b")
+
+
+def _left_over(buckets: DataFrame, able: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that the stars leave open: see the module's text."""
-    members = buckets.where(F.col("size") > 2).select("signature", "pivot", "band", "size", F.explode("members").alias("key"))
-    measured = members.join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "distance", "linked"), ["pivot", "key"])
-    open_ = measured.where(~F.col("linked")).select("signature", "pivot", "band").distinct()
-    inside = measured.join(open_, ["signature", "pivot", "band"], "left_semi")
-    # of wide buckets, only keys with too few signatures in others
-    wide = members.where(F.col("size") > WIDE).groupBy("key", "band").agg(F.count("*").alias("n_wide"))
-    short = wide.join(slack, ["key", "band"]).where(F.col("n_wide") >= F.col("slack")).select("key", "band")
-    narrow = inside.where(F.col("size") <= WIDE)
-    inside = cut(narrow.unionByName(inside.where(F.col("size") > WIDE).join(short, ["key", "band"], "left_semi")).join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key")))
-    x, y = inside.where(~F.col("linked")).alias("x"), inside.alias("y")
+    members = buckets.where(F.col("size") > 2).select("signature", "pivot", "band", "size", F.explode("members").alias("key")).join(able, ["key", "band"])
+    label_of = lambda k, name: labels.select(F.col("node").alias(k), F.col("label").alias(name))
+    members = members.join(label_of("key", "label"), "key", "left").join(label_of("pivot", "pivot_label"), "pivot", "left")
+    members = members.withColumns({"label": F.coalesce("label", "key"), "apart": F.coalesce("label", "key") != F.coalesce("pivot_label", "pivot")})
+    # in wide buckets, only keys with too few signatures in others
+    members = members.where((F.col("size") <= WIDE) | (F.col("n_shared") - F.col("n_narrow") >= F.col("slack")))
+    open_ = members.where("apart").select("signature", "pivot", "band").distinct()
+    inside = members.join(open_, ["signature", "pivot", "band"], "left_semi")
+    inside = cut(inside.join(tried.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "distance"), ["pivot", "key"], "left"))
+    x, y = inside.where("apart").alias("x"), inside.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("signature", "pivot", "band")]
-    near = F.abs(F.col("x.distance") - F.col("y.distance")) <= (100 - PERCENT) / 100 + 1e-9
-    pairs = x.join(y, [*same, F.col("x.key") != F.col("y.key"), F.col("x.label") != F.col("y.label"), near])
+    near = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
+    can = _possible(*[F.col(c) for c in ("x.n", "y.n", "x.shared", "y.shared")])
+    pairs = x.join(y, [*same, F.col("x.key") != F.col("y.key"), F.col("x.label") != F.col("y.label"), can, near])
     pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    return pairs.join(stars, ["a", "b"], "left_anti")
-
-
-def _slack(docs: DataFrame, wanted: DataFrame, owners: DataFrame) -> DataFrame:
-    """(key, band, slack) of the wanted keys."""
-    texts = docs.select("doc_id", "text").join(wanted.join(owners, wanted["key"] == owners["set_key"]).select("doc_id"), "doc_id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[int, int, int]] = []
-            for _, found in shingle_sets(batch.column("text")):
-                if len(found):
-                    key = set_key(found)
-                    rows += [(key, band, slack) for band, slack in signatures(found)[2].items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["key", "band", "slack"])
-
-    return texts.mapInArrow(run, "key long, band int, slack long").distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -310,23 +371,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null (component null). Rows that repeat a doc_id are documents of their own
     with the same id.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = cut(document_keys(docs))
-    owners = cut(keyed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
+    owners = cut(keyed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("slack").alias("slack")))
     total = owners.agg(F.sum("n")).first()[0] or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-int(0.7 * total) // PART_SIGNATURES))
     buckets = cut(_buckets(_packed_signatures(docs.where(F.col("doc_id").isNotNull()), parts), parts))
-    pairs = cut(buckets.select(F.col("pivot").alias("a"), F.explode("members").alias("b")).distinct())
-    stars = _verified(pairs, docs, owners)
-    links = stars.where("linked").select("a", "b")
-    if not stars.where(~F.col("linked")).isEmpty():
-        labels = components(links)
-        wide_keys = buckets.where(F.col("size") > WIDE).select(F.explode("members").alias("key")).distinct()
-        more = cut(_left_over(buckets, stars, labels, _slack(docs, wide_keys, owners)))
-        if not more.isEmpty():
-            links = links.union(_verified(more, docs, owners).where("linked").select("a", "b"))
-    labels = components(links)
+    release(spark)
+    # a linked set shares more signatures than the slack of a sound one, so keys that share fewer have no link
+    narrow = F.when(F.col("size") <= WIDE, F.col("times")).otherwise(0)
+    each = buckets.select("band", "times", narrow.alias("narrow"), F.explode(F.concat("members", F.array("pivot"))).alias("key"))
+    shared = each.groupBy("key", "band").agg(F.sum("times").alias("n_shared"), F.sum("narrow").alias("n_narrow"))
+    slack = owners.select(F.col("set_key").alias("key"), F.explode("slack").alias("band", "slack"))
+    able = cut(shared.join(slack, ["key", "band"]).where(F.col("n_shared") >= F.col("slack")).select("key", "band", "n_shared", "n_narrow", "slack"))
+    sets = _sets(docs, owners, able.select(F.col("key").alias("set_key")).distinct())
+    release(spark)
+    for _ in range(2):  # sets that drop out take what they alone shared with others along
+        sets = _promising(sets, parts)
+        release(spark)
+    able = cut(able.join(sets.select(F.col("set_key").alias("key"), "n", "shared"), "key"))
+    stars = buckets.select(F.col("pivot").alias("a"), F.explode("members").alias("b"), "band", "times")
+    for k in ("a", "b"):
+        stars = stars.join(able.select(F.col("key").alias(k), "band"), [k, "band"], "left_semi")
+    stars = cut(stars.groupBy("a", "b").agg(F.sum("times").alias("n")))
+    # each key with the pivot it shares most with; then what is still apart; then what stars leave open
+    tried = _verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")), sets)
+    labels = components(tried.where("linked"))
+    tried = cut(tried.union(_verified(_labelled(stars.join(tried, ["a", "b"], "left_anti"), labels), sets)))
+    labels = components(tried.where("linked"))
+    release(spark)
+    more = cut(_left_over(buckets, able, tried, labels))
+    if not more.isEmpty():
+        labels = components(tried.union(_verified(more, sets)).where("linked"))
     named = owners.select("set_key", F.col("doc_id").alias("own")).join(labels, F.col("set_key") == F.col("node"), "left")
     named = cut(named.select("set_key", "own", F.coalesce("label", "set_key").alias("label")))
     least_id = cut(named.groupBy("label").agg(F.min("own").alias("component")))
