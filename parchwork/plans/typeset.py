@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORDS_PER_LINE = 10
@@ -11,13 +12,13 @@ WORDS_PER_LINE = 10
 def typeset(documents: DataFrame) -> DataFrame:
     """(path, page_no, span_seq, min_x, min_y, max_x, max_y, font_size, font_bold, text) from (doc_id, text).
 
-    Everything is computed inside a document's row; only the final explode makes rows of words.
+    A document's words are cut inside its row and then dealt out once, by path.
     """
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^ \t\n\r\x0b\x0c]+"), F.lit(0))
-    spans = documents.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(words).alias("span_seq", "text"))
+    # dealt by path while rows are whole documents: every window and aggregate of a page or document above finds its rows together
+    dealt = documents.select(F.col("doc_id").cast("string").alias("path"), words.alias("_words")).repartition("path")
+    spans = dealt.select("path", F.posexplode("_words").alias("span_seq", "text"))
     n, line = F.length("text"), F.floor(F.col("span_seq") / WORDS_PER_LINE)
-    from pyspark.sql import Window as W
-
     before = W.partitionBy("path", "_line").orderBy("span_seq").rowsBetween(W.unboundedPreceding, -1)
     spans = spans.withColumns({"_line": line, "_step": 5 * n + n % 3})
     x = F.coalesce(F.sum("_step").over(before), F.lit(0)).cast("double")
