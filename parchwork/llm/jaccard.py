@@ -56,9 +56,9 @@ PERCENT = 75
 #: Members from which a bucket counts as wide.
 WIDE = 64
 #: Signatures that a part of the hash range should hold.
-PART_SIGNATURES = 3_000_000
+PART_SIGNATURES = 1_000_000
 #: Signatures that a task packs at a time.
-PACK = 2_000_000
+PACK = 500_000
 #: Most members in a row of a bucket; larger buckets take several rows.
 ROW_MEMBERS = 4096
 
