@@ -197,7 +197,21 @@ def predict(text: Column, profiles: Profiles) -> Column:
     return udf(text)
 
 
-def accept(docs: DataFrame, profiles: Profiles, least_score: float = 0.03) -> DataFrame:
-    """The documents in a learned language: those given one with at least ``least_score``."""
+#: Letters from which a text must reach ``LEAST_SCORE``; a shorter one has too few trigrams to score high.
+LONG_LETTERS = 80
+#: Least cosine of a long text. Letter junk comes to 0.18 however long it is, learned documents start at 0.22.
+LEAST_SCORE = 0.2
+#: Least cosine of a short text, in standard deviations (1 / sqrt(dimensions)) of an unrelated text's cosine.
+SHORT_DEVIATIONS = 4.0
+
+
+def accept(docs: DataFrame, profiles: Profiles, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents in a learned language: those whose cosine stands clear of what unrelated texts get.
+
+    That is ``least_score`` for texts of ``LONG_LETTERS`` letters, and
+    ``SHORT_DEVIATIONS`` (but at most ``least_score``) for shorter ones.
+    """
     found = predict(F.col("text"), profiles)
-    return docs.where((found["lang_pred"] != "und") & (found["score"] >= least_score))
+    long = F.col("text").rlike(rf"^(?:\P{{L}}*+\p{{L}}){{{LONG_LETTERS}}}")  # ends at that letter
+    short_score = min(least_score, SHORT_DEVIATIONS / profiles.dimensions**0.5)
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= F.when(long, least_score).otherwise(short_score)))

@@ -241,6 +241,21 @@ def test_language_id(spark):
         langid.STEP = step
 
 
+def test_languages_not_learned_are_dropped(spark):
+    rng = random.Random(21)
+    syllables = {"de": "ein sch ung der ich keit ver gen".split(), "en": "the ing tion wh ous ly and ea".split(), "fr": "eau oui ment ais que les ère ion".split()}
+    text = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    langs = [*syllables] * 20
+    model = langid.train(docs_of(spark, [text(syllables[x], 300) for x in langs], langs))
+    clean = [text(syllables[x], n) for x in langs for n in (6, 12, 40, 400)]
+    letters = lambda first, n: [chr(c) for c in range(first, first + n)]
+    alphabets = [letters(0x430, 32), letters(0x3B1, 25), letters(0x4E00, 3000), letters(ord("a"), 26)]
+    random_word = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9)))
+    junk = [" ".join(random_word(a) for _ in range(n)) for a in alphabets for n in (120, 120, 120, 120, 1000) for _ in range(12)]
+    kept = {r.doc_id for r in langid.accept(docs_of(spark, clean + junk + ODD[:3]), model).collect()}
+    assert kept == set(range(len(clean)))
+
+
 def test_forest_recall(spark):
     rng = np.random.default_rng(14)
     x = rng.normal(size=(3000, 32))
