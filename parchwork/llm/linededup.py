@@ -1,19 +1,25 @@
 """Line deduplication by aligning documents that share lines.
 
-A document is compared with the earlier ones (smaller doc_id) from which its
-lines may come. For each line, that is the first document holding it; so the
-pairs number at most the shared lines, however many documents share one, and
-a frequent line leads to no more pairs than a rare one. A pair is aligned by
-patience diff: lines that occur once in either document are anchors, the
-longest increasing chain of them is kept, and lines that recur are matched,
-occurrence by occurrence, within the gaps of the chain. Aligned lines that
-follow one another in the later document, with only blank lines between, form
-a block. Blocks of at least ``min_words`` words are deleted there; the first
-document keeps its lines.
-
-What is shuffled is one narrow row per line, then one per line that an earlier
-document holds. These are gathered by later document only, whose own length
-bounds them. Texts move once, to meet their deletions.
+A document is compared with earlier ones (smaller doc_id) by patience diff:
+lines that occur once in either document are anchors, the longest increasing
+chain of them is kept, and lines that recur are matched, occurrence by
+occurrence, within the gaps of the chain. Aligned lines that follow one another
+in the later document, with only blank lines between, form a block. Blocks of at
+least ``min_words`` words are deleted from the later document; deletions of all
+its partners are united, and the first document keeps its lines.
+
+The result is that of comparing with all earlier documents, but most pairs are
+never formed. A block holds, around each of its lines, a shortest run of
+``min_words`` words (from the line on, or up to it); so only holders of such a
+run can delete the line. A run is tried against its first holder, and, as long
+as a line of it stays, against 2, 4, 8 ... further earlier ones until none is
+left. Runs that their first holder aligns, however many documents share them,
+lead to one pair a document; only those that stand in another order there meet
+more.
+
+What is shuffled is one narrow row per line, then two per line that several
+documents have, then the lines of the pairs. All that is gathered is bounded by
+the length of one document. Texts move once, to meet their deletions.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchwork.session import cut, output_columns
@@ -69,32 +76,34 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def chain(pairs: list[tuple[int, int]]) -> list[int]:
-    """Indices of a longest chain of pairs (sorted by the first) whose second parts increase."""
+    """Indices of a longest chain of pairs (sorted by the first) whose second parts increase; of several, one that ends first."""
     tails: list[int] = []
     at: list[int] = []
     back: list[int] = []
+    end = -1
     for i, (_, y) in enumerate(pairs):
         k = bisect_left(tails, y)
         if k == len(tails):
             tails.append(y)
             at.append(i)
+            end = i
         else:
             tails[k], at[k] = y, i
         back.append(at[k - 1] if k else -1)
-    out, i = [], at[-1] if at else -1
+    out, i = [], end
     while i >= 0:
         out.append(i)
         i = back[i]
     return out[::-1]
 
 
-def patience(shared: list[tuple[int, int, bool]]) -> list[int]:
-    """Positions in the later document of aligned lines, from (position, earlier position, anchor)."""
+def patience(shared: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """Aligned lines as (position in the later document, earlier position), from (position, earlier position, anchor)."""
     shared = sorted(shared)
     anchors = [(x, y) for x, y, anchor in shared if anchor]
     anchors = [anchors[i] for i in chain(anchors)]
     rest = [(x, y) for x, y, anchor in shared if not anchor]
-    aligned = [x for x, _ in anchors]
+    aligned = list(anchors)
     if rest:
         bounds = [(-1, -1), *anchors, (1 << 62, 1 << 62)]
         lo = 0
@@ -104,30 +113,145 @@ def patience(shared: list[tuple[int, int, bool]]) -> list[int]:
                 if rest[lo][0] > x0 and y0 < rest[lo][1] < y1:
                     gap.append(rest[lo])
                 lo += 1
-            aligned += [gap[i][0] for i in chain(gap)]
+            aligned += [gap[i] for i in chain(gap)]
     return sorted(aligned)
 
 
-def deletions(rows: list[dict], min_words: int) -> tuple[list[bool], int, int]:
-    """Which leading lines of a document stay, and how many lines with words, and words, are deleted."""
-    partners: dict[int, list] = {}
-    for r in rows:
-        partners.setdefault(r["partner"], []).append((r["ord"], r["partner_ord"], r["anchor"]))
-    aligned = {x for shared in partners.values() for x in patience(shared)}
-    found = sorted((r["ord"], r["pos"], r["words"]) for r in rows if r["ord"] in aligned)
-    blocks: list[list] = []
-    for line in found:
-        if blocks and line[0] == blocks[-1][-1][0] + 1:
-            blocks[-1].append(line)
+def deletions(rows: list[dict], min_words: int) -> list[tuple[int, int, int]]:
+    """Lines that a pair of documents deletes from the later one: (ord, position, words)."""
+    at = {r["ord"]: (r["pos"], r["words"]) for r in rows}
+    blocks: list[list[tuple[int, int]]] = []
+    for x, y in patience([(r["ord"], r["partner_ord"], r["anchor"]) for r in rows]):
+        if blocks and blocks[-1][-1][0] == x - 1:
+            blocks[-1].append((x, y))
         else:
-            blocks.append([line])
-    blocks = [b for b in blocks if sum(words for _, _, words in b) >= min_words]
-    if not blocks:
-        return [], 0, 0
-    keep = [True] * (blocks[-1][-1][1] + 1)
-    for b in blocks:
-        keep[b[0][1] : b[-1][1] + 1] = [False] * (b[-1][1] + 1 - b[0][1])
-    return keep, sum(map(len, blocks)), sum(words for b in blocks for _, _, words in b)
+            blocks.append([(x, y)])
+    out = []
+    for block in blocks:
+        if sum(at[x][1] for x, _ in block) >= min_words:
+            out += [(x, *at[x]) for x, _ in block]
+    return out
+
+
+def runs(rows: list[dict], min_words: int) -> dict[tuple[int, int], bytes]:
+    """Shortest runs of following lines with ``min_words`` words from and up to each line: (first, last ord) to a hash of the lines."""
+    rows = sorted(rows, key=lambda r: r["ord"])
+    found: dict[tuple[int, int], bytes] = {}
+
+    def keep(first: int, last: int) -> None:
+        span = (rows[first]["ord"], rows[last]["ord"])
+        if span not in found:
+            found[span] = xxhash.xxh3_128_digest(b"".join(r["line"] for r in rows[first : last + 1]))
+
+    begin = 0
+    while begin < len(rows):
+        end = begin + 1
+        while end < len(rows) and rows[end]["ord"] == rows[end - 1]["ord"] + 1:
+            end += 1
+        first, words, reached = begin, 0, False
+        for last in range(begin, end):
+            words += rows[last]["words"]
+            if words < min_words:
+                continue
+            if not reached:
+                keep(first, last)
+                reached = True
+            while words - rows[first]["words"] >= min_words:
+                words -= rows[first]["words"]
+                first += 1
+                keep(first, last)  # from the first line
+            keep(first, last)  # up to the last line
+        begin = end
+    return found
+
+
+def _common(lines: DataFrame) -> DataFrame:
+    """For each document, its lines that other documents have too."""
+    several = lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first")).select("line")
+    row = F.struct("line", "pos", "ord", "words", "single")
+    return lines.join(several, "line", "left_semi").groupBy("doc_id", "version").agg(F.collect_set(row).alias("rows"))  # a set: equal rows of the table bring equal lines
+
+
+def _holders(common: DataFrame, min_words: int) -> DataFrame:
+    """Who holds each run: (run, doc_id, version, lo, hi), numbered by doc_id, and how many of smaller doc_id come before."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for doc_id, version, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "rows")), strict=True):
+                for (lo, hi), run in runs(rows, min_words).items():
+                    for column, value in zip(out, (run, doc_id, version, lo, hi), strict=True):
+                        column.append(value)
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["run", "doc_id", "version", "lo", "hi"])
+
+    of_run = W.partitionBy("run")
+    number = F.row_number().over(of_run.orderBy("doc_id", "version"))
+    return common.mapInArrow(found, "run binary, doc_id long, version long, lo int, hi int").withColumns({"number": number, "before": F.rank().over(of_run.orderBy("doc_id")) - 1})
+
+
+def _aligned(pairs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """The lines that each of ``pairs`` (doc_id, version, p_id, p_version) deletes from the later document."""
+    theirs = lines.select(F.col("doc_id").alias("p_id"), F.col("version").alias("p_version"), "line", F.col("ord").alias("partner_ord"), F.col("single").alias("p_single"))
+    row = F.struct("pos", "ord", "words", "partner_ord", (F.col("single") & F.col("p_single")).alias("anchor"))
+    both = pairs.join(lines, ["doc_id", "version"]).join(theirs, ["p_id", "p_version", "line"])
+    gathered = both.groupBy("doc_id", "version", "p_id", "p_version").agg(F.collect_list(row).alias("rows")).select("doc_id", "version", "rows")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [deletions(rows, min_words) for rows in batch.column("rows").to_pylist()]
+            lines = pa.array([[dict(zip(("ord", "pos", "words"), line, strict=True)) for line in f] for f in found], pa.list_(pa.struct([(c, pa.int32()) for c in ("ord", "pos", "words")])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), lines], names=["doc_id", "version", "lines"])
+
+    return gathered.mapInArrow(align, "doc_id long, version long, lines array<struct<ord int, pos int, words int>>").where(F.size("lines") > 0)
+
+
+def _united(deleted: DataFrame) -> DataFrame:
+    """For each document, which leading lines stay, which lines with words are deleted (by ord), and how many lines and words."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for pairs in batch.column("pairs").to_pylist():
+                lines = {line["ord"]: line for pair in pairs for line in pair}
+                keep = [True] * (max(line["pos"] for line in lines.values()) + 1)
+                for x, line in lines.items():  # with the blank lines after another deleted one
+                    since = lines[x - 1]["pos"] + 1 if x - 1 in lines else line["pos"]
+                    keep[since : line["pos"] + 1] = [False] * (line["pos"] + 1 - since)
+                gone = [x in lines for x in range(max(lines) + 1)]
+                for column, value in zip(out, (keep, gone, len(lines), sum(line["words"] for line in lines.values())), strict=True):
+                    column.append(value)
+            types = (pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=["d_id", "d_version", "keep", "gone", "lines", "words"])
+
+    gathered = deleted.groupBy("doc_id", "version").agg(F.collect_list("lines").alias("pairs"))
+    return gathered.mapInArrow(unite, "d_id long, d_version long, keep array<boolean>, gone array<boolean>, lines long, words long")
+
+
+def _gone(readable: DataFrame, min_words: int) -> DataFrame:
+    """``_united`` deletions of all pairs of ``readable`` (doc_id, version, text) that can delete a line."""
+    min_words = max(min_words, 1)
+    common = cut(_common(cut(document_lines(readable))))
+    lines = common.select("doc_id", "version", F.explode("rows").alias("r")).select("doc_id", "version", "r.*")
+    holders = cut(_holders(common, min_words))
+    open_runs = holders.where(F.col("before") > 0).select("run", "doc_id", "version", "lo", "hi", "before")
+    held = holders.select("run", "number", F.col("doc_id").alias("p_id"), F.col("version").alias("p_version"))
+    tried = deleted = None
+    tries, step = 0, 1
+    while True:
+        ahead = open_runs.withColumn("number", F.explode(F.sequence(F.lit(tries + 1), F.least("before", F.lit(tries + step)))))
+        pairs = ahead.join(held, ["run", "number"]).select("doc_id", "version", "p_id", "p_version").distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, pairs.columns, "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        found = cut(_aligned(pairs, lines, min_words))
+        deleted = found if deleted is None else deleted.union(found)
+        united = cut(_united(deleted))
+        tries, step = tries + step, 2 * step
+        stays = F.exists(F.sequence("lo", "hi"), lambda i: ~F.coalesce(F.get(F.col("gone"), i), F.lit(False)))
+        of_doc = united.select(F.col("d_id").alias("doc_id"), F.col("d_version").alias("version"), "gone")
+        open_runs = cut(open_runs.where(F.col("before") > tries).join(of_doc, ["doc_id", "version"], "left").where(F.col("gone").isNull() | stays).drop("gone"))
+        if open_runs.isEmpty():
+            return united.drop("gone")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -144,20 +268,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text, doc_id = F.col(inner[next(c for c in columns if c.lower() == "text")]), F.col(inner[next(c for c in columns if c.lower() == "doc_id")]).cast("long")
     version = F.xxhash64(text)
     readable = named.where(text.isNotNull() & doc_id.isNotNull()).select(doc_id.alias("doc_id"), version.alias("version"), text.alias("text"))
-    lines = cut(document_lines(readable))
-    holder = F.min(F.struct("doc_id", "ord", "single"))
-    first = cut(lines.groupBy("line").agg(holder.alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first.doc_id")).select("line", "first"))
-    shared = lines.join(first, "line").where(F.col("doc_id") > F.col("first.doc_id"))
-    row = F.struct("pos", "ord", "words", F.col("first.doc_id").alias("partner"), F.col("first.ord").alias("partner_ord"), (F.col("single") & F.col("first.single")).alias("anchor"))
-    gathered = shared.groupBy("doc_id", "version").agg(F.collect_set(row).alias("rows"))  # a set: equal rows of the table bring equal lines
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [deletions(rows, min_words) for rows in batch.column("rows").to_pylist()]
-            arrays = [batch.column("doc_id"), batch.column("version"), pa.array([f[0] for f in found], pa.list_(pa.bool_())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["d_id", "d_version", "keep", "lines", "words"])
-
-    gone = gathered.mapInArrow(run, "d_id long, d_version long, keep array<boolean>, lines long, words long").where(F.col("lines") > 0)
+    gone = _gone(readable, min_words)
     joined = named.join(gone, (doc_id == F.col("d_id")) & (version == F.col("d_version")), "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: F.coalesce(F.get(F.col("keep"), i), F.lit(True))), "\n")
     cleaned = F.when(F.col("keep").isNull(), text).otherwise(left)

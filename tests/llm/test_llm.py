@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,6 +85,44 @@ def test_line_dedup(spark):
     assert [found[6 + i].text for i in range(len(ODD))] == ODD
 
 
+def brute_lines(texts, min_words=10):
+    """Line deduplication by comparing with all earlier documents."""
+    seen, out = [], []
+    for text in texts:
+        mine, times, number, order = {}, Counter(x.strip() for x in text.split("\n")), Counter(), 0
+        for pos, line in enumerate(x.strip() for x in text.split("\n")):
+            if line:
+                mine[line, number[line]] = (order, pos, len(line.split()), times[line] == 1)
+                number[line] += 1
+                order += 1
+        gone = {}
+        for theirs in seen:
+            shared = [(*mine[k], *theirs[k]) for k in mine.keys() & theirs.keys()]
+            pairs = linededup.patience([(x, y, a and b) for x, _, _, a, y, _, _, b in shared])
+            by_ord, at = {x: (pos, words) for x, pos, words, *_ in shared}, 0
+            while at < len(pairs):
+                end = at + 1
+                while end < len(pairs) and pairs[end] == (pairs[end - 1][0] + 1, pairs[end - 1][1] + 1):
+                    end += 1
+                block = [by_ord[x] for x, _ in pairs[at:end]]
+                if sum(words for _, words in block) >= min_words:
+                    gone |= {x: by_ord[x][0] for x, _ in pairs[at:end]}
+                at = end
+        seen.append(mine)
+        spans = {i for x, pos in gone.items() for i in range(gone.get(x - 1, pos - 1) + 1, pos + 1)}  # blank lines between deleted ones go
+        out.append(("\n".join(x for i, x in enumerate(text.split("\n")) if i not in spans), len(gone)))
+    return out
+
+
+def test_reordered_copies_lose_all(spark):
+    rng = random.Random(61)
+    p, q, r = ("\n".join(prose(rng, 12) for _ in range(5)) for _ in range(3))
+    texts = ["\n".join(x) for x in ((p, q), (q, p), (q, p), (r, p, q), (q, "own", p, "line", r), (p, "and", r, q), (r, q, p))]
+    found = sorted(linededup.dedup_lines(docs_of(spark, texts)).collect())
+    assert found[2].text == "" and found[2].deleted_lines == 10
+    assert [(x.text, x.deleted_lines) for x in found] == brute_lines(texts)
+
+
 def test_chain_is_longest():
     rng = random.Random(7)
     for _ in range(200):
