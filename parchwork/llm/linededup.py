@@ -4,7 +4,7 @@ A document is compared with earlier ones (smaller doc_id) by patience diff:
 lines that occur once in either document are anchors, the longest increasing
 chain of them is kept, and lines that recur are matched, occurrence by
 occurrence, within the gaps of the chain. Aligned lines that follow one another
-in the later document, with only blank lines between, form a block. Blocks of at
+in both documents, with only blank lines between, form a block. Blocks of at
 least ``min_words`` words are deleted from the later document; deletions of all
 its partners are united, and the first document keeps its lines.
 
@@ -122,7 +122,7 @@ def deletions(rows: list[dict], min_words: int) -> list[tuple[int, int, int]]:
     at = {r["ord"]: (r["pos"], r["words"]) for r in rows}
     blocks: list[list[tuple[int, int]]] = []
     for x, y in patience([(r["ord"], r["partner_ord"], r["anchor"]) for r in rows]):
-        if blocks and blocks[-1][-1][0] == x - 1:
+        if blocks and blocks[-1][-1] == (x - 1, y - 1):
             blocks[-1].append((x, y))
         else:
             blocks.append([(x, y)])

@@ -123,6 +123,26 @@ def test_reordered_copies_lose_all(spark):
     assert [(x.text, x.deleted_lines) for x in found] == brute_lines(texts)
 
 
+def test_line_dedup_equals_all_earlier_documents(spark):
+    rng = random.Random(62)
+    parts = [[prose(rng, rng.choice([1, 2, 3, 4, 6, 12])) for _ in range(rng.randint(1, 5))] for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        lines = [x for part in rng.choices(parts, k=rng.randint(1, 7)) for x in ([*part, ""] if rng.random() < 0.8 else rng.sample(part, len(part)))]
+        texts.append("\n".join(x for x in lines if rng.random() < 0.97))
+    found = sorted(linededup.dedup_lines(docs_of(spark, texts)).collect())
+    assert [(x.text, x.deleted_lines) for x in found] == brute_lines(texts)
+
+
+def test_short_lines_of_many_documents_are_no_block(spark):
+    rng = random.Random(63)
+    short = [prose(rng, 3) for _ in range(4)]
+    spread = [f"{x}\n{prose(rng, 9)}" for x in short]
+    apart = "\n".join(f"{x}\n{prose(rng, 2)}" for x in short)  # all in one document, but not together
+    found = sorted(linededup.dedup_lines(docs_of(spark, [*spread, apart, "\n".join(short), "\n\n".join(short)])).collect())
+    assert [x.deleted_lines for x in found] == [0] * 6 + [4]
+
+
 def test_chain_is_longest():
     rng = random.Random(7)
     for _ in range(200):
