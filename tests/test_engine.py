@@ -9,6 +9,7 @@ from parchwork.functions import texts as X
 from parchwork.kernels.writer import paged_file
 from parchwork.operators import layout as L
 from parchwork.operators import sections as S
+from parchwork.plans.queries import QUERIES
 from parchwork.sources.datasource import register
 from parchwork.sources.pdf import Pdf, files, read_table
 from parchwork.streaming.files import stream_table
@@ -121,3 +122,17 @@ def test_stream(spark, folder, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("spans").count() == 4
+
+
+def made_documents(spark, folder):
+    """A folder with long documents, whose numbers and letters leave no short code of much use."""
+    rng = random.Random(5)
+    texts = ["short", "".join(rng.choice("abcdefghij klmnopqrstuvwxyzäé€😀0123456789\n") for _ in range(30_000)), "x" * 9000, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return texts
+
+
+@pytest.mark.parametrize("name", ["ascii85_roundtrip", "asciihex_roundtrip", "flate_roundtrip", "lzw_roundtrip", "filter_chain_roundtrip"])
+def test_round_trips_take_whole_texts(spark, tmp_path, name):
+    texts = made_documents(spark, tmp_path)
+    assert {r.doc_id: r.text for r in QUERIES[name](spark, str(tmp_path)).collect()} == dict(enumerate(texts))
