@@ -221,9 +221,9 @@ _GLYPHS = "g AS (SELECT doc_id AS string_id, unnest(range(1, length(t) + 1)) AS
 
 
 def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("string_id"), F.substring("text", 1, 200).alias("t"))
-    each = docs.select("string_id", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("seq"))
-    return each.select("string_id", F.col("seq").cast("long").alias("seq"), F.col("t").substr(F.col("seq"), F.lit(1)).alias("text")).withColumn("width", (F.ascii("text") % 7 * 100).cast("double"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("string_id"), F.col("text").alias("t")).where("t <> ''")
+    each = docs.select("string_id", F.posexplode(F.split("t", "")).alias("seq", "text"))
+    return each.select("string_id", (F.col("seq") + 1).cast("long").alias("seq"), "text").withColumn("width", (F.ascii("text") % 7 * 100).cast("double"))
 
 
 @query(f"WITH {_GLYPHS}, a AS (SELECT *, (width::DOUBLE / 1000 * 12 + 0.5 + CASE WHEN ch = ' ' THEN 0.25 ELSE 0.0 END) * 100.0 / 100 AS step FROM c) SELECT string_id, seq, round(coalesce(sum(step) OVER (PARTITION BY string_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS x FROM a")

@@ -136,3 +136,17 @@ def made_documents(spark, folder):
 def test_round_trips_take_whole_texts(spark, tmp_path, name):
     texts = made_documents(spark, tmp_path)
     assert {r.doc_id: r.text for r in QUERIES[name](spark, str(tmp_path)).collect()} == dict(enumerate(texts))
+
+
+def test_glyphs_of_whole_texts(spark, tmp_path):
+    texts = made_documents(spark, tmp_path)
+    want, widths = {}, {}
+    for i, text in enumerate(texts):
+        x = 0.0
+        for seq, c in enumerate(text or "", 1):
+            want[i, seq] = x
+            x += ord(c) % 7 * 100 / 1000 * 12 + 0.5 + (0.25 if c == " " else 0)
+            widths[i] = widths.get(i, 0) + (1000 if ord(c) % 5 == 0 or ord(c) >= 0x3000 else ord(c) % 7 * 100)
+    found = {(r.string_id, r.seq): r.x for r in QUERIES["text_advance"](spark, str(tmp_path)).collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-5 for k in want)
+    assert {r.string_id: r.width for r in QUERIES["measure_text"](spark, str(tmp_path)).collect()} == widths
