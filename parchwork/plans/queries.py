@@ -244,7 +244,7 @@ def measure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH i AS (SELECT l_orderkey AS font_id, l_linenumber AS pos, CASE WHEN l_linenumber % 3 = 1 THEN l_partkey % 200 END AS number, CASE WHEN l_linenumber % 3 <> 1 THEN 'g' || (l_partkey % 50)::VARCHAR END AS glyph FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2)), r AS (SELECT *, coalesce(last_value(number IGNORE NULLS) OVER (PARTITION BY font_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS base, count(number) OVER (PARTITION BY font_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM i), o AS (SELECT *, base + count(glyph) OVER (PARTITION BY font_id, run ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS code FROM r) SELECT font_id, code::BIGINT AS code, arg_max(glyph, pos) AS glyph FROM o WHERE glyph IS NOT NULL GROUP BY 1, 2")
 def expand_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of numbers and names made from order lines."""
-    i = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
+    i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
     first = F.col("l_linenumber") % 3 == 1
     items = i.select(F.col("l_orderkey").alias("font_id"), F.col("l_linenumber").alias("pos"), F.when(first, F.col("p") % 200).alias("number"), F.when(~first, F.concat(F.lit("g"), (F.col("p") % 50).cast("string"))).alias("glyph"))
     return R.expand_differences(items).select("font_id", F.col("code").cast("long").alias("code"), "glyph")

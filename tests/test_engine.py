@@ -150,3 +150,16 @@ def test_glyphs_of_whole_texts(spark, tmp_path):
     found = {(r.string_id, r.seq): r.x for r in QUERIES["text_advance"](spark, str(tmp_path)).collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-5 for k in want)
     assert {r.string_id: r.width for r in QUERIES["measure_text"](spark, str(tmp_path)).collect()} == widths
+
+
+def test_differences_of_all_orders(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(order, line, rng.randint(1, 999)) for order in range(1, 41) for line in range(1, 8)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, code = {}, 0
+    for order, line, part in rows:
+        if line % 3 == 1:
+            code = part % 200
+        else:
+            want[order, code], code = f"g{part % 50}", code + 1
+    assert {(r.font_id, r.code): r.glyph for r in QUERIES["expand_differences"](spark, str(tmp_path)).collect()} == want
