@@ -116,7 +116,7 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int,
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, slack) of every row; the key is null for an empty set.
+    """(doc_id, version, n_shingles, set_key, slack) of every row; the key is null for an empty set.
 
     slack holds (band, slack) pairs of :func:`signatures`.
     """
@@ -129,9 +129,9 @@ def document_keys(docs: DataFrame) -> DataFrame:
                 sizes[row] = len(found)
                 if len(found):
                     keys[row], slack[row] = set_key(found), signatures(found)[2]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(keys, mask=sizes == 0), pa.array([list(x.items()) for x in slack], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "n_shingles", "set_key", "slack"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(sizes), pa.array(keys, mask=sizes == 0), pa.array([list(x.items()) for x in slack], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "version", "n_shingles", "set_key", "slack"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key long, slack map<int,int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "version", "text").mapInArrow(run, "doc_id long, version long, n_shingles long, set_key long, slack map<int,int>")
 
 
 def _pack(held: list[tuple[int, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
@@ -371,8 +371,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null (component null). Rows that repeat a doc_id are documents of their own
     with the same id.
     """
+    return _grouped(docs.withColumn("version", F.lit(0).cast("long"))).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` of ``docs`` (doc_id, version, text) with each row's version and its group's label (null without shingles)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "version", "text")
     keyed = cut(document_keys(docs))
     owners = cut(keyed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("slack").alias("slack")))
     total = owners.agg(F.sum("n")).first()[0] or 0
@@ -408,15 +413,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = owners.select("set_key", F.col("doc_id").alias("own")).join(labels, F.col("set_key") == F.col("node"), "left")
     named = cut(named.select("set_key", "own", F.coalesce("label", "set_key").alias("label")))
     least_id = cut(named.groupBy("label").agg(F.min("own").alias("component")))
-    of_key = cut(named.join(least_id, "label").select("set_key", "component"))
+    of_key = cut(named.join(least_id, "label").select("set_key", "component", "label"))
     found = keyed.join(of_key, "set_key", "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return found.select("doc_id", "version", "label", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group, or null."""
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of ``docs`` for each group, of the least doc_id; rows without a doc_id or a word are alone."""
+    version = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])  # tells rows of a doc_id apart, but for equal ones
+    found = _grouped(docs.withColumn("version", version)).where(F.col("doc_id").isNotNull())
+    rows = found.groupBy("doc_id", "version").agg(F.first("label").alias("label"), F.count("*").alias("n"))
+    first = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct("doc_id", "version", "n")).alias("first")).select("first.*", F.lit(True).alias("grouped"))
+    kept = cut(first.unionByName(rows.where(F.col("label").isNull()).select("doc_id", "version", "n", F.lit(False).alias("grouped"))))
+    once, same = kept.where(~F.col("grouped") | (F.col("n") == 1)), kept.where(F.col("grouped") & (F.col("n") > 1))
+    named = lambda some: some.select(F.col("doc_id").alias("_kept"), F.col("version").alias("_version"))
+    is_kept = (F.col("doc_id").cast("long") == F.col("_kept")) & (version == F.col("_version"))
+    one_of_same = docs.join(named(same), is_kept).dropDuplicates(["_kept", "_version"]).select(docs.columns)
+    return docs.join(named(once), is_kept, "left_semi").unionByName(one_of_same).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 SQL = r"""

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parchwork.llm import forest, jaccard, langid, linededup, mixing, pieces, pii, quadratic, quality_rules, secrets
 from parchwork.llm import spans as S
 from parchwork.llm.components import components
@@ -202,6 +203,50 @@ def test_jaccard_join(spark):
     assert [found[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(64)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = a + " end"
+    rows = [(1, a), (1, a), (1, a), (2, near), (3, b), (3, c), (4, c), (4, c), (5, d), (5, d + " end"), (6, a), (6, d), (7, ""), (7, ""), (8, None), (None, a), (2, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in jaccard.representatives(docs).collect())
+    last = [k for k in kept if k[0] == 5]
+    assert len(last) == 1 and last[0][1] in (d, d + " end")
+    assert kept == Counter([(1, a), (2, b), (3, c), last[0], (7, ""), (7, ""), (8, None), (None, a)])
+
+
+@with_model
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against brute force on documents with repeated rows, and run() against the stages."""
+    rng = random.Random(65)
+    texts = ["\n".join(prose(rng, 15) for _ in range(4)) for _ in range(12)]
+    texts += [texts[3] + "\nextra words here", *texts[5:7], "\n".join(texts[0].split("\n")[1:]) + "\n" + prose(rng, 40)]
+    texts.append("\n".join([*re.findall(r"(?:\S+ ){12}\S+", " ".join(texts[4].split())), "and more words"]))  # other lines, near text
+    junk = " ".join("".join(rng.choice("бвгдежзиклмн") for _ in range(6)) for _ in range(60))
+    rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts)] + [(99, junk, None, "a", len(junk))]
+    rows += [rows[2], rows[9], rows[9]]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = corpus_pipeline.table(spark, str(tmp_path), "documents")
+    known = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, known.collect())) == sorted(r for r in rows if r[0] != 99)
+    cleaned = brute_lines(texts)
+    lined = corpus_pipeline.line_dedup(spark, known, str(tmp_path))
+    left = [(r[0], cleaned[r[0]][0]) for r in rows if r[0] != 99 and cleaned[r[0]][0].split()]
+    assert sorted((r.doc_id, r.text) for r in lined.collect()) == sorted(left)
+    groups = brute_components([t for _, t in left])
+    best = {}
+    for (doc_id, text), (_, group) in zip(left, groups, strict=True):
+        best[group] = min(best.get(group, (doc_id, text)), (doc_id, text))
+    single = corpus_pipeline.jaccard_join(spark, corpus_pipeline.stored(lined, "lined"), str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in single.collect()) == sorted(best.values())
+    mixed = corpus_pipeline.mix_sources(spark, corpus_pipeline.stored(single, "single"), str(tmp_path))
+    copies = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert copies and copies.keys() <= set(best.values()) and max(copies.values()) <= 3
+    made = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(r.doc_id for r in made.collect()) == Counter({k[0]: n for k, n in copies.items()})
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(1)
     for _ in range(1500):
