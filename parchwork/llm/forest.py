@@ -24,6 +24,7 @@ rows. ``least_share`` is set for these.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -177,15 +178,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, least_candidate
     A query's own id is no candidate. Score is the Euclidean distance; ties go
     to the smaller id. The trees ascend until together they hold at least
     ``least_candidates`` entries and ``least_share`` of all entries, counting
-    one for each tree that finds it. Unusable vectors, null ids, and vectors of
-    another length than that of the least usable id take no part; rows that
-    repeat an id and vector count once.
+    one for each tree that finds it. Unusable vectors and null ids take no part.
+    Vectors are compared within each length, with a forest for each length
+    asked for. Rows that repeat an id and vector count once.
     """
     ok = vectors.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
-    size = ok.agg(F.min_by(F.size("vector"), "vec_id")).first()[0] or 0
-    fits = F.size("vector") == size
-    entries = cut(distinct_vectors(ok.where(fits), k + 1))
-    asked = queries.where(usable(F.col("vector")) & F.col("vec_id").isNotNull() & fits).select(F.col("vec_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).distinct()
+    asked = queries.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    sizes = sorted(r[0] for r in asked.select(F.size("vector")).distinct().collect()) or [0]
+    fits = lambda rows, size: rows.where(F.size("vector") == size)
+    found = [_nearest(fits(ok, size), fits(asked, size).distinct(), k, least_candidates, least_share, seed) for size in sizes]
+    if len(found) == 1:
+        return found[0]
+    rows = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # an id may have vectors of several lengths
+    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    return rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(ok: DataFrame, asked: DataFrame, k: int, least_candidates: int, least_share: float, seed: int) -> DataFrame:
+    """``nearest`` for usable vectors (vec_id, vector) and queries (id, vector) of one length."""
+    entries = cut(distinct_vectors(ok, k + 1))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -379,6 +379,16 @@ def test_forest_recall(spark):
     assert sorted(r.vec_id for r in found if r.query_id == 7) == list(range(50, 60))
 
 
+def test_forest_searches_each_length(spark):
+    rng = np.random.default_rng(15)
+    x = {i: rng.normal(size=8 if i % 40 else 3) for i in range(200)}  # the least id has an odd length
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, vector array<double>")
+    found = forest.nearest(vectors, vectors.where("vec_id in (0, 7)")).collect()
+    for q in (0, 7):
+        others = sorted((float(np.sqrt(((v - x[q]) ** 2).sum())), i) for i, v in x.items() if i != q and len(v) == len(x[q]))
+        assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == [i for _, i in others[:10]]
+
+
 def test_spans(spark):
     row = spark.createDataFrame([("😀ab cab",)], "t string").select(S.matches(F.col("t"), "a(b)", (0, 1)).alias("m")).first()
     assert [(m.start, m.end, m.g0, m.g1) for m in row.m] == [(1, 3, "ab", "b"), (5, 7, "ab", "b")]
