@@ -1,41 +1,39 @@
 """Near-duplicate groups: a Jaccard self-join on word shingles with PartEnum signatures.
 
 Two documents link when the Jaccard similarity of their shingle sets is at
-least 75 %. No link is lost and no pair is accepted without comparing the sets.
-
-Signatures. Set sizes fall into bands; each band parts the shingles' hash
-domain into a number of cells. For every cell, a set's shingles in it make one
-signature (cell and content), so the subsets enumerated are the single cells.
-Linked sets a and b differ in at most (a + b) / 7 shingles, hence in that many
-cells at most; a set with more occupied cells than that shares a whole occupied
-cell, and so a signature, with every set it links to. A set is *sound* if it
-occupies more cells than that bound for its largest partner, a third of its size. Cells are chosen
-so that nearly all sets are sound; those that are not also emit each shingle as
-a signature, and two unsound linked sets share one of these. A set emits in its
-own band, and in the one below if a partner may be there.
-
+least 75 %. No link is lost and none is accepted without comparing the sets.
 Equal sets are one *key* (a hash of the set) from the start, so exact copies
 cost nothing further.
 
-Buckets (keys with one signature). A key is compared with the pivot, the least
-key, of the bucket it shares most with, and with its other pivots if it is in
-another component than they still. Where all members of a bucket have become
-connected, nothing is left. Elsewhere, pairs of members are compared that are
-in different components and of which one at least is not in the pivot's. The
-distance 1 - J is a metric, so a pair whose distances to the pivot differ by
-more than 1/4 can't link; nor can one whose sizes and shared shingles rule it
-out. Buckets of more than ``WIDE`` members, such as those of a passage that
-many documents hold, concern only pairs of which both have too few signatures
-elsewhere: if a set's signatures in narrower buckets outnumber the cells in
-which a partner may differ, each of its partners is met there.
-
-Before any pair is formed, keys drop out that can't link: those that share
-fewer signatures than a linked set must, and then, among the rest, those of
-which less than three quarters of the shingles occur in another set.
-
-Signatures and shingles travel as packed arrays dealt by hash range, links
-become component labels by distributed label propagation, and verification
-moves a set once for each pair.
+Signatures. Set sizes fall into bands; linked sets a and b meet in a band that
+both emit in. A band parts the shingles' hash domain into ``parts(band)``
+partitions and each of these into three cells; for each partition, every
+subset of two cells is a signature with the shingles in it. Linked sets differ
+in at most k = (a + b) / 7 shingles. A partition in which they do not differ
+shares all three subsets, one with a single difference shares the subset that
+leaves its cell out: both together at least 2 P - k signatures. P counts the
+partitions in which a set occupies two cells or more, where no subset is empty.
+That bound is the set's *need*. Small bands are parted so finely that every
+shingle is a signature; there the need is 75 % of the set. A set whose bound is
+below one also emits its single shingles, and its need is one.
+
+Groups. The holders of a signature form a bucket, named by its least key, the
+*pivot*; all buckets with one pivot are one group, in which a key counts as
+often as it is in these buckets. A key in fewer buckets than it needs drops
+out. The others leave out their largest groups as long as what they leave out
+counts less than they need (all keys rank the groups alike, by size). A linked
+pair shares at least what either needs, so neither leaves out the smallest
+group that they share, and they meet there. A passage that many documents hold
+thus makes no work, as few buckets of a document come from it.
+
+Comparison. First each key goes to the group it counts most in; then groups
+that still hold several components are searched again. A group is dealt in
+blocks of bounded size. A block is compared within one task, set against set,
+but only sets that are in different components so far, and what leaves it are
+links that join two components: fewer than it has members. In the second
+round, the queries are those members that are not in the group's largest
+component, against all of the group's blocks. So nearly connected groups cost
+work in proportion to their size, and no row is ever made for a pair.
 """
 
 from __future__ import annotations
@@ -45,173 +43,257 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchwork.llm.components import components
 from parchwork.llm.shingles import mix, set_key, shingle_sets
-from parchwork.session import cut, release
+from parchwork.session import cut
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Members from which a bucket counts as wide.
-WIDE = 64
 #: Signatures that a part of the hash range should hold.
 PART_SIGNATURES = 1_000_000
 #: Signatures that a task packs at a time.
 PACK = 500_000
-#: Most members in a row of a bucket; larger buckets take several rows.
-ROW_MEMBERS = 4096
+#: Members and shingles that a block of a group should hold at most.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1_000_000
+#: Sets that are compared one by one; larger groups are compared through an index.
+FEW = 6
 
-#: Upper ends of the size bands: up to 3, where only equal sets link, and then doubling.
+#: Upper ends of the size bands: up to 3, and then doubling.
 BAND_ENDS = np.array([3 * 2**i for i in range(40)], dtype=np.int64)
+#: The last band in which every shingle is a signature of its own.
+FINE = 3
 
 
 def band_of(size: int) -> int:
     return int(np.searchsorted(BAND_ENDS, size))
 
 
-def cells(band: int) -> int:
-    """Number of cells of a band. With this many, a set at the band's upper end expects to occupy 0.37 of its size."""
-    return int(0.4 * BAND_ENDS[band]) + 4
+def parts_of(band: int) -> int:
+    """First-level partitions of a band: a set at its upper end has about five shingles in each."""
+    return int(0.2 * BAND_ENDS[band]) + 6
 
 
 def bands_for(size: int) -> list[int]:
-    """The bands in which a size has cells: its own, and the one below if a set of 3/4 of the size may be in it.
+    """The bands in which a size emits: its own, and the one below if a set of 3/4 of the size may be in it.
 
-    Up to three shingles only equal sets link, but for three to four: the sets
-    of three have cells in the band of four.
+    Sets of three, which link to sets of four, emit in the band of four.
     """
     own = max(1, band_of(size))
     least = -(-PERCENT * size // 100)
     return [own, own - 1] if own > 1 and least <= BAND_ENDS[own - 1] else [own]
 
 
-def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """Signatures of a sorted set, their bands (-1: of a single shingle), and for each band by how many its occupied cells exceed those in which a linked set can differ."""
+def signatures(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """Signatures of a sorted set, and its need: how many of them it shares at least with each set it links to."""
     size = len(shingles)
     if size < BAND_ENDS[0]:  # links to equal sets only, which have its key
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8), {}
-    found, bands, slack = [], [], {}
-    unsound, own = False, max(1, band_of(size))
+        return np.zeros(0, dtype=np.uint64), 1
+    found, needs = [], []
+    own = max(1, band_of(size))
     for band in bands_for(size):
-        m = np.uint64(cells(band))
-        cell = (mix(shingles + np.uint64(band + 1)) >> np.uint64(32)) * m >> np.uint64(32)
+        if band <= FINE:
+            found.append(mix(shingles + np.uint64(0x9D2C5680 + band)))
+            needs.append(-(-PERCENT * size // 100))
+            continue
+        n = parts_of(band)
+        cell = ((mix(shingles + np.uint64(band + 1)) >> np.uint64(32)) * np.uint64(3 * n) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
-        cell, content = cell[order], mix(shingles[order] ^ np.uint64(0x5851F42D4C957F2D))
+        cell = cell[order]
         first = np.ones(size, dtype=bool)
-        first[1:] = cell[1:] != cell[:-1]
+        np.not_equal(cell[1:], cell[:-1], out=first[1:])
         at = np.flatnonzero(first)
-        sums = np.add.reduceat(content, at)
-        found.append(mix(sums + (cell[at] * np.uint64(0x2545F4914F6CDD1D) + np.uint64(band))))
-        bands.append(np.full(len(at), band, dtype=np.int8))
-        # most cells in which a linked set can differ: it has up to 4/3 of the size, in the band below no more than the band's end
+        content = np.zeros(3 * n, dtype=np.uint64)
+        content[cell[at]] = np.add.reduceat(mix(shingles[order] ^ np.uint64(0x5851F42D4C957F2D)), at)
+        held = np.zeros(3 * n, dtype=bool)
+        held[cell[at]] = True
+        content, held = content.reshape(n, 3), held.reshape(n, 3)
+        cells = held.sum(axis=1)
+        subset = content.sum(axis=1, dtype=np.uint64, keepdims=True) - content  # without one cell
+        name = np.arange(3 * n, dtype=np.uint64).reshape(n, 3) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(band)
+        some = cells[:, None] - held > 0
+        found.append(mix(mix(subset) + name)[some])
+        # a partner in the own band has up to 4/3 of the size, one in the band below no more than its end
         differ = (size + 4 * size // 3) // 7 if band == own else (size + int(BAND_ENDS[band])) // 7
-        slack[band] = len(at) - differ
-        unsound |= slack[band] <= 0
-    if unsound:
+        needs.append(2 * int((cells > 1).sum()) - differ)
+    need = min(needs)
+    if need < 1:
         found.append(mix(shingles + np.uint64(0x1B873593)))
-        bands.append(np.full(size, -1, dtype=np.int8))
-        slack[-1] = 0
-    return np.concatenate(found), np.concatenate(bands), slack
+    return np.concatenate(found), max(1, need)
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, n_shingles, set_key, slack) of every row; the key is null for an empty set.
-
-    slack holds (band, slack) pairs of :func:`signatures`.
-    """
+    """(doc_id, version, n_shingles, set_key) of every row; the key is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
-            slack: list[dict[int, int]] = [{}] * batch.num_rows
             for row, found in shingle_sets(batch.column("text")):
                 sizes[row] = len(found)
                 if len(found):
-                    keys[row], slack[row] = set_key(found), signatures(found)[2]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(sizes), pa.array(keys, mask=sizes == 0), pa.array([list(x.items()) for x in slack], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "version", "n_shingles", "set_key", "slack"])
+                    keys[row] = set_key(found)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(sizes), pa.array(keys, mask=sizes == 0)], names=["doc_id", "version", "n_shingles", "set_key"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "version", "text").mapInArrow(run, "doc_id long, version long, n_shingles long, set_key long")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "version", "text").mapInArrow(run, "doc_id long, version long, n_shingles long, set_key long, slack map<int,int>")
+def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _pack(held: list[tuple[int, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
-    """One row for each part of the hash range, from (key, hashes, bands): packed arrays, in order of keys."""
-    found = np.concatenate([s for _, s, _ in held])
-    bands = np.concatenate([b for _, _, b in held])
-    owner = np.repeat(np.arange(len(held)), [len(s) for _, s, _ in held])
-    keys = np.array([k for k, _, _ in held], dtype=np.int64)
-    part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _runs(values: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in sorted arrays."""
+    first = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    for x in more:
+        first[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(first)
+
+
+def _rows(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """One row for each part, with the packed values of each column."""
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    rows: list[list] = [[], [], [], [], []]
-    for p in np.flatnonzero(edges[1:] > edges[:-1]):
-        mine = order[edges[p] : edges[p + 1]]
-        owners, counts = np.unique(owner[mine], return_counts=True)
-        for column, value in zip(rows, (int(p), found[mine].tobytes(), bands[mine].tobytes(), keys[owners].tobytes(), counts.astype(np.uint32).tobytes()), strict=True):
-            column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["part", "hashes", "bands", "keys", "counts"])
-
-
-_PACKED = "part int, hashes binary, bands binary, keys binary, counts binary"
-
-
-def _packed(sets: Iterator[tuple[int, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in sets:
-        held.append(row)
-        size += len(row[1])
-        if size >= PACK:
-            yield _pack(held, parts)
-            held, size = [], 0
-    if held:
-        yield _pack(held, parts)
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(hashes, bands, keys) that occur more than once, by hash and key, each once."""
-    hashes, bands, keys = [], [], []
+    part, at = part[order], _runs(part[order])
+    ends = np.append(at[1:], len(part))
+    packed = []
+    for column in columns:
+        data = column[order]
+        packed.append(pa.array([data[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), *packed], names=["part", *names])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> list[np.ndarray]:
+    """The columns of packed rows, each as one array."""
+    held: dict[str, list[np.ndarray]] = {name: [] for name in kinds}
     for batch in batches:
-        for h, b, k, c in zip(*[batch.column(x).to_pylist() for x in ("hashes", "bands", "keys", "counts")], strict=True):
-            hashes.append(np.frombuffer(h, dtype=np.uint64))
-            bands.append(np.frombuffer(b, dtype=np.int8))
-            keys.append(np.repeat(np.frombuffer(k, dtype=np.int64), np.frombuffer(c, dtype=np.uint32)))
-    if not hashes:
-        return None
-    hashes, bands, keys = np.concatenate(hashes), np.concatenate(bands), np.concatenate(keys)
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    again = np.zeros(len(h), dtype=bool)
-    again[1:] = h[1:] == h[:-1]
-    again[:-1] |= again[1:].copy()
-    order = order[again]
-    hashes, bands, keys = hashes[order], bands[order], keys[order]
-    order = np.lexsort((keys, hashes))
-    hashes, bands, keys = hashes[order], bands[order], keys[order]
-    new = np.ones(len(hashes), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])
-    return (hashes[new], bands[new], keys[new]) if len(hashes) else None
+        for name, kind in kinds.items():
+            held[name] += [np.frombuffer(x, dtype=kind) for x in batch.column(name).to_pylist()]
+    return [np.concatenate(x) if x else np.zeros(0, dtype=kinds[name]) for name, x in held.items()]
+
+
+#: The low 40 bits of a signature; the part it is dealt to stands for the high ones.
+_SHORT = np.dtype(("V", 5))
+
+
+def _shorten(hashes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).view(_SHORT).reshape(-1)
+
+
+def _lengthen(short: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(short), 8), dtype=np.uint8)
+    wide[:, :5] = short.view(np.uint8).reshape(-1, 5)
+    return wide.view("<u8").reshape(-1)
 
 
 def _packed_signatures(docs: DataFrame, parts: int) -> DataFrame:
-    """The signatures of all texts, dealt by hash range."""
+    """The signatures of all texts, dealt by hash range: (part, hashes, keys, needs, counts), in order of keys."""
+
+    def pack(held: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
+        hashes = np.concatenate([s for _, s, _ in held])
+        owner = np.repeat(np.arange(len(held)), [len(s) for _, s, _ in held])
+        keys = np.array([k for k, _, _ in held], dtype=np.int64)
+        needs = np.minimum([n for _, _, n in held], 65535).astype(np.uint16)  # a lower need is safe
+        part = _range_of(hashes, parts)
+        order = np.argsort(part, kind="stable")
+        hashes, owner, part = _shorten(hashes[order]), owner[order], part[order]
+        at = _runs(part)
+        rows: list[list] = [[], [], [], [], []]
+        for a, b in zip(at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True):
+            first = a + _runs(owner[a:b])
+            counts = np.diff(np.append(first, b)).astype(np.uint32)
+            mine = owner[first]
+            for column, value in zip(rows, (int(part[a]), hashes[a:b].tobytes(), keys[mine].tobytes(), needs[mine].tobytes(), counts.tobytes()), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["part", "hashes", "keys", "needs", "counts"])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        held, size = [], 0
         for batch in batches:
             for _, found in shingle_sets(batch.column("text")):
-                if not len(found):
-                    continue
-                key = set_key(found)
-                if key in done:  # a copy in the same task; others meet in the buckets
+                if len(found) < BAND_ENDS[0] or (key := set_key(found)) in done:  # a copy in the same task; others meet in the buckets
                     continue
                 if len(done) > 1_000_000:
                     done.clear()
                 done.add(key)
-                sigs, bands, _ = signatures(found)
-                if len(sigs):
-                    yield key, sigs, bands
+                sigs, need = signatures(found)
+                held.append((key, sigs, need))
+                size += len(sigs)
+                if size >= PACK:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return docs.select("text").mapInArrow(run, "part int, hashes binary, keys binary, needs binary, counts binary")
 
-    return docs.select("text").mapInArrow(lambda batches: _packed(each(batches), parts), _PACKED)
+
+def _memberships(packed: DataFrame, parts: int) -> DataFrame:
+    """(key, need, pivot, n): in how many buckets with that pivot a key is, for keys in as many buckets as they need.
+
+    Buckets are found by hash range; their (key, pivot) pairs, counted, are
+    dealt by key range, packed again, and summed.
+    """
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, keys, needs, counts = _unpacked(batches, {"hashes": _SHORT, "keys": "i8", "needs": "u2", "counts": "u4"})
+        if not len(hashes):
+            return
+        hashes, keys, needs = _lengthen(hashes), np.repeat(keys, counts), np.repeat(needs, counts)
+        order = np.argsort(hashes, kind="stable")
+        sorted_hashes = hashes[order]
+        again = np.zeros(len(order), dtype=bool)
+        np.equal(sorted_hashes[1:], sorted_hashes[:-1], out=again[1:])
+        again[:-1] |= again[1:].copy()
+        order = order[again]  # all that occur once go before anything else is sorted
+        hashes, keys, needs = hashes[order], keys[order], needs[order]
+        order = np.lexsort((keys, hashes))
+        at = order[_runs(hashes[order], keys[order])] if len(order) else order
+        hashes, keys, needs = hashes[at], keys[at], needs[at]
+        if not len(hashes):
+            return
+        begins = _runs(hashes)
+        sizes = np.diff(np.append(begins, len(hashes)))
+        pivots = np.repeat(keys[begins], sizes)
+        several = np.repeat(sizes > 1, sizes)
+        keys, needs, pivots = keys[several], needs[several], pivots[several]
+        if not len(keys):
+            return
+        order = np.lexsort((pivots, keys))
+        keys, needs, pivots = keys[order], needs[order], pivots[order]
+        at = _runs(keys, pivots)
+        n = np.diff(np.append(at, len(keys))).astype(np.uint32)
+        keys, needs, pivots = keys[at], needs[at], pivots[at]
+        yield _rows(_range_of(mix(keys.view(np.uint64)), parts), [keys, needs, pivots, n], ["keys", "needs", "pivots", "n"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, needs, pivots, n = _unpacked(batches, {"keys": "i8", "needs": "u2", "pivots": "i8", "n": "u4"})
+        if not len(keys):
+            return
+        order = np.lexsort((pivots, keys))
+        keys, needs, pivots = keys[order], needs[order], pivots[order]
+        at = _runs(keys, pivots)
+        n = np.add.reduceat(n[order].astype(np.int64), at)
+        keys, needs, pivots = keys[at], needs[at].astype(np.int64), pivots[at]
+        own = _runs(keys)
+        enough = np.repeat(np.add.reduceat(n, own) >= needs[own], np.diff(np.append(own, len(keys))))
+        for lo in range(0, int(enough.sum()), 50_000):
+            some = np.flatnonzero(enough)[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (keys, needs, pivots, n)], names=["key", "need", "pivot", "n"])
+
+    found = packed.repartitionById(parts, F.col("part")).mapInArrow(buckets, "part int, keys binary, needs binary, pivots binary, n binary")
+    return found.repartitionById(parts, F.col("part")).mapInArrow(sums, "key long, need long, pivot long, n long")
+
+
+def _kept(edges: DataFrame) -> DataFrame:
+    """Memberships without the largest groups that a key can leave out, and without groups of one."""
+    size = edges.groupBy("pivot").agg(F.count("*").alias("size"))
+    before = W.partitionBy("key").orderBy(F.desc("size"), "pivot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    left = edges.join(size, "pivot").withColumn("so_far", F.sum("n").over(before)).where(F.col("so_far") >= F.col("need")).select("key", "pivot", "n")
+    left = cut(left)
+    return cut(left.join(left.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1"), "pivot"))
 
 
 def _sets(docs: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
@@ -226,141 +308,124 @@ def _sets(docs: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
                     keys.append(wanted[row])
                     sizes.append(len(found))
                     values.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(values, pa.binary())], names=["set_key", "n", "shingles"])
-
-    return cut(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "set_key long, n long, shingles binary"))
-
-
-def _promising(sets: DataFrame, parts: int) -> DataFrame:
-    """The sets of which at least ``PERCENT`` % is shared with others of ``sets``; a link needs that."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for key, value in zip(batch.column("set_key").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                found = np.frombuffer(value, dtype=np.uint64)
-                yield key, found, np.zeros(len(found), dtype=np.int8)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _unpacked(batches)
-        if found is None:
-            return
-        hashes, _, keys = found
-        several = np.zeros(len(hashes), dtype=bool)  # one key only, where rows repeat it
-        several[1:] = hashes[1:] == hashes[:-1]
-        several[:-1] |= several[1:].copy()
-        names, counts = np.unique(keys[several], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["set_key", "shared"])
-
-    packed = sets.mapInArrow(lambda batches: _packed(each(batches), parts), _PACKED)
-    shared = packed.repartitionById(parts, F.col("part")).mapInArrow(count, "set_key long, shared long").groupBy("set_key").agg(F.sum("shared").alias("shared"))
-    return cut(sets.select("set_key", "n", "shingles").join(shared, "set_key").where(100 * F.col("shared") >= PERCENT * F.col("n")))
-
-
-def _possible(n_x: Column, n_y: Column, shared_x: Column, shared_y: Column) -> Column:
-    """Whether sets can link whose intersection is at most what either shares with any other set."""
-    return (100 + PERCENT) * F.least(shared_x, shared_y) >= PERCENT * (n_x + n_y)
-
-
-def _buckets(packed: DataFrame, parts: int) -> DataFrame:
-    """Rows (signature, pivot, members, band, size, times): the members other than the pivot of buckets with two keys or more.
-
-    Small buckets with the same members are one row, with their number in
-    ``times``; a bucket above
-    ``ROW_MEMBERS`` takes several rows with the same pivot and signature.
-    """
-    schema = "signature long, pivot long, members array<long>, band int, size long, times long"
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(values, pa.binary())], names=["key", "size", "shingles"])
+
+    found = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "key long, size long, shingles binary")
+    return cut(found)
+
+
+def links_within(keys: np.ndarray, labels: np.ndarray, queries: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between members of different labels, of which one is a query: enough of them to join all labels that they can join."""
+    members, sizes, labels = len(keys), np.array([len(x) for x in sets]), labels.copy()
+    found: list[tuple[int, int]] = []
+
+    def join(x: int, near: np.ndarray) -> None:
+        for y in near.tolist():
+            if labels[y] != labels[x]:
+                found.append((int(keys[x]), int(keys[y])))
+                labels[labels == labels[y]] = labels[x]
+
+    if members <= FEW:
+        for x in np.flatnonzero(queries).tolist():
+            near = []
+            for y in np.flatnonzero(labels != labels[x]).tolist():
+                both = np.sort(np.concatenate([sets[x], sets[y]]), kind="stable")
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * common >= PERCENT * (len(both) - common):
+                    near.append(y)
+            join(x, np.array(near, dtype=np.int64))
+        return found
+    values, owner = np.concatenate(sets), np.repeat(np.arange(members), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    at = _runs(values)
+    held = np.diff(np.append(at, len(values)))
+    column = np.repeat(np.arange(len(at)), held)
+    held_by_many = held > max(8, members // 16)
+    # shingles of many members are bits of each member, those of few are lists of members
+    number = np.cumsum(held_by_many) - 1
+    many = held_by_many[column]
+    bits = np.zeros((members, -(-max(1, int(held_by_many.sum())) // 64) * 64), dtype=bool)
+    bits[owner[many], number[column[many]]] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    few = ~many & (held[column] > 1)
+    few_owner, few_column = owner[few], column[few]  # in order of columns: the lists
+    own_order = np.argsort(few_owner, kind="stable")
+    own_columns, own_edges = few_column[own_order], np.searchsorted(few_owner[own_order], np.arange(members + 1))
+    list_begins = np.searchsorted(few_column, own_columns)
+    list_sizes = held[own_columns]
+    for x in np.flatnonzero(queries).tolist():
+        low, high = -(-PERCENT * int(sizes[x]) // 100), 100 * int(sizes[x]) // PERCENT
+        others = np.flatnonzero((labels != labels[x]) & (sizes >= low) & (sizes <= high))
+        if not len(others):
+            continue
+        common = np.bitwise_count(bits[others] & bits[x]).sum(axis=1, dtype=np.int64)
+        a, b = own_edges[x], own_edges[x + 1]
+        if b > a:
+            n = list_sizes[a:b]
+            steps = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            common += np.bincount(few_owner[np.repeat(list_begins[a:b], n) + steps], minlength=members)[others]
+        join(x, others[100 * common >= PERCENT * (sizes[others] + sizes[x] - common)])
+    return found
+
+
+def _searched(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links found among ``members`` (pivot, x, y, key, label, query), block by block; x and y number a group's blocks."""
+    names = ["pivot", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _unpacked(batches)
-        if found is None:
-            return
-        sigs, bands, keys = found
-        first = np.ones(len(sigs), dtype=bool)
-        first[1:] = sigs[1:] != sigs[:-1]
-        begins = np.flatnonzero(first)
-        ends = np.append(begins[1:], len(sigs))
-        begins, ends = begins[ends - begins > 1], ends[ends - begins > 1]
-        small: dict[bytes, int] = {}  # by members and band: the row
-        out: list[list] = [[], [], [], [], [], []]
-        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-            if b - a <= WIDE:
-                what = keys[a:b].tobytes() + bands[a : a + 1].tobytes()
-                if what in small:
-                    out[5][small[what]] += 1
-                    continue
-                small[what] = len(out[0])
-            for lo in range(a + 1, b, ROW_MEMBERS):
-                row = (int(sigs[a].astype(np.int64)), int(keys[a]), keys[lo : min(b, lo + ROW_MEMBERS)], int(bands[a]), b - a, 1)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            if len(out[0]) >= 50_000:
-                yield batch_of(out)
-                out, small = [[], [], [], [], [], []], {}
-        if out[0]:
-            yield batch_of(out)
-
-    def batch_of(out: list[list]) -> pa.RecordBatch:
-        offsets = np.cumsum([0, *[len(m) for m in out[2]]]).astype(np.int32)
-        members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out[2])))
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), members, pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64())], names=["signature", "pivot", "members", "band", "size", "times"])
-
-    dealt = packed.repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(run, schema)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance, linked) for those distinct pairs of keys that can link, by comparing whole sets.
-
-    The set of b travels to that of a, once for each pair; the rows of an a in
-    very many pairs can be split, as both sides of each join have exchanges of
-    their own.
-    """
-    size = lambda k: sets.select(F.col("set_key").alias(k), F.col("n").alias(f"n_{k}"), F.col("shared").alias(f"shared_{k}"))
-    sized = pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b")
-    sized = cut(sized.where(_possible(F.col("n_a"), F.col("n_b"), F.col("shared_a"), F.col("shared_b"))).select("a", "b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            distance, linked = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                union = len(both) - common
-                distance[i], linked[i] = 1 - common / union, 100 * common >= PERCENT * union
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance), pa.array(linked)], names=["a", "b", "distance", "linked"])
-
-    x = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("y"))
-    result = sized.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, linked boolean")
-    return cut(result.groupBy("a", "b").agg(F.first("distance").alias("distance"), F.first("linked").alias("linked")))
-
-
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    for k in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")), k, "left")
-    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).drop("label_a", "label_b")
-
-
-def _left_over(buckets: DataFrame, able: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that the stars leave open: see the module's text."""
-    members = buckets.where(F.col("size") > 2).select("signature", "pivot", "band", "size", F.explode("members").alias("key")).join(able, ["key", "band"])
-    label_of = lambda k, name: labels.select(F.col("node").alias(k), F.col("label").alias(name))
-    members = members.join(label_of("key", "label"), "key", "left").join(label_of("pivot", "pivot_label"), "pivot", "left")
-    members = members.withColumns({"label": F.coalesce("label", "key"), "apart": F.coalesce("label", "key") != F.coalesce("pivot_label", "pivot")})
-    # in wide buckets, only keys with too few signatures in others
-    members = members.where((F.col("size") <= WIDE) | (F.col("n_shared") - F.col("n_narrow") >= F.col("slack")))
-    open_ = members.where("apart").select("signature", "pivot", "band").distinct()
-    inside = members.join(open_, ["signature", "pivot", "band"], "left_semi")
-    inside = cut(inside.join(tried.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "distance"), ["pivot", "key"], "left"))
-    x, y = inside.where("apart").alias("x"), inside.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("signature", "pivot", "band")]
-    near = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-    can = _possible(*[F.col(c) for c in ("x.n", "y.n", "x.shared", "y.shared")])
-    pairs = x.join(y, [*same, F.col("x.key") != F.col("y.key"), F.col("x.label") != F.col("y.label"), can, near])
-    pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+        def groups() -> Iterator[tuple[list, list, list, list]]:
+            last, held = None, ([], [], [], [])
+            for batch in batches:
+                for row in zip(*[batch.column(c).to_pylist() for c in (*names, "key", "label", "query")], batch.column("shingles"), strict=True):
+                    if row[:3] != last:
+                        if len(held[0]) > 1:
+                            yield held
+                        last, held = row[:3], ([], [], [], [])
+                    for column, value in zip(held, row[3:], strict=True):
+                        column.append(value)
+            if len(held[0]) > 1:
+                yield held
+
+        out: list[tuple[int, int]] = []
+        for keys, labels, queries, shingles in groups():
+            out += links_within(np.array(keys, dtype=np.int64), np.array(labels, dtype=np.int64), np.array(queries, dtype=bool), [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in shingles])
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    with_sets = members.join(sets.select("key", "shingles"), "key").select(*names, "key", "label", "query", "shingles")
+    return cut(with_sets.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct())
+
+
+def _blocks(members: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(members / BLOCK_MEMBERS, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _links(kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect every two keys which links connect."""
+    kept = cut(kept.join(sets.select("key", "size"), "key").select("key", "pivot", "n", "size"))
+    one = F.lit(0)
+    best = kept.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"), F.first("size").alias("size"))
+    best = cut(best)
+    of_group = best.groupBy("pivot").agg(F.count("*").alias("members"), F.sum("size").alias("total")).where("members > 1")
+    first = best.join(of_group, "pivot").withColumn("x", F.pmod(F.xxhash64("key"), _blocks(F.col("members"), F.col("total"))).cast("int"))
+    found = _searched(first.select("pivot", "x", one.alias("y"), "key", F.col("key").alias("label"), F.lit(True).alias("query")), sets)
+    labels = components(found)
+    held = kept.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "pivot", "size", F.coalesce("label", "key").alias("label"))
+    held = cut(held)
+    of_label = held.groupBy("pivot", "label").agg(F.count("*").alias("members"), F.sum("size").alias("total"))
+    of_group = of_label.groupBy("pivot").agg(F.max_by("label", F.struct("members", "label")).alias("largest"), F.sum("members").alias("members"), F.sum("total").alias("total"), F.max("members").alias("most"), F.max_by("total", F.struct("members", "label")).alias("most_total")).where("members > most")
+    queries = _blocks(F.col("members") - F.col("most"), F.col("total") - F.col("most_total"))
+    open_ = cut(of_group.select("pivot", "largest", queries.alias("x_blocks"), _blocks(F.col("members"), F.col("total")).alias("y_blocks")))
+    again = held.join(open_, "pivot")
+    every = lambda n: F.explode(F.sequence(one, F.col(n) - 1))
+    number = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    asking = again.where("label != largest").select("pivot", number("x_blocks").alias("x"), every("y_blocks").alias("y"), "key", "label", F.lit(True).alias("query"))
+    asked = again.select("pivot", every("x_blocks").alias("x"), number("y_blocks").alias("y"), "key", "label", F.lit(False).alias("query"), ((F.col("label") != F.col("largest")) & (number("x_blocks") == F.col("x"))).alias("there"))
+    rows = asking.unionByName(asked.where("not there").drop("there"))  # a query is in its own cell already
+    return found.unionByName(_searched(rows, sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -369,7 +434,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links reach. Texts that are null
     or hold no word have no shingles and are alone, as are rows whose doc_id is
     null (component null). Rows that repeat a doc_id are documents of their own
-    with the same id.
+    with the same id. Texts are read whole, however long; an empty table gives
+    no rows; further columns, of whatever name, are not looked at.
     """
     return _grouped(docs.withColumn("version", F.lit(0).cast("long"))).select("doc_id", "n_shingles", "component_id")
 
@@ -379,37 +445,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "version", "text")
     keyed = cut(document_keys(docs))
-    owners = cut(keyed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("slack").alias("slack")))
+    owners = cut(keyed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     total = owners.agg(F.sum("n")).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-int(0.7 * total) // PART_SIGNATURES))
-    buckets = cut(_buckets(_packed_signatures(docs.where(F.col("doc_id").isNotNull()), parts), parts))
-    release(spark)
-    # a linked set shares more signatures than the slack of a sound one, so keys that share fewer have no link
-    narrow = F.when(F.col("size") <= WIDE, F.col("times")).otherwise(0)
-    each = buckets.select("band", "times", narrow.alias("narrow"), F.explode(F.concat("members", F.array("pivot"))).alias("key"))
-    shared = each.groupBy("key", "band").agg(F.sum("times").alias("n_shared"), F.sum("narrow").alias("n_narrow"))
-    slack = owners.select(F.col("set_key").alias("key"), F.explode("slack").alias("band", "slack"))
-    able = cut(shared.join(slack, ["key", "band"]).where(F.col("n_shared") >= F.col("slack")).select("key", "band", "n_shared", "n_narrow", "slack"))
-    sets = _sets(docs, owners, able.select(F.col("key").alias("set_key")).distinct())
-    release(spark)
-    for _ in range(2):  # sets that drop out take what they alone shared with others along
-        sets = _promising(sets, parts)
-        release(spark)
-    able = cut(able.join(sets.select(F.col("set_key").alias("key"), "n", "shared"), "key"))
-    stars = buckets.select(F.col("pivot").alias("a"), F.explode("members").alias("b"), "band", "times")
-    for k in ("a", "b"):
-        stars = stars.join(able.select(F.col("key").alias(k), "band"), [k, "band"], "left_semi")
-    stars = cut(stars.groupBy("a", "b").agg(F.sum("times").alias("n")))
-    # each key with the pivot it shares most with; then what is still apart; then what stars leave open
-    tried = _verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")), sets)
-    labels = components(tried.where("linked"))
-    tried = cut(tried.union(_verified(_labelled(stars.join(tried, ["a", "b"], "left_anti"), labels), sets)))
-    labels = components(tried.where("linked"))
-    release(spark)
-    more = cut(_left_over(buckets, able, tried, labels))
-    if not more.isEmpty():
-        labels = components(tried.union(_verified(more, sets)).where("linked"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART_SIGNATURES))
+    edges = cut(_memberships(_packed_signatures(docs.where(F.col("doc_id").isNotNull()), parts), parts))
+    kept = _kept(edges)
+    sets = _sets(docs, owners, kept.select(F.col("key").alias("set_key")).distinct())
+    labels = components(_links(kept, sets))
     named = owners.select("set_key", F.col("doc_id").alias("own")).join(labels, F.col("set_key") == F.col("node"), "left")
     named = cut(named.select("set_key", "own", F.coalesce("label", "set_key").alias("label")))
     least_id = cut(named.groupBy("label").agg(F.min("own").alias("component")))

@@ -247,10 +247,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in made.collect()) == Counter({k[0]: n for k, n in copies.items()})
 
 
-def test_signatures_meet():
+def test_linked_sets_share_what_they_need():
     rng = np.random.default_rng(1)
-    for _ in range(1500):
-        n = int(rng.choice([3, 4, 5, 6, 7, 12, 13, 24, 25, 97, 150, 385]))
+    for _ in range(3000):
+        n = int(rng.choice([3, 4, 5, 6, 7, 12, 13, 24, 25, 33, 48, 49, 97, 150, 385]))
         a = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
         keep = n - int(rng.integers(0, n - -(-3 * n // 4) + 1))
         add = 0
@@ -258,7 +258,50 @@ def test_signatures_meet():
             add += 1
         b = np.sort(np.concatenate([rng.permutation(a)[:keep], rng.integers(0, 2**63, add, dtype=np.uint64)]))
         if 100 * keep >= 75 * (n + add) and len(b) >= 3:
-            assert len(np.intersect1d(jaccard.signatures(a)[0], jaccard.signatures(b)[0]))
+            (x, need_x), (y, need_y) = jaccard.signatures(a), jaccard.signatures(b)
+            assert len(np.intersect1d(x, y)) >= max(need_x, need_y) >= 1
+
+
+def test_links_within_a_block():
+    rng = np.random.default_rng(2)
+    for members in (2, 5, 7, 40, 150):
+        core = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([core[rng.random(60) < rng.choice([0.5, 0.8, 0.95])], rng.integers(0, 300, rng.integers(1, 9)).astype(np.uint64)])) for _ in range(members)]
+        keys, queries = np.arange(members) * 7 - 50, rng.random(members) < rng.choice([0.3, 1])
+        linked = [(i, j) for i in range(members) for j in range(members) if i != j and (queries[i] or queries[j]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+
+        def label(pairs):
+            names = list(range(members))
+            for i, j in pairs:
+                names = [names[i] if x == names[j] else x for x in names]
+            return [names.index(x) for x in names]
+
+        found = [((a + 50) // 7, (b + 50) // 7) for a, b in jaccard.links_within(keys, keys, queries, sets)]
+        assert set(found) <= set(linked) and len(found) < members and label(found) == label(linked)
+
+
+def test_dense_groups_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 16)
+    rng = random.Random(66)
+    texts = []
+    for size in (60, 200):
+        base = prose(rng, size).split()
+        for _ in range(110):
+            copy = list(base)
+            for k in rng.sample(range(size), rng.choice([1, 2, 3]) * size // 60):
+                copy[k] = "edit" + str(rng.randint(0, 99))
+            texts.append(" ".join(copy))
+    texts += texts[:20] + [texts[0] + " " + prose(rng, 70)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs_of(spark, texts)).collect()}
+    want = brute_components(texts)
+    assert [found[i] for i in range(len(texts))] == want and 20 < len({c for _, c in want}) < 200
+
+
+def test_jaccard_join_of_odd_tables(spark):
+    clash = spark.createDataFrame([(1, "a b c d e f", 0, 5), (1, "a b c d e f", 1, 6), (2, None, 2, 7), (3, "", 3, 8), (4, "w " * 200_000, 4, 9), (None, "a b c d e f", 5, 1)], "doc_id long, text string, component_id long, key long")
+    found = sorted(tuple(r) for r in jaccard.near_duplicates(clash).collect() if r.doc_id)
+    assert found == [(1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4)]
+    assert jaccard.near_duplicates(clash.limit(0)).count() == 0
 
 
 def test_components(spark):
