@@ -1,28 +1,31 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-Each tree gives a vector a long hash string. A character is the axis, of a
-random rotation's first ``AXES`` ones, along which the vector reaches farthest,
-and its sign: near vectors agree on it far more often than distant ones do. A
-tree is the sorted array of these strings. A query descends in every tree to
-the longest prefix it shares with others, then all trees ascend together, one
-character at a time, until the prefixes hold enough candidates; these are
-ranked by their exact distance.
+Each of ``TREES`` trees gives a vector a long hash string. A character is the
+axis of a random rotation along which the vector reaches farthest, and its
+sign: near vectors agree on it far more often than distant ones. A tree is the
+array of these strings in order. A query has several strings in each tree, its
+own and those that differ from it where the second farthest axes are hardly
+nearer; their *loss* is how much farther the own ones reach, squared.
+
+A query descends in every tree to the longest prefixes it shares with others.
+Then all trees ascend together, one character at a time, until the prefixes
+hold ``reach`` times the square root of the number of entries. Of the last
+level only the prefixes of least loss are taken. A first pass over the strings
+counts what each prefix holds, and so fixes where each query stops; the second
+ranks what these prefixes hold by distance to an 8-bit copy of the vectors, and
+the best ``spare`` of each query are compared with the vectors themselves. So a
+vector travels whole only where it is among a query's best, and once to the
+table of entries.
 
 Equal vectors are one entry with their least ids, as many as a result can show,
-so a vector with very many copies is one candidate. The arrays are dealt by
-tree and first character, and a cell above ``CELL_ROWS`` rows is split at
-random: a split cell answers from each part. A first pass over strings alone
-counts what each prefix of a query holds and fixes how far it ascends; the
-second passes the vectors by. Queries go only to cells with their own first
-character (to all cells of one tree, should even that hold too little).
-
-Vectors without any structure are the worst case: their nearest neighbours are
-hardly nearer than the rest, and the forest must look at a good part of the
-rows. ``least_share`` is set for these.
+so a vector with very many copies is one candidate. Strings are dealt by tree
+and a short prefix; such a group is split at random, entries and queries alike,
+where it holds more of them than a task should.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,9 +37,13 @@ from pyspark.sql import functions as F
 
 from parchwork.session import cut
 
-TREES, AXES, LENGTH, BITS = 32, 32, 8, 6
-#: Rows that a part of a cell should hold.
-CELL_ROWS = 20_000
+TREES, AXES, LENGTH, BITS = 32, 64, 4, 7
+#: Strings that a query has in a tree.
+PROBES = 64
+#: Entries and queries that a group should hold; one is split from twice as many on.
+GROUP_ENTRIES, GROUP_QUERIES = 20_000, 5_000
+#: Vectors packed at a time.
+PACK = 5_000
 
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
@@ -55,17 +62,36 @@ def rotations(dimension: int, seed: int) -> np.ndarray:
     return _rotations[key]
 
 
+def _reaches(vectors: np.ndarray, tree: int, place: int, seed: int) -> np.ndarray:
+    """How far vectors reach along each character of a place of the string: twice the axis, plus one for the positive side."""
+    along = vectors @ rotations(vectors.shape[1], seed)[tree, place].T
+    return np.stack([-along, along], axis=2).reshape(len(vectors), -1)
+
+
 def strings(vectors: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Hash strings of vectors as integers, ``BITS`` for each character, the first one highest."""
-    directions = rotations(vectors.shape[1], seed)[tree]
     out = np.zeros(len(vectors), dtype=np.int64)
-    for c in range(LENGTH):
-        along = vectors.astype(np.float32) @ directions[c].T
-        axis = np.abs(along).argmax(axis=1)
-        out = out << BITS | axis * 2 + (along[np.arange(len(along)), axis] > 0)
+    for place in range(LENGTH):
+        out = out << BITS | _reaches(vectors, tree, place, seed).argmax(axis=1)
     return out
 
 
+def probes(vectors: np.ndarray, tree: int, seed: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``PROBES`` strings of least loss that differ from the own one in the first ``depth`` characters, and their losses: (vector, probe)."""
+    out, loss = np.zeros((len(vectors), 1), dtype=np.int64), np.zeros((len(vectors), 1), dtype=np.float32)
+    for place in range(LENGTH):
+        reach = _reaches(vectors, tree, place, seed)
+        if place >= depth:
+            out = out << BITS | reach.argmax(axis=1)[:, None]
+            continue
+        more = (reach.max(axis=1, keepdims=True) - reach) ** 2
+        loss = (loss[:, :, None] + more[:, None, :]).reshape(len(vectors), -1)
+        out = (out[:, :, None] << BITS | np.arange(reach.shape[1])).reshape(len(vectors), -1)
+        best = np.argsort(loss, axis=1, kind="stable")[:, :PROBES]
+        out, loss = np.take_along_axis(out, best, 1), np.take_along_axis(loss, best, 1)
+    return out, loss
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector is neither null, empty nor zero and has only finite components."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -108,152 +134,320 @@ def distinct_vectors(vectors: DataFrame, keep: int) -> DataFrame:
     return whole.select(F.col("ids")[0].alias("entry"), "ids", "vector")
 
 
-def _cells(rows: DataFrame, parts: dict[tuple[int, int], int], seed: int, with_vectors: bool, everywhere: bool = False) -> DataFrame:
-    """Rows (id, vector, level) dealt to cells: packed (tree, cell, part, query, keys, ids, levels, vectors).
+def _unit(packed: list[bytes]) -> np.ndarray:
+    """Packed vectors, scaled so that the largest component is one; hash strings do not depend on length."""
+    x = np.frombuffer(b"".join(packed), dtype=np.float64).reshape(len(packed), -1)
+    return (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)
 
-    Rows with a null level are entries and go to one part of each cell; the
-    others are queries and go to all parts.
-    """
+
+class Plan:
+    """How strings are dealt: by tree and a hash of the first ``base`` characters to ``groups`` groups, and which groups are split."""
+
+    def __init__(self, total: int, axes: int) -> None:
+        long = math.log(max(total, 2)) / math.log(2 * max(axes, 2))
+        self.depth = min(LENGTH, max(1, round(long)))  # characters in which probes vary: about one entry holds as many
+        self.base = self.depth - 1  # the shortest prefix that is searched
+        self.groups = max(1, math.ceil(total / GROUP_ENTRIES)) if self.base else 1
+        self.split: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def group_of(self, keys: np.ndarray) -> np.ndarray:
+        prefix = (keys >> BITS * (LENGTH - self.base)).astype(np.uint64)
+        return ((prefix * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.groups)).astype(np.int64)
+
+
+_DEALT = "tree int, group int, part int, query_part int, query boolean, keys binary, ids binary, codes binary, scales binary, losses binary, sizes binary, levels binary, stops binary"
+
+
+def _row(**values: object) -> dict[str, object]:
+    return dict.fromkeys(("codes", "scales", "losses", "sizes", "levels", "stops"), b"") | values
+
+
+def _table(rows: list[dict[str, object]]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in _DEALT.split(", ")]
+    types = [*[pa.int32()] * 4, pa.bool_(), *[pa.binary()] * 8]
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], pa.Table]]:
+    """(ids, packed vectors, all columns) of about ``PACK`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= PACK:
+            yield _whole(held)
+            held, rows = [], 0
+    if rows:
+        yield _whole(held)
+
+
+def _whole(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, list[bytes], pa.Table]:
+    table = pa.Table.from_batches(batches)
+    return table["id"].to_numpy(), table["vector"].to_pylist(), table
+
+
+def _dealt_entries(rows: DataFrame, plan: Plan, seed: int) -> DataFrame:
+    """Entries (id, vector) packed by tree and group, with their strings and 8-bit copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            packed = batch.column("vector").to_pylist()
+        for ids, packed, _ in _batches(batches):
             x = np.frombuffer(b"".join(packed), dtype=np.float64).reshape(len(packed), -1)
-            ids = batch.column("id").to_numpy()
-            levels = batch.column("level").to_pylist()
-            query = levels[0] is not None
-            levels = np.array([0 if v is None else v for v in levels], dtype=np.int8)
-            rows: list[list] = [[] for _ in range(8)]
+            scale = np.abs(x).max(axis=1) / 127
+            codes, scale, unit = np.rint(x / scale[:, None]).astype(np.int8), scale, _unit(packed)
             for t in range(TREES):
-                keys = strings(x, t, seed)
-                cells = keys >> BITS * (LENGTH - 1)
-                groups = [(int(c), np.flatnonzero((cells == c) & (levels > 0) if query else cells == c)) for c in np.unique(cells)]
-                if query and t == 0 and (levels == 0).any():
-                    at = np.flatnonzero(levels == 0)
-                    groups = [(c, np.union1d(dict(groups).get(c, np.zeros(0, dtype=np.int64)), at)) for c in range(1 << BITS)]
-                for c, at in groups:
-                    n = parts.get((t, c), 0)
-                    deal = [(p, at) for p in range(n)] if query else [(p, at[ids[at] % 1_000_003 % n == p]) for p in range(n)]
-                    for p, mine in deal:
-                        if len(mine):
-                            row = (t, c, p, query, keys[mine].tobytes(), ids[mine].tobytes(), levels[mine].tobytes(), x[mine].astype(np.float64).tobytes() if with_vectors else b"")
-                            for column, value in zip(rows, row, strict=True):
-                                column.append(value)
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, types, strict=True)], names=_PACKED)
-
-    return rows.mapInArrow(run, "tree int, cell int, part int, query boolean, keys binary, ids binary, levels binary, vectors binary")
-
-
-_PACKED = ["tree", "cell", "part", "query", "keys", "ids", "levels", "vectors"]
-
-
-def _unpack(table: pa.Table, query: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    mine = table.filter(pa.compute.equal(table["query"], query))
-    join = lambda name, kind: np.frombuffer(b"".join(mine[name].to_pylist()), dtype=kind)
-    keys, ids = join("keys", np.int64), join("ids", np.int64)
-    vectors = join("vectors", np.float64)
-    return keys, ids, join("levels", np.int8), vectors.reshape(len(keys), -1) if len(vectors) else vectors
-
-
-def _ranges(keys: np.ndarray, wanted: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the sorted ``keys`` share the first ``level`` characters of each wanted string."""
-    shift = BITS * (LENGTH - level)
-    low = wanted >> shift << shift
-    return np.searchsorted(keys, low), np.searchsorted(keys, low + (1 << shift))
+                keys = strings(unit, t, seed)
+                groups, out = plan.group_of(keys), []
+                for g in np.unique(groups).tolist():
+                    parts, query_parts = plan.split.get((t, g), (1, 1))
+                    mine = np.flatnonzero(groups == g)
+                    for p in range(parts):
+                        at = mine[ids[mine] % 1_000_003 % parts == p] if parts > 1 else mine
+                        row = _row(tree=t, group=g, part=p, query=False, keys=keys[at].tobytes(), ids=ids[at].tobytes(), codes=codes[at].tobytes(), scales=scale[at].tobytes())
+                        out += [row | {"query_part": q} for q in range(query_parts)] if len(at) else []
+                yield _table(out)
+
+    return rows.mapInArrow(run, _DEALT)
+
+
+def _dealt_queries(rows: DataFrame, plan: Plan, seed: int) -> DataFrame:
+    """Queries (id, vector, level, loss) packed by tree and group, with the strings that they have there and where they stop."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, packed, table in _batches(batches):
+            levels, stops = table["level"].to_numpy().astype(np.int32), table["loss"].to_numpy()
+            x, unit = np.frombuffer(b"".join(packed), dtype=np.float64).reshape(len(packed), -1), _unit(packed)
+            for t in range(TREES):
+                keys, losses = probes(unit, t, seed, plan.depth)
+                groups, out = plan.group_of(keys), []
+                for g in np.unique(groups).tolist():
+                    parts, query_parts = plan.split.get((t, g), (1, 1))
+                    here = groups == g
+                    mine = np.flatnonzero(here.any(axis=1))
+                    for q in range(query_parts):
+                        at = mine[ids[mine] % 999_983 % query_parts == q] if query_parts > 1 else mine
+                        if len(at):
+                            row = _row(tree=t, group=g, query_part=q, query=True, keys=keys[at][here[at]].tobytes(), losses=losses[at][here[at]].astype(np.float32).tobytes(), sizes=here[at].sum(axis=1).astype(np.int32).tobytes(), ids=ids[at].tobytes(), codes=x[at].tobytes(), levels=levels[at].tobytes(), stops=stops[at].tobytes())
+                            out += [row | {"part": p} for p in range(parts)]
+                yield _table(out)
+
+    return rows.mapInArrow(run, _DEALT)
+
+
+def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
+
 
+def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    query = table["query"].to_numpy()
+    return table.filter(pa.array(~query)), table.filter(pa.array(query))
 
-def _count(table: pa.Table) -> pa.Table:
-    keys = np.sort(_unpack(table, False)[0])
-    wanted, ids, _, _ = _unpack(table, True)
-    counts = [np.subtract(*_ranges(keys, wanted, level)[::-1]) for level in range(1, LENGTH + 1)]
-    return pa.table({"id": ids, **{f"n{level + 1}": c.astype(np.int64) for level, c in enumerate(counts)}})
 
+def _prefixes(keys: np.ndarray, losses: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different prefixes of a query's strings, lowest string of each, with the least loss of each."""
+    shift = BITS * (LENGTH - level)
+    prefix = keys >> shift
+    order = np.lexsort((losses, prefix))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = prefix[order[1:]] != prefix[order[:-1]]
+    return prefix[order[first]] << shift, losses[order[first]]
+
+
+def _held(entries: np.ndarray, low: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sorted strings of entries have each prefix."""
+    return np.searchsorted(entries, low), np.searchsorted(entries, low + (1 << BITS * (LENGTH - level)))
+
+
+def _each_query(asked: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    keys, losses, edges = _joined(asked, "keys", "i8"), _joined(asked, "losses", "f4"), np.append(0, np.cumsum(_joined(asked, "sizes", "i4")))
+    for i, query in enumerate(_joined(asked, "ids", "i8").tolist()):
+        yield query, keys[edges[i] : edges[i + 1]], losses[edges[i] : edges[i + 1]]
+
+
+def _counter(plan: Plan):  # noqa: ANN202
+    def count(table: pa.Table) -> pa.Table:
+        """(id, levels, losses, counts): what each prefix of each query holds in this part of the group."""
+        entries, asked = _sides(table)
+        strings_here = np.sort(_joined(entries, "keys", "i8"))
+        out: list[list] = [[], [], [], []]
+        for query, keys, losses in _each_query(asked) if len(strings_here) else []:
+            found = []
+            for level in range(max(plan.base, 1), LENGTH + 1) if plan.base else range(LENGTH + 1):
+                low, loss = _prefixes(keys, losses, level)
+                begins, ends = _held(strings_here, low, level)
+                some = ends > begins
+                found.append((np.full(int(some.sum()), level, dtype=np.int8), loss[some], (ends - begins)[some]))
+            levels, loss, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(levels):
+                for column, value in zip(out, (query, levels.tobytes(), loss.astype(np.float32).tobytes(), counts.astype(np.int64).tobytes()), strict=True):
+                    column.append(value)
+        return pa.table([pa.array(c, t) for c, t in zip(out, [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["id", "levels", "losses", "counts"])
+
+    return count
+
+
+def _stopper(enough: int):  # noqa: ANN202
+    def stop(table: pa.Table) -> pa.Table:
+        """(id, level, loss, candidates): the level to which a query ascends in all trees, and the largest loss it takes there."""
+        levels, losses, counts = _joined(table, "levels", "i1"), _joined(table, "losses", "f4"), _joined(table, "counts", "i8")
+        for level in sorted(set(levels.tolist()), reverse=True):
+            mine = levels == level
+            if counts[mine].sum() >= enough:
+                break
+        order = np.argsort(losses[mine], kind="stable")
+        so_far = np.cumsum(counts[mine][order])
+        at = min(int(np.searchsorted(so_far, enough)), len(so_far) - 1)
+        return pa.table({"id": table["id"][:1], "level": pa.array([int(level)], pa.int32()), "loss": pa.array([float(losses[mine][order][at])], pa.float64()), "candidates": pa.array([int(so_far[at])], pa.int64())})
+
+    return stop
+
+
+def _ranker(spare: int):  # noqa: ANN202
+    def rank(table: pa.Table) -> pa.Table:
+        """(q, entry, about): the nearest entries of each query by their 8-bit copies."""
+        entries, asked = _sides(table)
+        out: list[list] = [[], [], []]
+        keys, ids, scales = _joined(entries, "keys", "i8"), _joined(entries, "ids", "i8"), _joined(entries, "scales", "f8")
+        if len(keys):
+            order = np.argsort(keys, kind="stable")
+            keys, ids, scales = keys[order], ids[order], scales[order]
+            codes = _joined(entries, "codes", "i1").reshape(len(keys), -1)[order]
+            x = _joined(asked, "codes", "f8").reshape(-1, codes.shape[1])
+            levels, stops = _joined(asked, "levels", "i4").tolist(), _joined(asked, "stops", "f8").tolist()
+            for i, (query, own, losses) in enumerate(_each_query(asked)):
+                level, most = levels[i], stops[i] + 1e-6
+                found = []
+                for at in (level, level + 1) if level < LENGTH else (level,):
+                    low, loss = _prefixes(own, losses, at)
+                    begins, ends = _held(keys, low[(loss <= most) | (at > level)], at)
+                    found += [np.arange(a, b) for a, b in zip(begins.tolist(), ends.tolist(), strict=True) if b > a]
+                if not found:
+                    continue
+                near = np.unique(np.concatenate(found))
+                square = ((codes[near] * scales[near][:, None] - x[i]) ** 2).sum(axis=1)
+                best = np.argpartition(square, spare - 1)[:spare] if len(near) > spare else np.arange(len(near))
+                out[0].append(np.full(len(best), query))
+                out[1].append(ids[near[best]])
+                out[2].append(square[best])
+        flat = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        return pa.table({"q": flat[0].astype(np.int64), "entry": flat[1].astype(np.int64), "about": flat[2].astype(np.float64)})
+
+    return rank
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, least_candidates: int = 2000, least_share: float = 0.3, seed: int = 11) -> DataFrame:
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, reach: float = 30.0, spare: int = 50, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of ``vectors`` for each of ``queries``, both (vec_id, vector).
 
     A query's own id is no candidate. Score is the Euclidean distance; ties go
-    to the smaller id. The trees ascend until together they hold at least
-    ``least_candidates`` entries and ``least_share`` of all entries, counting
-    one for each tree that finds it. Unusable vectors and null ids take no part.
+    to the smaller id. The trees ascend until together they hold ``reach``
+    times the root of the number of entries, counting one for each tree that
+    finds an entry; a query for which they hold fewer than ``k`` others is
+    compared with all entries. Unusable vectors and null ids take no part.
     Vectors are compared within each length, with a forest for each length
-    asked for. Rows that repeat an id and vector count once.
+    asked for. Rows that repeat an id and vector count once; an id with several
+    vectors gets one list, of the nearest to any of them. Empty tables give no
+    rows, and further columns are not looked at.
     """
     ok = vectors.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
     asked = queries.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     sizes = sorted(r[0] for r in asked.select(F.size("vector")).distinct().collect()) or [0]
     fits = lambda rows, size: rows.where(F.size("vector") == size)
-    found = [_nearest(fits(ok, size), fits(asked, size).distinct(), k, least_candidates, least_share, seed) for size in sizes]
+    found = [_nearest(fits(ok, size), fits(asked, size).distinct(), size, k, reach, spare, seed) for size in sizes]
     if len(found) == 1:
         return found[0]
     rows = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # an id may have vectors of several lengths
+    return _ranked(rows, k)
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _nearest(ok: DataFrame, asked: DataFrame, k: int, least_candidates: int, least_share: float, seed: int) -> DataFrame:
-    """``nearest`` for usable vectors (vec_id, vector) and queries (id, vector) of one length."""
-    entries = cut(distinct_vectors(ok, k + 1))
+def _packed(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(r, dtype=np.float64).tobytes() for r in batch.column("vector").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "vector"])
+
+    return rows.mapInArrow(run, "id long, vector binary")
+
+
+def _descents(entries: DataFrame, asked: DataFrame, total: int, dimension: int, reach: float, seed: int) -> tuple[Plan, DataFrame, DataFrame]:
+    """The plan, the dealt entries, and (id, level, loss, candidates) of each query (id, vector) that shares a prefix with an entry."""
+    plan = Plan(total, min(AXES, dimension))
+    one = entries.select(F.col("entry").alias("id"), "vector")
+    nowhere = asked.withColumns({"level": F.lit(0), "loss": F.lit(0.0)})
+    deal = lambda: cut(_dealt_entries(one, plan, seed).unionByName(_dealt_queries(nowhere, plan, seed)))
+    dealt = deal()
+    # groups that hold too much are split; they are few, as the mean group is within the bounds
+    sizes = dealt.groupBy("tree", "group").agg(*[F.sum(F.when(F.col("query") == q, F.length("ids") / 8).otherwise(0)).alias(n) for q, n in ((False, "entries"), (True, "queries"))])
+    for r in sizes.where((F.col("entries") > 2 * GROUP_ENTRIES) | (F.col("queries") > 2 * GROUP_QUERIES)).collect():
+        plan.split[r["tree"], r["group"]] = (max(1, math.ceil(r["entries"] / GROUP_ENTRIES)), max(1, math.ceil(r["queries"] / GROUP_QUERIES)))
+    if plan.split:
+        dealt = deal()
+    counts = dealt.drop("codes", "scales").groupBy(_GROUP).applyInArrow(_counter(plan), "id long, levels binary, losses binary, counts binary")
+    stops = counts.groupBy("id").applyInArrow(_stopper(math.ceil(reach * math.sqrt(total))), "id long, level int, loss double, candidates long")
+    return plan, dealt.where(~F.col("query")), cut(stops)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_GROUP = ["tree", "group", "part", "query_part"]
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """(q, entry, x, y) to (q, entry, score): distances of packed vectors, in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.array(r, dtype=np.float64).tobytes() for r in batch.column("vector").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["id", "vector"])
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.float64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("entry"), pa.array(np.sqrt(((x - y) ** 2).sum(axis=1)))], names=["q", "entry", "score"])
 
-    asked = cut(asked.mapInArrow(packed, "id long, vector binary"))
-    one = lambda rows: rows.select(F.col("entry").alias("id"), "vector", F.lit(None).cast("int").alias("level"))
-    total = entries.count()
-    # at most TREES * 2^BITS cells, whatever the input
-    found = _cells(one(entries), _Ones(), seed, False).groupBy("tree", "cell").agg(F.sum(F.length("ids") / 8).alias("n")).collect()
-    parts = {(r["tree"], r["cell"]): max(1, -(-int(r["n"]) // CELL_ROWS)) for r in found}
-    # first pass: how far each query ascends
-    counting = _cells(one(entries), parts, seed, False).unionByName(_cells(asked.withColumn("level", F.lit(LENGTH)), parts, seed, False))
-    levels = range(1, LENGTH + 1)
-    counts = counting.groupBy("tree", "cell", "part").applyInArrow(_count, "id long, " + ", ".join(f"n{i} long" for i in levels)).groupBy("id").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in levels])
-    enough = max(least_candidates, int(least_share * total))
-    level = F.lit(0)
-    for i in levels:
-        level = F.when(F.col(f"n{i}") >= enough, i).otherwise(level)
-    placed = asked.join(counts.select("id", level.alias("level")), "id", "left").select("id", "vector", F.coalesce("level", F.lit(0)).alias("level"))
+    return pairs.select("q", "entry", "x", "y").mapInArrow(run, "q long, entry long, score double")
 
-    def rank(table: pa.Table) -> pa.Table:
-        keys, ids, _, x = _unpack(table, False)
-        wanted, asked_ids, at_level, q = _unpack(table, True)
-        order = np.argsort(keys, kind="stable")
-        keys, ids, x = keys[order], ids[order], x[order] if len(keys) else x
+
+def _against_all(few: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(q, entry, score): the ``k`` nearest of all entries for queries (id, vector), block by block."""
+    blocks, query_blocks = (max(1, math.ceil(x.count() / n)) for x, n in ((entries, GROUP_ENTRIES), (few, GROUP_QUERIES)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    there = entries.select(of("entry", blocks).alias("block"), every(query_blocks).alias("query_block"), F.lit(False).alias("query"), F.col("entry").alias("id"), "vector")
+    asking = few.select(every(blocks).alias("block"), of("id", query_blocks).alias("query_block"), F.lit(True).alias("query"), "id", "vector")
+
+    def nearest_of(table: pa.Table) -> pa.Table:
+        held, asked = _sides(table)
         out: list[list] = [[], [], []]
-        for level in np.unique(at_level) if len(keys) else []:
-            mine = np.flatnonzero(at_level == level)
-            begins, ends = _ranges(keys, wanted[mine], int(level)) if level else (np.zeros(len(mine), dtype=np.int64), np.full(len(mine), len(keys)))
-            for i, lo, hi in zip(mine, begins, ends, strict=True):
-                if lo == hi:
-                    continue
-                distance = np.sqrt(((x[lo:hi] - q[i]) ** 2).sum(axis=1))
-                best = np.lexsort((ids[lo:hi], distance))[: k + 1] if hi - lo <= k + 1 else None
-                if best is None:
-                    limit = np.partition(distance, k)[k]
-                    near = np.flatnonzero(distance <= limit)
-                    best = near[np.lexsort((ids[lo:hi][near], distance[near]))][: k + 1]
-                out[0].append(np.full(len(best), asked_ids[i]))
-                out[1].append(ids[lo:hi][best])
-                out[2].append(distance[best])
+        if len(held):
+            x, ids = np.frombuffer(b"".join(held["vector"].to_pylist()), dtype=np.float64).reshape(len(held), -1), held["id"].to_numpy()
+            for query, packed in zip(asked["id"].to_pylist(), asked["vector"].to_pylist(), strict=True):
+                distance = np.sqrt(((x - np.frombuffer(packed, dtype=np.float64)) ** 2).sum(axis=1))
+                best = np.lexsort((ids, distance))[:k]
+                for column, value in zip(out, (np.full(len(best), query), ids[best], distance[best]), strict=True):
+                    column.append(value)
         flat = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": flat[0].astype(np.int64), "entry": flat[1].astype(np.int64), "score": flat[2].astype(np.float64)})
-
-    dealt = _cells(one(entries), parts, seed, True).unionByName(_cells(placed, parts, seed, True))
-    ranked = dealt.groupBy("tree", "cell", "part").applyInArrow(rank, "query_id long, entry long, score double")
-    by_distance = W.partitionBy("query_id").orderBy("score", "entry")
-    best = ranked.groupBy("query_id", "entry").agg(F.min("score").alias("score")).withColumn("place", F.row_number().over(by_distance)).where(F.col("place") <= k + 1)
-    rows = best.join(entries.select("entry", "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pa.table({"q": flat[0].astype(np.int64), "entry": flat[1].astype(np.int64), "score": flat[2].astype(np.float64)})
 
+    return there.unionByName(asking).groupBy("block", "query_block").applyInArrow(nearest_of, "q long, entry long, score double")
 
-class _Ones(dict):
-    """One part for every cell."""
 
-    def get(self, key: object, default: object = None) -> int:
-        return 1
+def _nearest(ok: DataFrame, asked: DataFrame, dimension: int, k: int, reach: float, spare: int, seed: int) -> DataFrame:
+    """``nearest`` for usable vectors (vec_id, vector) and queries (id, vector) of one length."""
+    entries = cut(distinct_vectors(ok, k + 1))
+    named = cut(_packed(asked).select(F.monotonically_increasing_id().alias("q"), F.col("id").alias("query_id"), "vector"))
+    questions = named.select(F.col("q").alias("id"), "vector")
+    total = entries.count()
+    plan, dealt, stops = _descents(entries, questions, total, dimension, reach, seed)
+    stopped = _dealt_queries(questions.join(stops, "id").select("id", "vector", "level", "loss"), plan, seed)
+    ranked = dealt.unionByName(stopped).groupBy(_GROUP).applyInArrow(_ranker(max(spare, k + 1)), "q long, entry long, about double")
+    closest = W.partitionBy("q").orderBy("about", "entry")
+    best = ranked.groupBy("q", "entry").agg(F.min("about").alias("about")).withColumn("place", F.row_number().over(closest)).where(F.col("place") <= max(spare, k + 1))
+    pairs = best.join(entries.select("entry", F.col("vector").alias("y")), "entry").join(named.select("q", F.col("vector").alias("x")), "q")
+
+    def listed(scored: DataFrame) -> DataFrame:
+        rows = scored.join(entries.select("entry", "ids"), "entry").join(named.select("q", "query_id"), "q")
+        return rows.select("q", "query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
+
+    found = cut(listed(_compared(pairs)))
+    short = cut(questions.join(found.groupBy(F.col("q").alias("id")).agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k), "id", "left_anti"))
+    if not short.isEmpty():
+        found = found.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(listed(_against_all(short, entries, k + 1)))
+    return _ranked(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k)

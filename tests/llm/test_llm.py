@@ -422,6 +422,45 @@ def test_forest_recall(spark):
     assert sorted(r.vec_id for r in found if r.query_id == 7) == list(range(50, 60))
 
 
+def recall_of(found, x, queries, k=10):
+    hits = 0
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:k]
+        mine = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, k + 1)) and all(abs(r.score - d[r.vec_id]) < 1e-12 for r in mine)
+        assert [(r.score, r.vec_id) for r in mine] == sorted((r.score, r.vec_id) for r in mine)
+        hits += len({r.vec_id for r in mine} & set(best))
+    return hits / k / len(queries)
+
+
+def test_forest_looks_at_few(spark, monkeypatch):
+    """Clustered and unstructured vectors, in split groups too: recall, and how many entries are looked at."""
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(40, 64))
+    for x, split in ((rng.normal(size=(20_000, 64)), False), (centres[rng.integers(0, 40, 20_000)] + 0.3 * rng.normal(size=(20_000, 64)), True), (centres[0] + 0.05 * rng.normal(size=(6000, 64)), True)):
+        if split:
+            monkeypatch.setattr(forest, "GROUP_ENTRIES", 1500)
+            monkeypatch.setattr(forest, "GROUP_QUERIES", 20)
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+        queries = range(0, len(x), 100)
+        asked = vectors.where("vec_id % 100 = 0")
+        assert recall_of(forest.nearest(vectors, asked).collect(), x, queries) >= 0.9
+        entries = forest.cut(forest.distinct_vectors(vectors, 11))
+        plan, _, stops = forest._descents(entries, forest._packed(asked.withColumnRenamed("vec_id", "id")), len(x), 64, 30.0, 11)
+        looked = [r.candidates for r in stops.collect()]
+        assert len(looked) == len(queries) and np.mean(looked) < 0.5 * len(x) and split <= bool(plan.split)
+
+
+def test_forest_of_odd_tables(spark):
+    """Repeated rows, an id with two vectors, clashing names, fewer rows than asked for, and none."""
+    rows = [(1, [1.0, 0.0], 0.1), (1, [1.0, 0.0], 0.2), (1, [0.0, 5.0], 0.3), (2, [1.0, 1.0], 0.4), (3, [0.0, 4.0], 0.5), (None, [1.0, 2.0], 0.6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<double>, score double")
+    found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in forest.nearest(vectors, vectors).collect())
+    assert found == [(1, 1, 2, 1.0), (1, 2, 3, 1.0), (2, 1, 1, 1.0), (2, 2, 3, 10**0.5), (3, 1, 1, 1.0), (3, 2, 2, 10**0.5)]
+    assert forest.nearest(vectors.limit(0), vectors).count() == 0 == forest.nearest(vectors, vectors.limit(0)).count()
+
+
 def test_forest_searches_each_length(spark):
     rng = np.random.default_rng(15)
     x = {i: rng.normal(size=8 if i % 40 else 3) for i in range(200)}  # the least id has an odd length
