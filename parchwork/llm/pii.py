@@ -1,11 +1,12 @@
 """Personal data: spans found by rules, and more by weak supervision.
 
 Base spans (email, ip, card, phone) come from their patterns and stay as they
-are. Looser patterns propose further candidates: phones without a country
-code, social security numbers, bank account numbers, spelled-out addresses.
-On each candidate, labelers vote for (1), against (-1) or not at all (0):
-patterns of strict form, gazetteers of prefixes and domains, and words of the
-context. Expectation-maximisation estimates for each kind how reliable each
+are. Looser patterns propose further candidates in what is left of the text:
+long numbers without a valid check digit, keys and passwords, phones without a
+country code, social security numbers, bank account numbers, spelled-out
+addresses. On each candidate, labelers vote for (+), against (-) or not at all
+(0): patterns of strict form, gazetteers of prefixes, key words and domains,
+words of the context, and personal data of other kinds beside it. Expectation-maximisation estimates for each kind how reliable each
 labeler is and how likely each pattern of votes is right; what it needs is the
 number of candidates for each kind and vote pattern, at most kinds * 3^labelers
 rows whatever the input. The resulting probabilities train the final span
@@ -28,44 +29,56 @@ from parchwork.llm import spans as S
 from parchwork.session import cut
 
 # A run of one class can't match from within if it doesn't match from its start: trying only there, or where the
-# last match ended, keeps long runs linear. Possessive runs never give back what they took.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# last match ended, keeps long runs linear. Possessive runs never give back what they took, and a possessive group is
+# repeated in a loop, while a greedy one recurses once for each repetition.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 BASE = ("email", "ip", "card", "phone")
 #: Further candidates: kind, a test of the text, pattern.
 PROPOSED = {
-    "local_phone": (r"[0-9]{3}[)\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+().-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"),
+    "long_number": (r"[0-9](?:[\x20-]?[0-9]){12}", r"(?<![0-9A-Za-z_.,$-])[0-9]{4}(?:[\x20-]?[0-9]){9,15}(?![0-9A-Za-z_]|[.,-][0-9])"),
+    "key": (r"(?i:password|passwd|passphrase|secret|token|api[_-]?key|credential)", r"""(?i:password|passwd|passphrase|secret|token|api[_-]?key|credentials?)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9+/_.=-]{8,}+"""),
+    "local_phone": (r"[0-9]{2}[)\x20./-]", r"(?<![0-9+().-])(?<!\+[0-9]{1,3}[\x20.-])(?:\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|0[1-9](?:[\x20.][0-9]{2}){4}|0[1-9][0-9]{1,4}[\x20/-]{1,3}[0-9]{5,8}|[679][0-9]{2}(?:\x20[0-9]{3}){2})(?![0-9-])"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "spelled_email": (r"(?i:[\[(\x20]at[\])\x20])", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(\x20]at[\])\x20]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(\x20]dot[\])\x20]\x20?[A-Za-z]{2,10}(?![A-Za-z0-9])"),
 }
-#: Code points of context on either side of a candidate.
+#: Code points of context on either side of a candidate, as far as its neighbours of the same kind.
 CONTEXT = 40
-LABELERS = ("form", "gazetteer", "context", "against", "filler")
+LABELERS = ("form", "gazetteer", "context", "company", "against", "filler")
 
 # Gazetteers and context words.
 CONTEXT_WORDS = {
+    "long_number": r"(?i)\b(card|credit|debit|visa|mastercard|amex|account|payment|karte|konto|carte|compte|tarjeta|cuenta)\b",
+    "key": r"(?i)\b(login|user|username|auth|authorization|bearer|access|private|config|env|export)\b",
     "local_phone": r"(?i)\b(phone|tel|telephone|call|mobile|cell|fax|contact|dial|whatsapp|telefon|llame|appelez)\b",
     "ssn": r"(?i)\b(ssn|social security|social insurance|taxpayer|tax id)\b",
     "iban": r"(?i)\b(iban|bank|account|transfer|bic|swift|konto|compte|cuenta)\b",
     "spelled_email": r"(?i)\b(e-?mail|mail|contact|write|reach)\b",
 }
 FORMS = {
-    "local_phone": r"^(\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}$",
+    "long_number": r"^([0-9]{13}|[0-9]{15}|[0-9]{16}|[0-9]{4}([\x20-])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}([\x20-])[0-9]{6}\3[0-9]{5})$",
+    "key": r"(?=[^:=]*[:=].*[0-9])(?=[^:=]*[:=].*[A-Za-z]).{28,}",
+    "local_phone": r"^((\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}|0[1-9](?:[\x20.][0-9]{2}){4}|0[1-9][0-9]{1,4}[/-][0-9]{5,8}|[679][0-9]{2}(?:\x20[0-9]{3}){2})$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "iban": r"^[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){3,7}(\x20?[A-Z0-9]{1,3})?$",
     "spelled_email": r"(?i)^[a-z0-9._%+-]+\x20?[\[(]at[\])]\x20?[a-z0-9-]+\x20?[\[(]dot[\])]\x20?[a-z]+$",
 }
 GAZETTEERS = {
+    "long_number": r"^(3[47]|4|5[1-5]|6011|65|2[2-7])",
+    "key": r"(?i)^(password|passwd|secret|token|api[_-]?key)",
     "local_phone": r"^\(?(201|202|206|212|213|214|215|267|281|301|302|303|305|310|312|313|323|347|404|408|415|503|512|602|617|646|650|702|713|718|773|800|808|818|832|855|866|877|888|917|949|972)",
     "ssn": r"^(00[1-9]|0[1-9][0-9]|[1-5][0-9]{2}|6[0-57-9][0-9]|66[0-57-9]|7[0-6][0-9]|77[0-2])",
     "iban": r"^(AT|BE|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK)",
     "spelled_email": r"(?i)(dot[\])\x20]\x20?(com|org|net|edu|gov|io|de|fr|es|uk))$",
 }
-AGAINST_WORDS = r"(?i)\b(version|isbn|issn|doi|build|release|figure|table|page|section|order no|part no|serial)\b"
+AGAINST_WORDS = r"(?i)\b(version|isbn|issn|doi|build|release|figure|table|page|section|order no|part no|serial|example|sample|placeholder|dummy)\b"
+FILLER = r"([0-9])\1{4}|0123|1234567|(?i:xxxx|changeme|your[_-])"
+#: Personal data of another kind in the context: masked base spans, or an assigned secret.
+COMPANY = rf"{S.MASK}|(?i:token|password|secret)\x20?[:=]"
 
 
 def luhn(digits: Column) -> Column:
@@ -73,38 +86,49 @@ def luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Spans of the four base kinds in a text that is not null."""
+def _base() -> dict[str, tuple[Callable[[Column], Column], str, Callable[[Column], Column]]]:
+    """For each base kind: a cheap test of a text, the pattern, and which matches count."""
     digits = lambda m: F.regexp_replace(m["g0"], r"[^0-9]", "")
     small = lambda m: F.forall(F.split(m["g0"], r"\."), lambda p: F.length(F.regexp_replace(p, "^0+(?=.)", "")).between(1, 3) & (F.regexp_replace(p, "^0+(?=.)", "").try_cast("int") <= 255))
-    card = lambda m: F.length(digits(m)).between(16, 19) & luhn(digits(m))
+    card = lambda m: S.let(digits(m), lambda d: F.length(d).between(16, 19) & luhn(d))
     phone = lambda m: F.length(digits(m)).between(8, 15)
-    found = {
-        "email": (F.contains(text, F.lit("@")), S.matches(text, EMAIL)),
-        "ip": (text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), F.filter(S.matches(text, IP), small)),
-        "card": (text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), F.filter(S.matches(text, CARD), card)),
-        "phone": (text.rlike(r"\+[0-9]"), F.filter(S.matches(text, PHONE), phone)),
+    return {
+        "email": (lambda t: F.contains(t, F.lit("@")), EMAIL, lambda m: F.lit(True)),
+        "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), IP, small),
+        "card": (lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), CARD, card),
+        "phone": (lambda t: t.rlike(r"\+[0-9]"), PHONE, phone),
     }
-    return {kind: F.when(test, S.plain(spans)).otherwise(S.none()) for kind, (test, spans) in found.items()}
+
+
+def base_spans(text: Column) -> dict[str, Column]:
+    """Spans of the four base kinds in a text that is not null."""
+    return {kind: F.when(test(text), S.plain(F.filter(S.matches(text, pattern), keep))).otherwise(S.none()) for kind, (test, pattern, keep) in _base().items()}
+
+
+def without_base(text: Column) -> Column:
+    """The text with its base spans masked, so that what is found in it lies apart from them."""
+    found = text
+    for test, pattern, keep in _base().values():
+        mine = S.masked(text, pattern, keep)
+        found = F.when(test(text) & (mine != text), F.when(found == text, mine).otherwise(S.overlaid(found, mine))).otherwise(found)
+    return found
 
 
 def candidates(text: Column) -> Column:
-    """Proposed spans of all kinds, with their votes and shape."""
+    """Proposed spans of all kinds in a masked text, with their votes and shape."""
 
     def row_of(kind: str) -> Callable[[Column], Column]:
         def row(m: Column) -> Column:
-            value = m["g0"]
-            first = F.greatest(m["start"] - CONTEXT + 1, F.lit(1))
-            before, after = F.substring(text, first, m["start"] + 1 - first), F.substring(text, m["end"] + 1, CONTEXT)
-            around = F.concat(before, F.lit(" "), after)
-            digits = F.regexp_replace(value, "[^0-9]", "")
+            value, before = m["g0"], m["before"]
+            around = F.concat(before, F.lit(" "), m["after"])
             vote = lambda yes, no: F.when(yes, "+").when(no, "-").otherwise("0")
             votes = F.concat(
                 vote(value.rlike(FORMS[kind]), ~value.rlike(FORMS[kind])),
                 vote(value.rlike(GAZETTEERS[kind]), F.lit(False)),
                 vote(around.rlike(CONTEXT_WORDS[kind]), F.lit(False)),
+                vote(around.rlike(COMPANY), F.lit(False)),
                 vote(F.lit(False), around.rlike(AGAINST_WORDS)),
-                vote(F.lit(False), digits.rlike(r"([0-9])\1{4}|0123|1234|^$") if kind != "spelled_email" else F.lit(False)),
+                vote(F.lit(False), value.rlike(FILLER)),
             )
             shape = F.concat(F.when(F.length(value) > 16, "L").otherwise("S"), F.when(before.rlike(r"[:=]\x20?$"), "C").when(before.rlike(r"\n$|^$"), "B").otherwise("W"))
             return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), votes.alias("votes"), shape.alias("shape"))
@@ -112,7 +136,15 @@ def candidates(text: Column) -> Column:
         return row
 
     empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,votes:string,shape:string>>)")
-    return F.concat(*[F.when(text.rlike(test), F.transform(S.matches(text, pattern), row_of(kind))).otherwise(empty) for kind, (test, pattern) in PROPOSED.items()])
+    return F.concat(*[F.when(text.rlike(test), F.transform(S.matches(text, pattern, context=CONTEXT), row_of(kind))).otherwise(empty) for kind, (test, pattern) in PROPOSED.items()])
+
+
+def proposes(text: Column) -> Column:
+    """Whether a text may hold a candidate."""
+    found = F.lit(False)
+    for test, _ in PROPOSED.values():
+        found = found | text.rlike(test)
+    return found
 
 
 @dataclass(frozen=True)
@@ -156,7 +188,7 @@ def estimate(counts: Iterable[tuple[str, str, int]], rounds: int = 50) -> dict[t
 def train(documents: DataFrame) -> SpanModel:
     """The final classifier from the candidates in ``documents`` (text), weighted by what EM believes of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    each = documents.select(F.explode(candidates(text)).alias("c")).select("c.kind", "c.votes", "c.shape")
+    each = documents.select(without_base(text).alias("left")).where(proposes(F.col("left"))).select(F.explode(candidates(F.col("left"))).alias("c")).select("c.kind", "c.votes", "c.shape")
     rows = [(r["kind"], r["votes"], r["shape"], r["n"]) for r in cut(each.groupBy("kind", "votes", "shape").agg(F.count("*").alias("n"))).collect()]
     counts: dict[tuple[str, str], int] = {}
     for kind, votes, _, n in rows:
@@ -202,20 +234,23 @@ def _is(kind: str) -> Callable[[Column], Column]:
 def find(documents: DataFrame, model: SpanModel) -> DataFrame:
     """``documents`` (doc_id, text) to (doc_id, found_<kind>...): base kinds, then proposed ones that were accepted.
 
-    A proposed span that overlaps a base span is left out. Null texts have no spans.
+    No proposed span overlaps a base span or another of its kind; of different
+    proposed kinds that overlap, each keeps its own. Null and empty texts have
+    no spans, an empty table gives no rows, equal rows give equal rows, and
+    other columns are left out. A text of millions of digits, dots or matches
+    takes time in proportion to its length.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = base_spans(text)
-    rows = documents.select("doc_id", *[c.alias(f"found_{k}") for k, c in base.items()], accepted(candidates(text), model).alias("more"))
-    every = F.concat(*[f"found_{k}" for k in base])
-    out = [F.col(f"found_{k}") for k in base]
-    apart = F.filter("more", lambda c: ~F.exists(every, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.withColumn("more", F.when(F.size("more") > 0, apart).otherwise(F.col("more")))
-    out += [S.plain(F.filter("more", _is(kind))).alias(f"found_{kind}") for kind in PROPOSED]
-    return rows.select("doc_id", *out)
+    rows = documents.select("doc_id", *[c.alias(f"found_{k}") for k, c in base.items()], without_base(text).alias("left"))
+    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,votes:string,shape:string>>)")
+    more = F.when(proposes(F.col("left")), accepted(candidates(F.col("left")), model)).otherwise(empty)
+    rows = rows.select("doc_id", *[f"found_{k}" for k in base], more.alias("more"))
+    return rows.select("doc_id", *[f"found_{k}" for k in base], *[S.plain(F.filter("more", _is(kind))).alias(f"found_{kind}") for kind in PROPOSED])
 
 
-SQL = r"""
+#: The base columns in SQL; what the method adds is not in them.
+BASE_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (
   SELECT doc_id, 1 AS o, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS b FROM d

@@ -7,9 +7,9 @@ ledger lacks, one text for each blob however many paths hold it, and joins the
 findings back to all paths.
 
 The whole path is DataFrame expressions. Texts are shuffled once, to keep one
-row of each unseen blob; the ledger is written to the shared checkpoint folder
-before it is joined back, so that adaptive execution can split a blob that very
-many paths hold.
+row of each unseen blob; the ledger is written, to its own folder (``update``)
+or to the shared checkpoint folder (``scan``), before it is joined back, so that
+adaptive execution can split a blob that very many paths hold.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchwork.llm import spans as S
@@ -51,14 +51,31 @@ RULES = (
     # a maximal run: what a shorter pattern would start within it can't be longer
     Rule("hex", 1, lambda t: t.rlike(r"[0-9a-f]{16}"), _of(r"[0-9a-f]{16,}", 16)),
     Rule("private_key", 1, lambda t: F.contains(t, F.lit("PRIVATE KEY-----")), _of(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 1)),
-    Rule("web_token", 1, lambda t: F.contains(t, F.lit("eyJ")), _of(r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", 1)),
+    Rule("web_token", 1, lambda t: F.contains(t, F.lit("eyJ")), _of(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", 1)),
 )
 BASE = ("assign", "access", "hex")
 
 
-def empty_ledger(like: DataFrame) -> DataFrame:
-    """A ledger that has seen nothing."""
-    return like.sparkSession.createDataFrame([], "blob string, rule string, version int, found array<struct<start:int,end:int>>")
+LEDGER = "blob string, rule string, version int, found array<struct<start:int,end:int>>"
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger kept in ``folder``; one that has seen nothing, if there is none yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001  the store may be one that only Spark reads
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # noqa: SLF001
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def update(versions: DataFrame, folder: str, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """Scan what the ledger in ``folder`` lacks of ``versions``, append it there, and return the whole ledger.
+
+    Nothing that is written is written again. A scan that is lost midway leaves
+    the ledger as it was, and the next one makes up for it.
+    """
+    spark = versions.sparkSession
+    unseen(versions, load(spark, folder), rules or RULES).write.mode("append").parquet(folder)
+    return load(spark, folder)
 
 
 def addressed(versions: DataFrame) -> DataFrame:
@@ -67,33 +84,40 @@ def addressed(versions: DataFrame) -> DataFrame:
     return versions.select("path", F.sha2(content, 256).alias("blob"), content.alias("content"))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger after all blobs of ``versions`` (path, content) have been seen by all rules.
+def unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What ``ledger`` lacks: a row for each pair of a blob of ``versions`` (path, content) and a rule version, with its spans.
 
-    Rows may repeat a path. Pairs already in the ledger are kept as they are
-    and their texts are not read again for that rule.
+    ``versions`` may hold any number of versions of a path, and equal rows.
+    Null content counts as empty, and so does a null path as a path; an empty
+    table gives no rows, and other columns are not looked at.
     """
     paths = addressed(versions)
     wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     first = paths.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("none"), "path")).alias("first"))
     if ledger is None:
-        unseen = first.withColumn("missing", F.transform(wanted, lambda r: r["rule"]))
+        missing = first.withColumn("missing", F.transform(wanted, lambda r: r["rule"]))
     else:
-        pairs = first.withColumn("pair", F.explode(wanted)).select("blob", "first", "pair.rule", "pair.version")
-        unseen = pairs.join(ledger, ["blob", "rule", "version"], "left_anti").groupBy("blob", "first").agg(F.collect_set("rule").alias("missing"))
-    unseen = unseen.select(F.col("blob").alias("u_blob"), F.col("first.path").alias("u_path"), "missing")
-    texts = paths.join(unseen.hint("shuffle_hash"), (F.col("blob") == F.col("u_blob")) & F.col("path").eqNullSafe(F.col("u_path")))
+        known = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("known"))
+        left = F.filter(wanted, lambda r: ~F.coalesce(F.array_contains("known", r), F.lit(False)))
+        missing = first.join(known, "blob", "left").withColumn("missing", F.transform(left, lambda r: r["rule"])).where(F.size("missing") > 0)
+    missing = missing.select(F.col("blob").alias("u_blob"), F.col("first.path").alias("u_path"), "missing")
+    texts = paths.join(missing.hint("shuffle_hash"), (F.col("blob") == F.col("u_blob")) & F.col("path").eqNullSafe(F.col("u_path")))
     results = []
     for r in rules:
         found = F.when(F.array_contains("missing", r.name) & r.test(F.col("content")), r.spans(F.col("content"))).otherwise(S.none())
         results.append(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), found.alias("found")))
     seen = texts.select("blob", "missing", F.explode(F.array(*results)).alias("r")).where(F.array_contains("missing", F.col("r.rule"))).select("blob", "r.*")
-    seen = seen.groupBy("blob", "rule", "version").agg(F.first("found").alias("found"))  # where rows repeat a path
-    return cut(seen if ledger is None else ledger.select("blob", "rule", "version", "found").unionByName(seen))
+    return seen.groupBy("blob", "rule", "version").agg(F.first("found").alias("found"))  # where rows repeat a path
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger after all blobs of ``versions`` (path, content) have been seen by all rules."""
+    seen = cut(unseen(versions, ledger, rules))
+    return seen if ledger is None else ledger.select("blob", "rule", "version", "found").unionByName(seen)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(path, blob, found_<rule>...) for every row of ``versions``: the spans that each rule has in it."""
+    """(path, blob, found_<rule>...) for every row of ``versions``: the spans that each rule, in its present version, has in it."""
     of_rule = {(r.name, r.version): f"found_{r.name}" for r in rules}
     columns = [F.first(F.when((F.col("rule") == name) & (F.col("version") == version), F.col("found")), ignorenulls=True).alias(alias) for (name, version), alias in of_rule.items()]
     hits = cut(ledger.where(F.size("found") > 0).groupBy("blob").agg(*columns))

@@ -18,30 +18,64 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def matches(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Column:
+#: Matches of a block. A fold copies what it has gathered at each step, so it gathers no more than this.
+BLOCK = 64
+#: A character that stands for one of a masked span.
+MASK = "\ue000"
+
+
+def matches(text: Column, pattern: str, groups: tuple[int, ...] = (0,), context: int = 0) -> Column:
     """The leftmost non-overlapping matches: structs of start, end and g0, g1... for the groups asked for.
 
     Start and end count code points, the end is exclusive. The pattern must not
-    match the empty string.
+    match the empty string. With ``context``, before and after hold as many
+    code points on either side, as far as the neighbouring matches.
     """
 
     def located(parts: Column) -> Column:
         found, between = parts["g0"], parts["between"]
         sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size")))
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+        spans = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+        total = lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"])
+
+        def before(acc: Column, n: Column) -> Column:
+            return F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
 
         def step(acc: Column, x: Column) -> Column:
             begin = acc["at"] + x["gap"]
             end = begin + x["size"]
             return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"))).alias("out"))
 
-        where = F.aggregate(sizes, start, step, lambda acc: acc["out"])
-        return F.transform(F.arrays_zip(where.alias("w"), *[parts[f"g{i}"].alias(f"g{i}") for i in range(len(groups))]), lambda z: F.struct(z["w"]["start"].alias("start"), z["w"]["end"].alias("end"), *[z[f"g{i}"].alias(f"g{i}") for i in range(len(groups))]))
+        def placed(blocks: Column) -> Column:
+            none_yet = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+            begins = F.aggregate(F.transform(blocks, total), none_yet, before, lambda acc: acc["out"])
+            return F.flatten(F.zip_with(blocks, begins, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), spans.alias("out")), step, lambda acc: acc["out"])))
+
+        number = F.floor((F.greatest(F.size(found), F.lit(1)) - 1) / BLOCK).cast("int")
+        where = let(sizes, lambda every: let(F.transform(F.sequence(F.lit(0), number), lambda k: F.slice(every, k * BLOCK + 1, F.lit(BLOCK))), placed))
+        columns = [where.alias("w"), *[parts[f"g{i}"].alias(f"g{i}") for i in range(len(groups))]]
+        if context:
+            columns += [F.slice(between, 1, F.size(found)).alias("b"), F.slice(between, 2, F.size(found)).alias("a")]
+        around = lambda z: [F.right(z["b"], F.lit(context)).alias("before"), F.left(z["a"], F.lit(context)).alias("after")] if context else []
+        return F.transform(F.arrays_zip(*columns), lambda z: F.struct(z["w"]["start"].alias("start"), z["w"]["end"].alias("end"), *[z[f"g{i}"].alias(f"g{i}") for i in range(len(groups))], *around(z)))
 
     all_groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)]
     return let(F.struct(F.split(text, pattern, -1).alias("between"), *all_groups), located)
 
 
+def masked(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
+    """The text with ``MASK`` for each character of the matches that ``keep`` accepts (as structs with g0)."""
+    hidden = lambda m: F.when(keep(F.struct(m.alias("g0"))), F.repeat(F.lit(MASK), F.length(m))).otherwise(m)
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return let(parts, lambda p: F.array_join(F.zip_with(p["between"], p["found"], lambda b, m: F.concat(b, F.coalesce(hidden(m), F.lit("")))), ""))
+
+
+def overlaid(first: Column, second: Column) -> Column:
+    """Two masked forms of one text as one: masked where either is."""
+    either = F.zip_with(F.split(first, ""), F.split(second, ""), lambda a, b: F.when(a == MASK, a).otherwise(b))
+    return F.array_join(either, "")
+
+
 def plain(spans: Column) -> Column:
     """Structs of start and end only."""
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
