@@ -5,8 +5,8 @@ Everything here works on a session the caller owns; nothing starts a cluster.
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
-#: Rows of an Arrow batch of texts or files.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch of texts or files.
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
+#: For Python workers: memory that Arrow and the C library let go of returns to the system.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "1000000"}
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -43,13 +45,16 @@ def attach(spark: SparkSession) -> SparkSession:
 
     On a cluster the package is installed or sent with ``--py-files``; this
     only adds the checkout to the workers' search path. Rows here are whole
-    texts or files, so Arrow batches are kept to ``BATCH_ROWS`` of them unless
-    the session says otherwise.
+    texts or files, so Arrow batches are kept to ``BATCH_ROWS`` of them and to
+    ``BATCH_BYTES`` unless the session says otherwise.
     """
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(batch) == "10000":  # the default
-        spark.conf.set(batch, str(BATCH_ROWS))
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", str(64 << 20), BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if (spark.conf.get(name) or "").removesuffix("b") == default:
+            spark.conf.set(name, str(value))
     env = spark.sparkContext.environment
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
@@ -77,6 +82,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="parchwork-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -88,16 +95,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that only dead plans refer to, before more disk is needed.
-
-    Spark removes them once the JVM has collected the plans, which a driver
-    with memory to spare may not do for a long time.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def output_columns(df: DataFrame, names: list[str]) -> list[str]:
     """Columns of ``df`` that do not clash (in any case) with ``names``."""
     taken = {n.lower() for n in names}
