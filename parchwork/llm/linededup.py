@@ -67,7 +67,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                     order += 1
-                if len(out[0]) > 100_000:
+                if len(out[0]) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
                     out = [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)

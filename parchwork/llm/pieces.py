@@ -2,28 +2,31 @@
 
 Three transducers are compiled from a model file and composed with each input:
 
-* the normaliser: space becomes U+2581, with a dummy one in front where the
-  model asks for it. Only models whose character map is the identity are
-  taken, others are refused;
-* the lexicon: a trie of pieces, each path accepting a piece's characters and
-  emitting its id;
-* the byte fallback: a character that no piece has is accepted and emits the
-  ids of its UTF-8 bytes (or the unknown id, where the model has no fallback).
-
-The encoding is the shortest path in the tropical semiring (min, +). For a
-unigram model an arc weighs minus the piece's log-probability. A BPE model has
-no such weights: its encoding is the outcome of ranked merges. There the
-composition carries the last piece in its state, and an arc weighs 0 if that
-piece and the next one would not have merged across their border, infinity
-otherwise. Exactly one path of finite weight then reaches each position, and
-it is the encoding that the merges give: merges inside a piece do not depend
-on what lies outside, so a sequence of pieces is the outcome of the merges
-just if each adjacent pair is.
-
-Inputs are cut where no piece can cross: before a U+2581 that follows
-something else (if no piece holds such a pair), and around characters outside
-the lexicon's alphabet. The parts are composed many at a time, position by
-position, and remembered in a table of bounded size, since words recur.
+* the normaliser rewrites the longest key of the model's character map at each
+  place, removes extra blanks and adds a dummy one in front where the model
+  asks for it, and writes space as U+2581;
+* the lexicon is a trie of pieces whose paths accept a piece's characters and
+  emit its id at their end;
+* the byte fallback accepts a character that is no piece and emits the ids of
+  its UTF-8 bytes (or the unknown id, where the model has no fallback).
+
+Composing the last two with a text gives an arc for each place where a path of
+the trie ends. The encoding is the shortest path over these arcs in the
+tropical semiring: weights add along a path, and of several paths to a place
+the least counts. For a unigram model an arc weighs minus the piece's
+log-probability. A BPE model has no such weights: its encoding is the outcome
+of ranked merges. There the composition carries the last piece in its state,
+and an arc weighs 0 if that piece and the next one would not have merged across
+their border, infinity otherwise. One path of weight 0 then reaches each place
+that a path reaches, and the one to the end is the encoding that the merges
+give: merges inside a piece do not depend on what lies outside, so a sequence
+of pieces is the outcome of the merges just if each adjacent pair is.
+
+Inputs are cut where no arc can cross: before a U+2581 that follows something
+else (if no piece holds such a pair), and around characters outside the
+lexicon's alphabet. The parts are composed many at a time, all places of one
+depth together, and words are remembered in a table of bounded size, since
+they recur.
 """
 
 from __future__ import annotations
@@ -39,24 +42,129 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Parts whose encodings a worker remembers, and a quarter of the piece pairs whose weights it does.
-REMEMBERED = 300_000
-#: Base of the polynomial hashes modulo 2^64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
-_power_tables: dict[int, np.ndarray] = {}
-
+#: Words whose encodings a worker remembers.
+REMEMBERED = 100_000
+#: Slots of the table of pair weights, a power of two.
+PAIRS = 1 << 20
+#: Characters that are composed at a time.
+STEP = 200_000
+INFINITY = np.float32(np.inf)
+
+
+class Normaliser:
+    """The compiled character map and the handling of blanks."""
+
+    def __init__(self, spec) -> None:  # noqa: ANN001
+        self.dummy, self.remove_extra = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        if not spec.escape_whitespaces:
+            raise ValueError("only models that write space as U+2581 are supported")
+        self.rules = self._rules(spec.precompiled_charsmap)
+        self.longest = max(map(len, self.rules), default=0)
+        first = "".join(sorted({k[0] for k in self.rules}))
+        self.begins = re.compile(f"[{re.escape(first)}]") if first else None
+
+    @staticmethod
+    def _rules(packed: bytes) -> dict[str, str]:
+        """Keys and what replaces them, from a double-array trie over UTF-8 bytes and the replacements it points to."""
+        if not packed:
+            return {}
+        size = int.from_bytes(packed[:4], "little")
+        units = np.frombuffer(packed[4 : 4 + size], dtype="<u4")
+        texts = packed[4 + size :]
+        base = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        letters = np.arange(1, 256)
+        found: dict[str, str] = {}
+        stack = [(0, b"")]
+        while stack:
+            node, key = stack.pop()
+            children = node ^ base(int(units[node])) ^ letters
+            children = children[children < len(units)]
+            labels = children ^ node ^ base(int(units[node]))
+            for child, letter in zip(children.tolist(), labels.tolist(), strict=True):
+                unit = int(units[child])
+                if unit & 0x800000FF != letter:
+                    continue
+                if unit >> 8 & 1:
+                    begin = int(units[child ^ base(unit)]) & 0x7FFFFFFF
+                    found[(key + bytes([letter])).decode()] = texts[begin : texts.index(0, begin)].decode()
+                stack.append((child, key + bytes([letter])))
+        return found
 
-def _powers(n: int, base: int) -> np.ndarray:
-    """base^0 to base^(n-1), modulo 2^64."""
-    table = _power_tables.get(base)
-    if table is None or len(table) < n:
-        size = max(n, 1 << 16)
-        table = np.full(size, base, dtype=np.uint64)
-        table[0] = 1
-        table = _power_tables[base] = np.multiply.accumulate(table)
-    return table[:n]
+    def rewritten(self, text: str) -> str:
+        """The text with the longest key at each place replaced, from left to right."""
+        if self.begins is None:
+            return text
+        out, at = [], 0
+        while True:
+            hit = self.begins.search(text, at)
+            if hit is None:
+                return "".join(out) + text[at:]
+            begin = hit.start()
+            out.append(text[at:begin])
+            for end in range(min(begin + self.longest, len(text)), begin, -1):
+                if text[begin:end] in self.rules:
+                    out.append(self.rules[text[begin:end]])
+                    at = end
+                    break
+            else:
+                out.append(text[begin])
+                at = begin + 1
+
+    def apply(self, text: str) -> str:
+        if not text:
+            return ""
+        text = self.rewritten(text)
+        if self.remove_extra:
+            text = re.sub(" +", " ", text).strip(" ")
+        text = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
+        return text.rstrip(SPACE) if self.remove_extra else text
+
+
+class Lexicon:
+    """A trie of pieces as arrays: arcs in order of state and letter, and the piece that ends in each state."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        self.alphabet = sorted({c for piece in pieces for c in piece})
+        self.longest = max(map(len, pieces), default=1)
+        self.letter = np.full(max(map(ord, self.alphabet), default=0) + 2, -1, dtype=np.int32)
+        self.letter[[ord(c) for c in self.alphabet]] = np.arange(len(self.alphabet))
+        states: dict[str, int] = {"": 0}
+        arcs: list[tuple[int, int]] = []
+        for piece in sorted(pieces):  # a state for each beginning of a piece
+            for end in range(1, len(piece) + 1):
+                if piece[:end] not in states:
+                    states[piece[:end]] = len(states)
+                    arcs.append((states[piece[: end - 1]] * len(self.alphabet) + int(self.letter[ord(piece[end - 1])]), states[piece[:end]]))
+        arcs.sort()
+        self.arcs, self.targets = np.array([a for a, _ in arcs], dtype=np.int64), np.array([t for _, t in arcs], dtype=np.int32)
+        self.ends = np.full(len(states), -1, dtype=np.int32)
+        for piece, i in pieces.items():
+            self.ends[states[piece]] = i
+        self.root = np.full(len(self.alphabet) + 1, -1, dtype=np.int32)  # the first step has no search; the last entry is for no letter
+        self.root[self.arcs[: np.searchsorted(self.arcs, len(self.alphabet))]] = self.targets[: np.searchsorted(self.arcs, len(self.alphabet))]
+
+    def letters(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of characters in the alphabet, -1 for others."""
+        return self.letter[np.minimum(codes, len(self.letter) - 1)]
+
+    def compose(self, letters: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Ids of pieces by length - 1 and end, -1 where none; left: characters up to the end of each one's part, itself included."""
+        n = len(letters)
+        piece = np.full((self.longest, n + 1), -1, dtype=np.int32)
+        at, state = np.arange(n), self.root[letters]
+        for length in range(1, self.longest + 1):
+            alive = state >= 0
+            at, state = at[alive], state[alive]
+            if not len(at):
+                break
+            piece[length - 1, at + length] = self.ends[state]
+            more = left[at] > length
+            at, state = at[more], state[more]
+            there = letters[at + length]
+            arc = state.astype(np.int64) * len(self.alphabet) + there
+            found = np.minimum(np.searchsorted(self.arcs, arc), len(self.arcs) - 1)
+            state = np.where((there >= 0) & (self.arcs[found] == arc), self.targets[found], -1)
+        return piece
 
 
 class Transducer:
@@ -67,17 +175,14 @@ class Transducer:
 
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
-        normaliser = proto.normalizer_spec
-        if len(normaliser.precompiled_charsmap) or normaliser.remove_extra_whitespaces or not normaliser.escape_whitespaces:
-            raise ValueError("only models with the identity character map and plain space escaping are supported")
         self.kind = proto.trainer_spec.model_type
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
-        if any(p.type == USER for p in proto.pieces):
-            raise ValueError("user-defined symbols are not supported")
-        self.dummy = normaliser.add_dummy_prefix
+        if any(p.type == USER for p in proto.pieces) or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("user-defined symbols and blanks at word ends are not supported")
+        self.normaliser = Normaliser(proto.normalizer_spec)
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
-        self.scores = [p.score for p in proto.pieces]
+        self.scores = np.array([p.score for p in proto.pieces], dtype=np.float32)
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.byte_ids = [0] * 256
         self.fallback = False
@@ -91,28 +196,27 @@ class Transducer:
                 self.surface.append(p.piece.replace(SPACE, " ").encode())
             else:
                 self.surface.append(" ⁇ ".encode() if p.type == UNKNOWN else b"")
-        self.alphabet = {c for piece in self.ids for c in piece}
-        self.longest = max(map(len, self.ids), default=1)
+        self.normal = [p.type == NORMAL for p in proto.pieces]
+        # pieces that merges never give can't be on a path of weight 0
+        self.pieces = {p: i for p, i in self.ids.items() if self.kind == UNIGRAM or len(p) == 1 or self._merged(p) == [p]}
+        self.names = {i: p for p, i in self.pieces.items()}
+        self.lexicon = Lexicon(self.pieces)
+        self.unknown_weight = np.float32(10) - min((self.scores[i] for i in self.ids.values()), default=np.float32(0))
+        alphabet = set(self.lexicon.alphabet)
         # where parts may be cut
-        crossed = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
-        inside = "".join(sorted(self.alphabet - {SPACE}))
-        known = f"[{re.escape(inside)}]" if inside else r"(?!)"
-        space = SPACE if SPACE in self.alphabet else ""
+        crossed = any(SPACE in piece.lstrip(SPACE) for piece in self.pieces)
+        known = f"[{re.escape(''.join(sorted(alphabet - {SPACE})))}]" if alphabet - {SPACE} else r"(?!)"
+        space = SPACE if SPACE in alphabet else ""
         if crossed or not space:
             self.parts = re.compile(f"(?:{known}|{space or '(?!)'})+|.", re.DOTALL)
         else:
             self.parts = re.compile(f"{space}+{known}*|{known}+|.", re.DOTALL)
-        self.lexicon = {p: i for p, i in self.ids.items() if self.kind == UNIGRAM or len(p) == 1 or self._merged(p) == [p]}
-        self._pairs: dict[int, bool] = {}
-        self._known: dict[str, bytes] = {}  # ids of parts
-        self._words: dict[str, bytes] = {}  # ids of words with the space before them
-        self.spaced = self.dummy and not crossed and bool(space)
-        if self.kind == BPE:
-            self._compile_tables()
-        penalty = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
-        self.unknown_weight = -penalty
-
-    # -- weights of the BPE lexicon -------------------------------------------------
+        #: A text whose words are separated by single blanks is encoded word by word.
+        self.by_word = self.normaliser.dummy and not crossed and bool(space) and (self.fallback or alphabet == set())
+        self._words: dict[str, bytes] = {}
+        self._pair_keys, self._pair_weights = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=np.float32)
+
+    # -- weights ---------------------------------------------------------------------
 
     def _merged(self, text: str) -> list[str]:
         """The outcome of the ranked merges on a short string."""
@@ -129,158 +233,106 @@ class Transducer:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def _adjacent(self, left: str, right: str) -> bool:
-        """Whether no merge crosses the border of two pieces."""
-        key = self.lexicon[left] << 32 | self.lexicon[right]
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) >= 4 * REMEMBERED:
-                self._pairs.clear()
-            found = self._pairs[key] = self._merged(left + right) == [left, right]
-        return found
-
-    # -- shortest path -----------------------------------------------------------------
-
-    def _shortest(self, part: str) -> list[int]:
-        """Ids along the shortest path through the composition with a part (BPE: of one unknown character)."""
-        if part not in self.alphabet and len(part) == 1:
-            return [self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
-        return self._shortest_weighted(part)
-
-    def _shortest_weighted(self, part: str) -> list[int]:
-        lexicon, longest, scores = self.lexicon, self.longest, self.scores
-        n = len(part)
-        best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])] + [(float("inf"), 0, [])] * n
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece = lexicon.get(part[start:end])
-                if piece is not None:
-                    weight, emitted = best[start][0] - scores[piece], [piece]
-                elif start == end - 1:
-                    weight = best[start][0] + self.unknown_weight
-                    emitted = [self.byte_ids[b] for b in part[start].encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
-                else:
-                    continue
-                if weight < best[end][0]:
-                    best[end] = (weight, start, emitted)
-        path, end = [], n
-        while end:
-            _, start, emitted = best[end]
-            path.append(emitted)
-            end = start
-        return [i for emitted in reversed(path) for i in emitted]
-
-    # -- many parts at once ------------------------------------------------------------
-
-    def _compile_tables(self) -> None:
-        """Arrays for composing many parts at a time: hashes of the pieces, and a cache of pair weights."""
-        codes = max(map(ord, self.alphabet), default=0) + 1
-        self._char = np.zeros(codes, dtype=np.uint64)
-        rng = np.random.default_rng(20)
-        letters = np.array(sorted(map(ord, self.alphabet)), dtype=np.int64)
-        self._char[letters] = rng.integers(1, 2**63, len(letters), dtype=np.uint64)
-        names = list(self.lexicon)
-        hashes = np.zeros(len(names), dtype=np.uint64)
-        for length in range(1, self.longest + 1):
-            at = [i for i, x in enumerate(names) if len(x) == length]
-            if at:
-                grid = np.array([[ord(c) for c in names[i]] for i in at])
-                hashes[at] = (self._char[grid] * _powers(length, BASE)).sum(axis=1, dtype=np.uint64)
-        order = np.argsort(hashes)
-        self._hashes, self._hash_ids = hashes[order], np.array([self.lexicon[x] for x in names], dtype=np.int64)[order]
-        if (self._hashes[1:] == self._hashes[:-1]).any():
-            raise ValueError("two pieces have the same hash")
-        self._sieve = np.zeros(1 << 20, dtype=bool)
-        self._sieve[hashes >> np.uint64(44)] = True
-        self._names = {i: x for x, i in self.lexicon.items()}
-        self._pair_keys, self._pair_fits = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20, dtype=bool)
-
-    def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """For pairs of ids, whether no merge crosses their border."""
-        keys = left << 32 | right
-        slots = (keys * 0x9E3779B1 ^ keys >> 29) & (len(self._pair_keys) - 1)
-        fits, missing = self._pair_fits[slots], np.flatnonzero(self._pair_keys[slots] != keys)
+    def _border(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Weights of BPE pieces ``right`` after ``left``: 0, or infinity where a merge crosses the border."""
+        keys = left.astype(np.int64) << 32 | right
+        slots = (keys * 0x9E3779B1 ^ keys >> 29) & (PAIRS - 1)
+        weights, missing = self._pair_weights[slots], np.flatnonzero(self._pair_keys[slots] != keys)
         if len(missing):
-            names = self._names
-            computed = [self._adjacent(names[k >> 32], names[k & 0xFFFFFFFF]) for k in keys[missing].tolist()]
-            fits[missing] = computed
-            # equal slots may take different keys here: written as one row each, the last wins in both arrays
-            last = {s: i for i, s in enumerate(slots[missing].tolist())}
-            kept = missing[list(last.values())]
-            self._pair_keys[slots[kept]], self._pair_fits[slots[kept]] = keys[kept], fits[kept]
-        return fits
-
-    def _shortest_many(self, parts: list[str]) -> list[bytes]:
-        """Shortest paths for many parts of known characters, a position of all parts at a time."""
+            different, where = np.unique(keys[missing], return_inverse=True)
+            names = [(self.names[k >> 32], self.names[k & 0xFFFFFFFF]) for k in different.tolist()]
+            computed = np.array([0 if self._merged(a + b) == [a, b] else np.inf for a, b in names], dtype=np.float32)
+            weights[missing] = computed[where]
+            slots = (different * 0x9E3779B1 ^ different >> 29) & (PAIRS - 1)
+            last = np.unique(slots[::-1], return_index=True)[1]  # of pairs with one slot, the last stays in both arrays
+            last = len(slots) - 1 - last
+            self._pair_keys[slots[last]], self._pair_weights[slots[last]] = different[last], computed[last]
+        return weights
+
+    # -- shortest paths ----------------------------------------------------------------
+
+    def shortest(self, parts: list[str]) -> list[bytes]:
+        """Ids, as little-endian 32-bit integers, along the shortest path through the composition with each part."""
+        out: list[bytes] = []
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size >= STEP:
+                out += self._shortest(held)
+                held, size = [], 0
+        return out + self._shortest(held) if held else out
+
+    def _shortest(self, parts: list[str]) -> list[bytes]:
         lengths = np.array([len(p) for p in parts])
         starts = np.cumsum(lengths) - lengths
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)
-        n = len(codes)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self._char[codes] * _powers(n, BASE), out=sums[1:])
-        back = _powers(n, INVERSE)
-        offset = np.arange(n) - np.repeat(starts, lengths)  # of a position in its part
-        piece = np.full((self.longest, n + 1), -1, dtype=np.int32)  # by length - 1 and end
-        for length in range(1, self.longest + 1):
-            ends = np.flatnonzero(offset >= length - 1) + 1
-            if not len(ends):
-                break
-            begins = ends - length
-            hashes = (sums[ends] - sums[begins]) * back[begins]
-            maybe = self._sieve[hashes >> np.uint64(44)]
-            ends, hashes = ends[maybe], hashes[maybe]
-            found = np.minimum(np.searchsorted(self._hashes, hashes), len(self._hashes) - 1)
-            same = self._hashes[found] == hashes
-            piece[length - 1, ends[same]] = self._hash_ids[found[same]]
-        last, taken = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-        active = np.flatnonzero(lengths)
-        for i in range(1, int(lengths.max(initial=0)) + 1):
-            active = active[lengths[active] >= i]
-            open_ = starts[active] + i
-            for length in range(1, min(i, self.longest) + 1):
-                right = piece[length - 1, open_].astype(np.int64)
-                can = np.flatnonzero(right >= 0)
-                if len(can) and length < i:
-                    can = can[self._fits(last[open_[can] - length], right[can])]
-                if len(can):
-                    last[open_[can]], taken[open_[can]] = right[can], length
-                    done = np.ones(len(open_), dtype=bool)
-                    done[can] = False
-                    open_ = open_[done]
-                if not len(open_):
-                    break
-        # walk back from the ends of all parts together
-        out: list[np.ndarray] = []
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        n, longest = len(codes), self.lexicon.longest
+        letters = self.lexicon.letters(codes)
+        piece = self.lexicon.compose(letters, np.repeat(starts + lengths, lengths) - np.arange(n))
+        distance, taken, last = np.full(n + 1, INFINITY), np.zeros(n + 1, dtype=np.int32), np.full(n + 1, -1, dtype=np.int32)
+        depth = np.arange(n) - np.repeat(starts, lengths) + 1  # of a place after its character
+        # arcs by depth, then by length: short ones first, but for unigrams, where of equal paths that with the longest last piece counts
+        rows, ends = np.nonzero(piece >= 0)
+        lone = np.flatnonzero(piece[0, 1:] < 0) + 1  # after a character that is no piece, but for itself
+        ids = np.concatenate([piece[rows, ends], np.full(len(lone), self.unknown, dtype=np.int32)])
+        turn = np.concatenate([rows if self.kind == BPE else longest - rows, np.full(len(lone), longest + 1)])
+        size, ends = np.concatenate([rows + 1, np.ones(len(lone), dtype=np.int64)]), np.concatenate([ends, lone])
+        key = depth[ends - 1] * (longest + 2) + turn
+        order = np.argsort(key, kind="stable")
+        key, ids, size, ends = key[order], ids[order], size[order], ends[order]
+        edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        least = np.float32(0) if self.kind == BPE else -INFINITY  # no path to a place can weigh less
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=True):
+            to, arcs = ends[lo:hi], ids[lo:hi]
+            open_ = distance[to] > least
+            self._relax(to[open_], int(size[lo]), arcs[open_], int(depth[to[0] - 1]), distance, taken, last)
+        return self._walked(parts, codes, starts, lengths, taken, last)
+
+    def _relax(self, ends: np.ndarray, length: int, ids: np.ndarray, depth: int, distance: np.ndarray, taken: np.ndarray, last: np.ndarray) -> None:
+        """Take the arcs of ``length`` characters into ``ends`` that make a path shorter."""
+        if not len(ends):
+            return
+        begins = ends - length
+        before = distance[begins] if depth > length else np.zeros(len(ends), dtype=np.float32)
+        if self.kind == UNIGRAM:
+            weight = np.where(ids == self.unknown, self.unknown_weight, -self.scores[ids])
+        else:
+            weight = np.zeros(len(ends), dtype=np.float32)
+            if depth > length:
+                apart = (ids == self.unknown) | (last[begins] == self.unknown) | (last[begins] < 0)  # nothing merges with what is no piece
+                weight[~apart] = self._border(last[begins][~apart], ids[~apart])
+        through = before + weight
+        shorter = through < distance[ends]
+        ends, ids = ends[shorter], ids[shorter]
+        distance[ends], taken[ends], last[ends] = through[shorter], length, ids
+
+    def _walked(self, parts: list[str], codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, taken: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """What the paths emit, walking back from the ends of all parts together."""
+        found: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         at, owner = (starts + lengths)[lengths > 0], np.flatnonzero(lengths)
         while len(at):
-            out.append(last[at])
+            found.append(np.where(last[at] == self.unknown, -1 - codes[at - 1].astype(np.int64), last[at]))
             owners.append(owner)
             at = at - taken[at]
             more = at > starts[owner]
             at, owner = at[more], owner[more]
-        if not out:
+        if not found:
             return [b""] * len(parts)
-        owner, ids = np.concatenate(owners[::-1]), np.concatenate(out[::-1])
+        owner, ids = np.concatenate(owners[::-1]), np.concatenate(found[::-1])
         order = np.argsort(owner, kind="stable")
-        data, ends = ids[order].astype(np.int32).tobytes(), np.cumsum(np.bincount(owner, minlength=len(parts))) * 4
-        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def _remember(self, parts: set[str]) -> None:
-        """Encode parts that are not known yet."""
-        if self.kind != BPE:
-            for p in parts:
-                self._known[p] = np.array(self._shortest(p), dtype=np.int32).tobytes()
-            return
-        plain = []
-        for p in parts:
-            if len(p) == 1 and p not in self.alphabet:
-                self._known[p] = np.array(self._shortest(p), dtype=np.int32).tobytes()
-            else:
-                plain.append(p)
-        for lo in range(0, len(plain), 20_000):
-            some = plain[lo : lo + 20_000]
-            self._known.update(zip(some, self._shortest_many(some), strict=True))
+        owner, ids = owner[order], ids[order]
+        ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
+        plain = ids.astype(np.int32)
+        out = [plain[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in np.unique(owner[ids < 0]).tolist():  # with characters that are no pieces
+            mine = ids[ends[i - 1] if i else 0 : ends[i]].tolist()
+            out[i] = np.array([x for k in mine for x in ([k] if k >= 0 else self._emitted(chr(-1 - k)))], dtype=np.int32).tobytes()
+        return out
+
+    def _emitted(self, character: str) -> list[int]:
+        return [self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
     # -- whole texts -------------------------------------------------------------------
 
@@ -292,48 +344,56 @@ class Transducer:
         for text in texts:
             held.append(text or "")
             size += len(held[-1])
-            if size > 1_000_000:
+            if size > STEP:
                 out += self._encode_some(held)
                 held, size = [], 0
         return out + self._encode_some(held)
 
     def _encode_some(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-            self._words.clear()
-        known, words = self._known, self._words
-        cut: list[tuple[bool, list[str]]] = []
+        rows: list[list[str]] = []  # of each text: words, each with the U+2581 before it
         for text in texts:
-            # where single spaces separate words, each word with its space is a row of parts
-            simple = self.spaced and text and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text
-            if simple:
-                cut.append((True, text.split(" ")))
-            elif text:
-                cut.append((False, self.parts.findall((SPACE if self.dummy else "") + text.replace(" ", SPACE))))
+            text = self.normaliser.apply(text)
+            if self.by_word and text[:1] == SPACE and text[-1:] != SPACE and SPACE * 2 not in text:
+                rows.append(text[1:].split(SPACE))
             else:
-                cut.append((False, []))
-        new_words = {w for simple, row in cut if simple for w in row}.difference(words)
-        split = {w: self.parts.findall(SPACE + w) for w in new_words}
-        missing = {p for row in split.values() for p in row}
-        missing.update(p for simple, row in cut if not simple for p in row)
-        self._remember(missing.difference(known))
-        for word, row in split.items():
+                rows.append(["", *self.parts.findall(text)])
+        plain = [r for r in rows if not r or r[0] != ""]
+        if len(self._words) > REMEMBERED:
+            self._words.clear()
+        words = self._words
+        new = list({w for row in plain for w in row}.difference(words))
+        split = [self.parts.findall(SPACE + w) for w in new]
+        loose = {p for row in rows if row and row[0] == "" for p in row[1:]}
+        parts = list({p for row in split for p in row} | loose)
+        known = dict(zip(parts, self.shortest(parts), strict=True))
+        for word, row in zip(new, split, strict=True):
             words[word] = known[row[0]] if len(row) == 1 else b"".join([known[p] for p in row])
-        if len(words) > REMEMBERED:
-            some = [b"".join([words[w] for w in row]) if simple else b"".join([known[p] for p in row]) for simple, row in cut]
-            words.clear()
-            return some
-        return [b"".join([words[w] for w in row]) if simple else b"".join([known[p] for p in row]) for simple, row in cut]
+        out = [b"".join([words[w] for w in row]) if not row or row[0] != "" else b"".join([known[p] for p in row[1:]]) for row in rows]
+        return out if self.fallback else [self._joined(x) for x in out]
+
+    def _joined(self, packed: bytes) -> bytes:
+        """Without a fallback, neighbouring unknown characters are one unknown id."""
+        ids = np.frombuffer(packed, dtype=np.int32)
+        again = np.zeros(len(ids), dtype=bool)
+        again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[~again].tobytes()
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], dtype=np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; invalid UTF-8 becomes U+FFFD and ids outside the model an error."""
-        data = b"".join(map(self.surface.__getitem__, ids))
-        if self.dummy and data[:1] == b" ":
-            data = data[1:]
-        return data.decode("utf-8", "replace")
+        parts = list(map(self.surface.__getitem__, ids))
+        if self.normaliser.dummy or self.normaliser.remove_extra:
+            for i, part in enumerate(parts):  # the blank in front, or all of them
+                if not self.normal[ids[i]]:
+                    if part:
+                        break
+                    continue
+                parts[i] = part.removeprefix(b" ")
+                if not self.normaliser.remove_extra or parts[i]:
+                    break
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _loaded: dict[str, tuple[bytes, Transducer]] = {}

@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Words of a shingle.
 WIDTH = 5
 #: Bytes of text hashed at a time; a longer text is a step of its own.
-STEP = 2_000_000
+STEP = 500_000
 
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)

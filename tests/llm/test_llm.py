@@ -50,6 +50,46 @@ def test_encoding_equals_the_library():
         assert mine.decode(library.encode(text)) == library.decode(library.encode(text))
 
 
+def small_model(kind, charsmap, fallback, extra, dummy):
+    """A model put together by hand: pieces with scores that are no round numbers, so that paths seldom tie."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = random.Random(71)
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = kind, fallback
+    if charsmap:
+        proto.normalizer_spec.CopyFrom(pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).normalizer_spec)
+    proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.escape_whitespaces = extra, dummy, True
+    add = lambda piece, kind, score=0.0: proto.pieces.add(piece=piece, type=kind, score=score)
+    add("<unk>", pieces.UNKNOWN)
+    add("<s>", pieces.CONTROL)
+    for b in range(256) if fallback else ():
+        add(f"<0x{b:02X}>", pieces.BYTE)
+    names = list("abcdeß中▁")
+    while len(names) < 90:  # each piece is two others side by side, as merges make them
+        name = rng.choice(names) + rng.choice(names)
+        if name not in names and len(name) < 7 and "▁" not in name[1:]:
+            names.append(name)
+    for rank, name in enumerate(names):
+        add(name, pieces.NORMAL, -rank - rng.random() if kind == pieces.BPE else -rng.uniform(1, 9))
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize(("kind", "charsmap", "fallback", "extra", "dummy"), [(k, *x) for k in (pieces.UNIGRAM, pieces.BPE) for x in ((False, True, False, True), (True, False, True, True), (True, True, False, False), (False, False, True, False))])
+def test_encoding_with_other_models_equals_the_library(kind, charsmap, fallback, extra, dummy):
+    import sentencepiece
+
+    model = small_model(kind, charsmap, fallback, extra, dummy)
+    mine, library = pieces.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(72)
+    texts = ["", " ", "  ", "a", "▁", "\t", "ｱｲ ﬁ  ①"] + ["".join(rng.choice("aaabbbcccdde   ßß中\t\nxé①ﬁｱAÀ😀\u0301") for _ in range(rng.randint(1, 25))) for _ in range(600)]
+    for text, data in zip(texts, mine.encode_batch(texts), strict=True):
+        ids = np.frombuffer(data, dtype=np.int32).tolist()
+        assert ids == library.encode(text), text
+        assert mine.decode(ids) == library.decode(ids), text
+
+
 @with_model
 def test_encode_documents(spark):
     found = {r.doc_id: r for r in pieces.encode_documents(docs_of(spark, ODD), pieces.read_model(MODEL)).collect()}
