@@ -87,7 +87,7 @@ def probes(vectors: np.ndarray, tree: int, seed: int, depth: int) -> tuple[np.nd
         more = (reach.max(axis=1, keepdims=True) - reach) ** 2
         loss = (loss[:, :, None] + more[:, None, :]).reshape(len(vectors), -1)
         out = (out[:, :, None] << BITS | np.arange(reach.shape[1])).reshape(len(vectors), -1)
-        best = np.argsort(loss, axis=1, kind="stable")[:, :PROBES]
+        best = np.argpartition(loss, PROBES - 1, axis=1)[:, :PROBES] if loss.shape[1] > PROBES else np.arange(loss.shape[1])[None, :].repeat(len(loss), 0)
         out, loss = np.take_along_axis(out, best, 1), np.take_along_axis(loss, best, 1)
     return out, loss
 
@@ -433,10 +433,11 @@ def _nearest(ok: DataFrame, asked: DataFrame, dimension: int, k: int, reach: flo
     """``nearest`` for usable vectors (vec_id, vector) and queries (id, vector) of one length."""
     entries = cut(distinct_vectors(ok, k + 1))
     named = cut(_packed(asked).select(F.monotonically_increasing_id().alias("q"), F.col("id").alias("query_id"), "vector"))
-    questions = named.select(F.col("q").alias("id"), "vector")
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    questions = cut(named.select(F.col("q").alias("id"), "vector").repartition(tasks, "id"))  # few bytes, but much work each
     total = entries.count()
     plan, dealt, stops = _descents(entries, questions, total, dimension, reach, seed)
-    stopped = _dealt_queries(questions.join(stops, "id").select("id", "vector", "level", "loss"), plan, seed)
+    stopped = _dealt_queries(questions.join(stops, "id").select("id", "vector", "level", "loss").repartition(tasks, "id"), plan, seed)
     ranked = dealt.unionByName(stopped).groupBy(_GROUP).applyInArrow(_ranker(max(spare, k + 1)), "q long, entry long, about double")
     closest = W.partitionBy("q").orderBy("about", "entry")
     best = ranked.groupBy("q", "entry").agg(F.min("about").alias("about")).withColumn("place", F.row_number().over(closest)).where(F.col("place") <= max(spare, k + 1))

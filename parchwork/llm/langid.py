@@ -175,7 +175,8 @@ def predict(text: Column, profiles: Profiles) -> Column:
     """A struct of lang_pred and score (the cosine, not below 0).
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing
-    was learned. Ties go to the language first by code point.
+    was learned. Ties go to the language first by code point. Equal texts get
+    equal answers, and a text is read whole, in steps, however long.
     """
     languages, matrix = np.array([*profiles.languages, "und"], dtype=object), profiles.matrix
     dimensions, seed = profiles.dimensions, profiles.seed

@@ -9,11 +9,12 @@ least ``min_words`` words are deleted from the later document; deletions of all
 its partners are united, and the first document keeps its lines.
 
 The result is that of comparing with all earlier documents, but most pairs are
-never formed. A block holds, around each of its lines, a shortest run of
+never formed: documents meet through shared hashes of lines, rare ones first. A block holds, around each of its lines, a shortest run of
 ``min_words`` words (from the line on, or up to it); so only holders of such a
 run can delete the line. A run is tried against its first holder, and, as long
 as a line of it stays, against 2, 4, 8 ... further earlier ones until none is
-left. Runs that their first holder aligns, however many documents share them,
+left; so a rare run is settled after few documents, and a common one that still
+stays meets its other holders later. Runs that their first holder aligns, however many documents share them,
 lead to one pair a document; only those that stand in another order there meet
 more.
 
@@ -260,6 +261,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Null texts stay null and empty ones empty. Rows without a doc_id are left
     alone. Rows that repeat a doc_id are not compared with one another; equal
     rows lose the same lines. Input columns named like an added one give way.
+    Texts are aligned whole, however long; an empty table gives no rows. Of two
+    documents with the same lines in another order, the later one loses the
+    longest chain that both have.
     """
     added = ["deleted_lines", "deleted_words"]
     columns = output_columns(docs, added)

@@ -131,7 +131,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     named like an output give way to it. A null or blank text has size 0 and
     takes nothing; the null source is a source of its own, ranked last. Equal
     rows are ordered among themselves arbitrarily, which no result can show.
-    An empty table gives an empty result.
+    Sizes are of whole texts, however long. An empty table gives an empty result.
     """
     plan = plan_mix(docs, **options)
     out = ["size", "source_size", "target", "copies", "taken"]

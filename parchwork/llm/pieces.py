@@ -447,8 +447,9 @@ def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, ids, n_tokens, n_byte_tokens, decoded_ok.
 
     decoded_ok tells whether decoding the ids gives the text back; it is null
-    for a null text, whose ids are null too. Equal rows give equal rows, and
-    other columns of ``docs`` are left out.
+    for a null text, whose ids are null too, and an empty text has no ids.
+    Equal rows give equal rows, an empty table none, texts are encoded whole,
+    however long, and other columns of ``docs`` are left out.
     """
     compiled = _transducer(model, "model")
     low, high = (min(compiled.byte_ids), max(compiled.byte_ids)) if compiled.fallback else (-1, -1)

@@ -70,7 +70,11 @@ def _one(counts: np.ndarray, words: np.ndarray) -> list[float]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats) for each row; a null text has the statistics of an empty one."""
+    """(doc_id, stats) for each row; a null text has the statistics of an empty one.
+
+    Texts are counted whole, however long; equal rows have equal statistics, an
+    empty table gives no rows, and other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

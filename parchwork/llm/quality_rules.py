@@ -128,10 +128,13 @@ def distance(counts: Column, shares: list[float]) -> Column:
 def judge(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """doc_id, the counts, base_failed, char_distance, word_distance, kept.
 
-    ``docs`` has doc_id, text and lang; lang only tells which documents make up
-    a language's reference. Each distance is to the nearest language. A null
-    text counts as empty: it fails the base rules and has null distances. With
-    no reference at all, only the base rules decide. Equal rows are judged alike.
+    ``docs`` has doc_id, text and lang; lang tells which documents make up a
+    language's reference, and that a document is in a language without one: on
+    these only the base rules decide. Each distance is to the nearest language.
+    A null text counts as empty: it fails the base rules and has null distances.
+    With no reference at all, only the base rules decide. Equal rows are judged
+    alike, texts are counted whole however long, an empty table gives no rows,
+    and further columns, of whatever name, are left out.
     """
     limits = limits or Limits()
     measured = cut(measure(docs))
@@ -144,5 +147,6 @@ def judge(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     judged = measured.withColumns({"_n": n, "char_distance": characters, "word_distance": common})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = ((F.col("_n") >= limits.least_characters) & (F.col("char_distance") > limits.characters)) | ((F.col("n_words") >= limits.least_words) & (F.col("word_distance") > limits.words))
+    known = F.col("lang").isNull() | F.col("lang").isin(list(refs))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *counts, failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"), "char_distance", "word_distance")
+    return judged.select("doc_id", *counts, failed.alias("base_failed"), (~failed & ~F.coalesce(far & known, F.lit(False))).alias("kept"), "char_distance", "word_distance")

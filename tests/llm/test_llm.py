@@ -631,3 +631,119 @@ def test_forest_searches_each_length(spark):
 def test_spans(spark):
     row = spark.createDataFrame([("😀ab cab",)], "t string").select(S.matches(F.col("t"), "a(b)", (0, 1)).alias("m")).first()
     assert [(m.start, m.end, m.g0, m.g1) for m in row.m] == [(1, 3, "ab", "b"), (5, 7, "ab", "b")]
+
+
+def test_distances_equal_plain_python(spark):
+    """op2's histograms and distances, on short, long and foreign texts."""
+    rng = random.Random(81)
+    langs = [rng.choice(["en", "de", None, "ja"]) for _ in range(80)]
+    texts = [prose(rng, rng.randint(5, 300), [*quality_rules.COMMON.get(x, ["あい", "日本"]), "Wort", "THE", "x-1", "#*|"]) for x in langs]
+    found = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, texts + ODD, langs + [None] * len(ODD))).collect()}
+    left = lambda t: [len(t), *[len(t := regex.sub(p, "", t)) for p in quality_rules.CLASSES.values()]]
+
+    def histograms(t):
+        sizes, ws = left(t), WORD.findall(t)
+        marks = Counter(w for x in ws for w in quality_rules.VOCABULARY if x in (w, w.capitalize()))
+        return [a - b for a, b in zip(sizes, sizes[1:])] + [sizes[-1]], [marks[w] for w in quality_rules.VOCABULARY] + [len(ws) - sum(marks.values())]
+
+    def apart(counts, shares):
+        p, q = np.array(counts) / max(1, sum(counts)), np.array(shares)
+        m = (p + q) / 2
+        kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+        return max(0, (kl(p) + kl(q)) / 2) ** 0.5
+
+    refs = {}
+    for lang in ("de", "en"):
+        sums = [np.sum(x, axis=0) for x in zip(*[tuple(map(np.array, histograms(t))) for t, y in zip(texts, langs, strict=True) if y == lang], strict=True)]
+        refs[lang] = [x / x.sum() for x in sums]
+    limits = quality_rules.Limits()
+    for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
+        chars, common = histograms(t)
+        near = [min(apart(h, refs[x][k]) for x in refs) for k, h in enumerate((chars, common))]
+        assert abs(found[i].char_distance - near[0]) < 1e-9 and abs(found[i].word_distance - near[1]) < 1e-9
+        far = (len(t) >= limits.least_characters and near[0] > limits.characters) or (len(WORD.findall(t)) >= limits.least_words and near[1] > limits.words)
+        assert found[i].kept == (not found[i].base_failed and not (far and lang != "ja"))
+    assert {bool(found[i].kept) for i in range(80)} == {True, False}
+
+
+def test_quadratic_scores_equal_the_formula(spark):
+    rng = random.Random(82)
+    texts = [prose(rng, rng.randint(1, 80)) + "! " * rng.choice([0, 0, 30]) for _ in range(60)] + ODD
+    rows = quadratic.statistics(docs_of(spark, texts))
+    x = {r.doc_id: np.array(r.stats) for r in rows.collect()}
+    marked = [(i, int("! !" in texts[i])) for i in range(0, 60, 2)] + [(0, int("! !" in texts[0]))]
+    model = quadratic.fit(rows, spark.createDataFrame(marked, "doc_id long, label int"))
+    found = {r.doc_id: r.s for r in rows.select("doc_id", quadratic.score(F.col("stats"), model).alias("s")).collect()}
+    of = {k: np.array([x[i] for i, y in marked if y == k]) for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in of.items()}
+    pooled = sum(len(of[k]) * cov[k] for k in of) / len(marked)
+    pooled = 0.95 * pooled + 0.05 * np.diag(np.diag(pooled)) + 1e-4 * np.eye(len(pooled))
+    for i, v in x.items():
+        density = []
+        for k in (0, 1):
+            s, d = 0.9 * cov[k] + 0.1 * pooled, v - of[k].mean(axis=0)
+            density.append(np.log(len(of[k]) / len(marked)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * d @ np.linalg.solve(s, d))
+        assert abs(found[i] - 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))) < 1e-6
+    assert found[60] == found[61] and found[67] == found[68]  # null as empty, repeated texts
+    assert quadratic.statistics(docs_of(spark, [])).count() == 0
+
+
+def test_language_scores_equal_plain_python(spark):
+    rng = random.Random(83)
+    texts = ["".join(rng.choice("abcdé ßA1-😀") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    langs = [rng.choice(["x", "y"]) for _ in texts]
+
+    def vector(text):
+        codes = [0]
+        for c in text.lower():
+            code = ord(c) if c.isalpha() else 0
+            if code or codes[-1]:
+                codes.append(code)
+        codes += [0] if codes[-1] else []
+        v = lambda c, by: np.roll(langid.letter_vector(c, 256, 7), by).astype(float)
+        return sum((v(a, 2) * v(b, 1) * v(c, 0) for a, b, c in zip(codes, codes[1:], codes[2:])), np.zeros(256)), any(codes)
+
+    model = langid.train(docs_of(spark, texts, langs), dimensions=256)
+    sums = {k: sum(vector(t)[0] for t, y in zip(texts, langs, strict=True) if y == k) for k in ("x", "y")}
+    asked = texts + ODD[:5] + ODD[6:]
+    for r in docs_of(spark, asked).select("doc_id", langid.predict(F.col("text"), model).alias("p")).select("doc_id", "p.*").collect():
+        v, lettered = vector(asked[r.doc_id] or "")
+        cosines = {k: float(v @ s / np.linalg.norm(s) / (np.linalg.norm(v) or 1)) for k, s in sums.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert (r.lang_pred == best or abs(cosines["x"] - cosines["y"]) < 1e-5) if lettered else r.lang_pred == "und"
+        assert abs(r.score - (max(0, cosines[best]) if lettered else 0)) < 1e-5
+    tied = langid.train(docs_of(spark, ["abc", "abc"], ["b", "a"]))
+    assert docs_of(spark, ["abc"]).select(langid.predict(F.col("text"), tied)["lang_pred"].alias("x")).first().x == "a"
+    assert langid.accept(docs_of(spark, []), langid.train(docs_of(spark, []))).count() == 0
+
+
+def test_line_dedup_and_mix_of_odd_tables(spark):
+    lines = "\n".join(f"one two three four five six {i}" for i in range(3))
+    rows = [(1, lines, 7, "a"), (1, lines, 8, "a"), (2, lines, 9, "b"), (2, None, 9, None), (None, lines, 9, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, deleted_lines long, source string")
+    found = sorted((r.doc_id or 0, r.text, r.deleted_lines) for r in linededup.dedup_lines(docs).collect() if r.text is not None)
+    assert found == [(0, lines, 0), (1, lines, 0), (1, lines, 0), (2, "", 3)] and linededup.dedup_lines(docs.limit(0)).count() == 0
+    long = "\n".join(f"word {i} of a very long text with many lines in it" for i in range(30_000))
+    assert [r.deleted_lines for r in sorted(linededup.dedup_lines(docs_of(spark, [long, long])).collect())] == [0, 30_000]
+    mixed = mixing.mix(docs.withColumn("taken", F.lit("x"))).collect()
+    assert len(mixed) == 5 and all(r.taken % max(r.size, 1) == 0 for r in mixed) and {r.size for r in mixed} == {21, 0}
+
+
+@pytest.mark.parametrize("name", ["op4_mix_sources", "op5_jaccard_join", "op6_secret_ledger", "op8_personal_data"])
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+
+    from parchwork.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    result = con.execute((queries.SQL | {"op8_personal_data": pii.BASE_SQL})[name])
+    names = [d[0] for d in result.description if name != "op8_personal_data" or d[0] != "spans"]
+    place = [[d[0] for d in result.description].index(n) for n in names]
+    plain = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
+    other = [tuple(plain(r[i]) for i in place) for r in result.fetchall()]
+    mine = [tuple(plain(r[n]) for n in names) for r in queries.QUERIES[name](spark, folder).collect()]
+    assert sorted(mine, key=str) == sorted(other, key=str)
