@@ -11,17 +11,11 @@ from parchwork.kernels.cmap import parse_cmap
 from parchwork.kernels.document import Document
 from parchwork.kernels.encodings import expand_differences, glyph_text, glyphmap
 from parchwork.kernels.filters import as_list
+from parchwork.kernels.metrics import core_widths
 from parchwork.kernels.objects import Name, PdfError, Stream
 
 log = logging.getLogger(__name__)
 
-# The fonts that readers must know, whose widths a file may leave out.
-CORE_FONTS = {
-    "Courier", "Courier-Bold", "Courier-Oblique", "Courier-BoldOblique", "Helvetica", "Helvetica-Bold", "Helvetica-Oblique",
-    "Helvetica-BoldOblique", "Times-Roman", "Times-Bold", "Times-Italic", "Times-BoldItalic", "Symbol", "ZapfDingbats",
-}
-
-
 def overlay(*layers: dict[int, str] | None) -> dict[int, str]:
     """Codes from all layers; the last one that defines a code wins."""
     found: dict[int, str] = {}
@@ -57,10 +51,10 @@ def cid_widths(items: list, resolve: Any = lambda x: x) -> dict[int, float]:
 
 
 class Font:
-    """A view of a font dictionary. ``metrics`` gives widths by text for core fonts that have none."""
+    """A view of a font dictionary. ``metrics`` gives widths by text for fonts that a file leaves them out of, before those of the core fonts; ``glyphs`` gives texts of further glyph names."""
 
-    def __init__(self, document: Document, dictionary: dict, metrics: dict[str, dict[str, float]] | None = None):
-        self.document, self.dictionary, self.metrics = document, dictionary, metrics or {}
+    def __init__(self, document: Document, dictionary: dict, metrics: dict[str, dict[str, float]] | None = None, glyphs: dict[str, str] | None = None):
+        self.document, self.dictionary, self.metrics, self.glyphs = document, dictionary, metrics or {}, glyphs
         self.composite = dictionary.get("Subtype") == "Type0"
 
     def _get(self, key: str, of: Any = None) -> Any:
@@ -124,7 +118,7 @@ class Font:
             described: dict[int, str] = {first: glyphs[0]}
         else:
             described = glyphmap(self._program[0] or "") | self._program[1]
-        named = lambda names: {code: text for code, name in names.items() if (text := glyph_text(name)) is not None}
+        named = lambda names: {code: text for code, name in names.items() if (text := glyph_text(name, self.glyphs)) is not None}
         found = overlay(named(glyphmap(base)), named(described), {m.src: m.dst for m in self._cmap.mappings} if self._cmap else None)
         if not found and not self.composite:
             found = named(glyphmap("StandardEncoding"))
@@ -156,9 +150,10 @@ class Font:
         if missing is not None:
             return {}, float(missing)
         name = self.base_font.partition(",")[0]
-        if name in self.metrics:
-            return {c: self.metrics[name][t] for c, t in self.encoding.items() if t in self.metrics[name]}, 1000.0
-        raise PdfError(f"font {self.base_font or '?'} has no widths" + (", and no metrics of core fonts were given" if name in CORE_FONTS else ""))
+        known = self.metrics.get(name, core_widths(name))
+        if known is None:
+            raise PdfError(f"font {self.base_font or '?'} has no widths")
+        return {c: known[t] for c, t in self.encoding.items() if t in known}, 1000.0
 
     def measure(self, data: bytes) -> float:
         """Sum of the widths of a string's codes."""

@@ -14,11 +14,14 @@ from typing import Any, NamedTuple
 
 
 class PdfError(ValueError):
-    """Malformed input, with the offset where it was noticed."""
+    """Malformed input, with the offset where it was noticed and what stands around it."""
+
+    #: Bytes shown before and after the offset.
+    CONTEXT = 256
 
     def __init__(self, message: str, offset: int | None = None, data: bytes | None = None):
         self.offset = offset
-        snippet = b"" if data is None or offset is None else data[max(0, offset - 16) : offset + 16]
+        snippet = b"" if data is None or offset is None else data[max(0, offset - self.CONTEXT) : offset + self.CONTEXT]
         super().__init__(message if offset is None else f"{message} at offset {offset}: {snippet!r}")
 
 

@@ -76,6 +76,7 @@ class Machine:
     resources: dict | None
     height: float
     metrics: dict | None = None
+    glyphs: dict | None = None
     spans: list[Span] = field(default_factory=list)
     state: State = field(default_factory=State)
     stack: list[State] = field(default_factory=list)
@@ -93,7 +94,7 @@ class Machine:
             found = self.document.get(fonts, name) if name is not None else None
             if not isinstance(found, dict):
                 raise PdfError(f"no font {name} in the resources")
-            self._fonts[key] = Font(self.document, found, self.metrics)
+            self._fonts[key] = Font(self.document, found, self.metrics, self.glyphs)
         return self._fonts[key]
 
     def run(self, operations: list[Operation]) -> list[Span]:
@@ -208,7 +209,13 @@ def _matrix(x: list) -> Matrix:
     return tuple(float(v) for v in x[:6])  # type: ignore[return-value]
 
 
-def page_spans(document: Document, page, metrics: dict | None = None) -> list[Span]:
+def page_spans(document: Document, page, metrics: dict | None = None, glyphs: dict | None = None) -> list[Span]:
     """The spans of a page, in painting order."""
     box = page.media_box or [0.0, 0.0, 612.0, 792.0]
-    return Machine(document, page.resources, box[3] - box[1], metrics).run(parse_content(document.content(page)))
+    return Machine(document, page.resources, box[3] - box[1], metrics, glyphs).run(parse_content(document.content(page)))
+
+
+def form_spans(document: Document, form: Stream, resources: dict | None = None, metrics: dict | None = None, glyphs: dict | None = None) -> list[Span]:
+    """The spans of a form by itself, within its bounding box. ``resources`` serve a form that has none of its own."""
+    box = [float(document.resolve(v)) for v in document.get(form, "BBox") or [0.0, 0.0, 612.0, 792.0]]
+    return Machine(document, document.get(form, "Resources") or resources, box[3] - box[1], metrics, glyphs).run(parse_content(document.decoded(form)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchwork.functions.texts import blank, normalize, normalize_blanks
+from parchwork.session import cut
 
 
 def header_size(spans: DataFrame, margin: float = 0.5, interpolate: bool = False) -> DataFrame:
@@ -59,16 +60,17 @@ def unwrap_lines(paragraphs: DataFrame, bag: DataFrame) -> DataFrame:
     Where a line ends in a hyphen between words, the hyphen stays if the
     document has the hyphenated form more often than the joined one; on a tie,
     if the right part does not begin with a small letter or if both parts occur
-    more than twice together. Each place is a row joined four times with the
-    document's counts; texts themselves are not moved to meet them.
+    more than twice together. The four forms of each place are rows that meet
+    the document's counts in one join; texts themselves are not moved to it.
     """
     keys = ["path", "page_no", "paragraph_id"]
     places = F.arrays_zip(F.regexp_extract_all("text", F.lit(_HYPHEN), F.lit(1)).alias("l"), F.regexp_extract_all("text", F.lit(_HYPHEN), F.lit(2)).alias("r"))
     rows = paragraphs.select(*keys, F.posexplode(places).alias("at", "p")).select(*keys, "at", F.col("p.l").alias("l"), F.col("p.r").alias("r"))
     forms = {"dashed": F.concat_ws("-", "l", "r"), "joined": F.concat("l", "r"), "left": F.col("l"), "right": F.col("r")}
-    for name, form in forms.items():
-        counts = bag.select("path", F.col("word").alias(f"_{name}"), F.col("n").alias(name))
-        rows = rows.withColumn(f"_{name}", F.lower(form)).join(counts, ["path", f"_{name}"], "left").drop(f"_{name}")
+    listed = F.array(*[F.struct(F.lit(name).alias("form"), F.lower(form).alias("word")) for name, form in forms.items()])
+    asked = rows.select(*keys, "at", "l", "r", F.explode(listed).alias("f")).select(*keys, "at", "l", "r", "f.form", "f.word")
+    counted = asked.join(bag.select("path", "word", "n"), ["path", "word"], "left")
+    rows = counted.groupBy(*keys, "at", "l", "r").agg(*[F.max(F.when(F.col("form") == name, F.col("n"))).alias(name) for name in forms])
     n = {name: F.coalesce(name, F.lit(0)) for name in forms}
     first = F.substring("r", 1, 1)
     stays = F.when(n["dashed"] != n["joined"], n["dashed"] > n["joined"]).otherwise((first == F.upper(first)) | (n["left"] + n["right"] > 2))
@@ -91,8 +93,11 @@ def papers(laid: DataFrame, compatibility: bool = True, interpolate: bool = Fals
     """(path, sections): each document's sections, as a title and paragraphs.
 
     Sections run on across pages. With ``compatibility`` off, texts keep their
-    characters and only blanks are normalised.
+    characters and only blanks are normalised. What is laid out is written to
+    the shared folder once, as words, counts, sizes and classes are all read
+    from it.
     """
+    laid = cut(laid.select("path", "page_no", "line_id", "word_id", "paragraph_id", "span_seq", "text", "font_size", "font_bold"))
     texts = unwrap_lines(paragraph_texts(laid), bag_of_words(laid))
     texts = texts.withColumn("text", (normalize if compatibility else normalize_blanks)(F.col("text")))
     placed = group_sections(classify(laid, header_size(laid, interpolate=interpolate))).join(texts, ["path", "page_no", "paragraph_id"])

@@ -23,7 +23,7 @@ from parchwork.operators import layout as L
 from parchwork.operators import resolve as R
 from parchwork.operators import sections as S
 from parchwork.plans.typeset import typeset
-from parchwork.session import attach, table
+from parchwork.session import attach, cut, table
 from parchwork.sources.pdf import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,7 +126,7 @@ def font_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_WORDED}{_BOXED}{_SECTIONED} SELECT path, paragraph_id, cls, section_id, role FROM sectioned")
 def group_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs with class, section and role."""
-    laid = L.layout(_spans(spark, sf_dir))
+    laid = cut(L.layout(_spans(spark, sf_dir)).select("path", "page_no", "paragraph_id", "text", "font_size", "font_bold"))
     found = S.group_sections(S.classify(laid, S.header_size(laid)))
     return found.select("path", F.col("paragraph_id").cast("long").alias("paragraph_id"), "cls", F.col("section_id").cast("long").alias("section_id"), "role")
 
@@ -408,13 +408,17 @@ def pdf_page_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.groupBy("path").agg(F.count_if(F.col("alias") == "showString").alias("shown"), F.count_if(F.col("alias") == "startTextBlock").alias("blocks"))
 
 
-@query()
+#: Written files: the number of pages, and of the last object of the document itself; a stream of cross-references and one of objects follow.
+_WRITTEN = "d AS (SELECT doc_id::VARCHAR AS path, doc_id % 3 AS kind, (len(string_split(coalesce(text, ''), chr(10))) + 39) // 40 AS pages FROM documents), w AS (SELECT *, 3 + 2 * pages AS last, CASE kind WHEN 2 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS more FROM d)"
+
+
+@query(f"WITH {_WRITTEN}, e AS (SELECT *, unnest(range(0, last + more + 1)) AS n FROM w) SELECT path, 0 AS section_ord, n::INTEGER AS seq, n::INTEGER AS object_number, CASE WHEN n = 0 AND kind = 2 THEN 65535 ELSE 0 END AS generation_number, n > 0 AS in_use, CASE WHEN kind = 1 AND n BETWEEN 1 AND 3 THEN (last + 1)::INTEGER END AS object_stream_object_number, CASE WHEN kind = 1 AND n BETWEEN 1 AND 3 THEN (n - 1)::INTEGER END AS object_stream_index FROM e")
 def pdf_xref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-references of written files."""
-    return read_table(_files(spark, sf_dir), "xref")
+    """Cross-references of written files, but for where the objects lie."""
+    return read_table(_files(spark, sf_dir), "xref").drop("offset")
 
 
-@query()
+@query(f"""WITH {_WRITTEN} SELECT path, (last + more + 1)::BIGINT AS size, '{{"Pages": {{"$ref": [2, 0]}}, "Type": "Catalog"}}' AS root, NULL::VARCHAR AS info FROM w""")
 def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and catalog."""
     return read_table(_files(spark, sf_dir), "metadata")
@@ -426,7 +430,7 @@ def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(_files(spark, sf_dir), "objects").drop("stream")
 
 
-@query()
+@query(f"WITH {_WRITTEN} SELECT path, unnest(range(1, pages + 1))::INTEGER AS page_no, 'F1' AS font_id, 'Type1' AS subtype, 'Own' AS base_font, false AS bold, false AS italic, 1 AS char_bytes FROM w")
 def pdf_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fonts of pages."""
     return read_table(_files(spark, sf_dir), "fonts")

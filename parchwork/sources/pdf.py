@@ -20,7 +20,7 @@ from parchwork.kernels.document import Document, type_of
 from parchwork.kernels.encodings import decode_text
 from parchwork.kernels.fonts import Font
 from parchwork.kernels.objects import PdfError, Ref, Stream, parse_content, tagged
-from parchwork.kernels.vm import page_spans
+from parchwork.kernels.vm import form_spans, page_spans
 from parchwork.operators.layout import layout
 from parchwork.operators.sections import paper_text, papers, with_empty
 from parchwork.session import attach
@@ -34,6 +34,9 @@ SCHEMAS = {
     "page_ops": "path string, page_no int, op_seq int, operator string, alias string, operands string",
     "fonts": "path string, page_no int, font_id string, subtype string, base_font string, bold boolean, italic boolean, char_bytes int",
     "font_encoding": "path string, page_no int, font_id string, code int, text string, width double",
+    "simplified": "path string, object_number int, generation_number int, value string",
+    "views": "path string, object_number int, generation_number int, model string, value string",
+    "form_spans": "path string, object_number int, span_seq int, min_x double, min_y double, max_x double, max_y double, font_name string, font_size double, font_bold boolean, font_italic boolean, buffer binary, text string",
     "text_spans": "path string, page_no int, span_seq int, min_x double, min_y double, max_x double, max_y double, font_name string, font_size double, font_bold boolean, font_italic boolean, buffer binary, text string",
 }
 
@@ -64,6 +67,45 @@ def simplify(document: Document, value: Any) -> Any:
     return walk(value)
 
 
+#: What a view of a model shows, besides its type.
+VIEWS = {
+    "Catalog": ("Pages", "Names", "Dests", "ViewerPreferences", "PageLayout", "PageMode", "Outlines"),
+    "Pages": ("Kids",),
+    "Page": ("MediaBox", "Resources", "Contents"),
+    "Resources": ("ExtGState", "ColorSpace", "Pattern", "Shading", "XObject", "Font", "ProcSet", "Properties"),
+    "Stream": ("Length",),
+    "Font": ("Subtype", "BaseFont", "Encoding", "FontDescriptor", "Widths", "ToUnicode", "DescendantFonts"),
+}
+
+
+def model_of(document: Document, value: Any) -> str | None:
+    """Which of ``VIEWS`` an object is."""
+    if isinstance(value, Stream):
+        return "Stream"
+    if not isinstance(value, dict):
+        return None
+    kind = value.get("Type")
+    if kind in VIEWS:
+        return str(kind)
+    return "Resources" if {"Font", "ProcSet", "ExtGState", "XObject"} & value.keys() and kind is None else None
+
+
+def view(document: Document, value: Any, media_box: list[float] | None = None) -> dict:
+    """The fields of a model as they stand, references unresolved; a stream's decoded content as text, and a page's box as inherited."""
+    model = model_of(document, value)
+    fields = {k: tagged(document.get(value, k) if isinstance(value, Stream) else value.get(k)) for k in VIEWS[model]} if model else {}
+    if media_box:
+        fields["MediaBox"] = media_box
+    if isinstance(value, Stream):
+        return fields | {"buffer": decode_text(document.decoded(value))}
+    return {"Type": model} | fields
+
+
+def graphics_state(document: Document, resources: dict | None, name: str) -> dict | None:
+    """A named entry of the resources' ExtGState."""
+    return document.get(document.get(resources, "ExtGState"), name)
+
+
 def _json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True)
 
@@ -91,6 +133,28 @@ def _objects(d: Document, _: dict) -> Iterator[tuple]:
         yield ref.number, ref.generation, kind, sub, _json(tagged(value)), d.decoded(value) if isinstance(value, Stream) and kind not in ("XRef",) and sub != "Image" else None
 
 
+def _simplified(d: Document, _: dict) -> Iterator[tuple]:
+    for ref in sorted(d._in_use):
+        yield ref.number, ref.generation, _json(simplify(d, d.object(ref)))
+
+
+def _views(d: Document, _: dict) -> Iterator[tuple]:
+    boxes = {p.ref: p.media_box for p in d.pages}
+    for ref in sorted(d._in_use):
+        value = d.object(ref)
+        model = model_of(d, value)
+        if model and not (isinstance(value, Stream) and (type_of(value)[0] == "XRef" or type_of(value)[1] == "Image")):
+            yield ref.number, ref.generation, model, _json(view(d, value, boxes.get(ref)))
+
+
+def _form_spans(d: Document, options: dict) -> Iterator[tuple]:
+    for ref in sorted(d._in_use):
+        value = d.object(ref)
+        if isinstance(value, Stream) and value.dictionary.get("Subtype") == "Form":
+            for i, s in enumerate(form_spans(d, value, metrics=options.get("metrics"), glyphs=options.get("glyphs"))):
+                yield ref.number, i, *s
+
+
 def _pages(d: Document, _: dict) -> Iterator[tuple]:
     for p in d.pages:
         yield p.number, p.ref.number, p.media_box, _json(tagged(p.resources)), d.content(p)
@@ -107,7 +171,7 @@ def _page_fonts(d: Document, options: dict) -> Iterator[tuple[int, str, Font]]:
         for name, ref in (d.get(p.resources, "Font") or {}).items():
             found = d.resolve(ref)
             if isinstance(found, dict):
-                yield p.number, name, Font(d, found, options.get("metrics"))
+                yield p.number, name, Font(d, found, options.get("metrics"), options.get("glyphs"))
 
 
 def _fonts(d: Document, options: dict) -> Iterator[tuple]:
@@ -124,7 +188,7 @@ def _font_encoding(d: Document, options: dict) -> Iterator[tuple]:
 
 def _text_spans(d: Document, options: dict) -> Iterator[tuple]:
     for p in d.pages:
-        for i, s in enumerate(page_spans(d, p, options.get("metrics"))):
+        for i, s in enumerate(page_spans(d, p, options.get("metrics"), options.get("glyphs"))):
             yield p.number, i, *s
 
 
@@ -133,6 +197,9 @@ KERNELS: dict[str, Callable[[Document, dict], Iterator[tuple]]] = {
     "trailers": _trailers,
     "metadata": _metadata,
     "objects": _objects,
+    "simplified": _simplified,
+    "views": _views,
+    "form_spans": _form_spans,
     "pages": _pages,
     "page_ops": _page_ops,
     "fonts": _fonts,
@@ -141,7 +208,7 @@ KERNELS: dict[str, Callable[[Document, dict], Iterator[tuple]]] = {
 }
 
 
-def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_precedence: str = "newest", metrics: dict | None = None) -> DataFrame:
+def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_precedence: str = "newest", metrics: dict | None = None, glyphs: dict | None = None) -> DataFrame:
     """One of the tables of ``SCHEMAS`` from (path, content).
 
     ``failfast`` raises on a malformed file. ``permissive`` keeps the rows that
@@ -150,7 +217,7 @@ def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_prec
     """
     if mode not in ("failfast", "permissive"):
         raise ValueError(f"unknown mode {mode}")
-    kernel, options = KERNELS[name], {"metrics": metrics}
+    kernel, options = KERNELS[name], {"metrics": metrics, "glyphs": glyphs}
     schema = SCHEMAS[name] + (", _error string" if mode == "permissive" else "")
     attach(files.sparkSession)
     target = files.sparkSession.createDataFrame([], schema).schema
@@ -204,6 +271,10 @@ class Pdf:
     def layout(self) -> DataFrame:
         return layout(self.table("text_spans").where(F.col("span_seq").isNotNull()))
 
+    def form_layout(self) -> DataFrame:
+        """Forms laid out by themselves, each within its bounding box."""
+        return layout(self.table("form_spans").where(F.col("span_seq").isNotNull()), ("path", "object_number"))
+
     def papers(self) -> DataFrame:
         return with_empty(papers(self.layout()), self.files)
 

@@ -163,3 +163,41 @@ def test_differences_of_all_orders(spark, tmp_path):
         else:
             want[order, code], code = f"g{part % 50}", code + 1
     assert {(r.font_id, r.code): r.glyph for r in QUERIES["expand_differences"](spark, str(tmp_path)).collect()} == want
+
+
+def test_lines_of_a_very_long_page(spark):
+    """Thousands of lines on one page, over several blocks of the fold, as the rule gives them one by one."""
+    import random
+    import time
+
+    from parchwork.operators import layout as L
+
+    rng = random.Random(9)
+    tops, y = [], 0.0
+    for _ in range(60_000):
+        y += rng.choice([0, 0, 0, 1, 4, 6, 14])
+        tops.append(y + rng.choice([0, -1, 2]))
+    spans = spark.createDataFrame([("a", 1, i, t) for i, t in enumerate(tops)], "path string, page_no int, span_seq int, min_y double")
+    began = time.time()
+    found = {r.span_seq: r.line_id for r in L.group_lines(spans).collect()}
+    assert time.time() - began < 60
+    top, line, want = None, -1, {}
+    for i, t in enumerate(tops):
+        if top is None or abs(t - top) > 5:
+            top, line = t, line + 1
+        top = min(top, t)
+        want[i] = line
+    assert found == want
+
+
+def test_tables_of_forms_and_views(spark):
+    from parchwork.kernels import writer
+    from parchwork.sources.pdf import read_table
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 1 /MediaBox [0 0 612 792] /Kids [3 0 R] >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << >> >>", 4: writer.stream(b"")}
+    objects[5] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding << /Differences [65 /foo] >> >>"
+    objects[6] = writer.stream(b"BT /F1 10 Tf 1 0 0 1 5 80 Tm (A) Tj ET", b" /Subtype /Form /BBox [0 0 200 100] /Resources << /Font << /F1 5 0 R >> >>")
+    made = spark.createDataFrame([("f", bytearray(writer.file_of(objects, 1)))], "path string, content binary")
+    assert [(r.object_number, r.text, r.min_y) for r in read_table(made, "form_spans", glyphs={"foo": "xyz"}).collect()] == [(6, "xyz", 20.0)]
+    assert {r.object_number: r.model for r in read_table(made, "views").collect()} == {1: "Catalog", 2: "Pages", 3: "Page", 4: "Stream", 5: "Font", 6: "Stream"}
+    assert read_table(made, "simplified").count() == 6

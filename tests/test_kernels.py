@@ -189,3 +189,57 @@ def test_random_bytes_never_hang():
             parse_value(data)
         except PdfError:
             pass
+
+
+def test_glyph_names_by_rule():
+    from parchwork.kernels.encodings import glyph_texts, parse_glyph_list
+
+    known = {
+        "afii10023": "Ё", "afii10049": "Я", "afii57448": "و", "afii57690": "ת", "asmallhiragana": "ぁ", "akatakana": "ア", "alefhebrew": "א", "finalkaf": "ך",
+        "behfinalarabic": "ﺐ", "onearabic": "١", "aavowelsigndeva": "ा", "kokaithai": "ก", "aybarmenian": "ա", "kiyeokkorean": "ㄱ", "onecircle": "①", "aparen": "⒜",
+        "Amonospace": "Ａ", "commamonospace": "，", "foursuperior": "⁴", "nsuperior": "ⁿ", "Oneroman": "Ⅰ", "oneroman": "ⅰ", "acircumflexacute": "ấ", "alphatonos": "ά",
+        "Ssmall": "\uf773", "Agravesmall": "\uf7e0", "trademarkserif": "\uf6db", "sevenoldstyle": "\uf737", "universal": "∀", "mu": "µ", "Delta": "∆",
+    }
+    assert {n: glyph_texts().get(n) for n in known} == known and len(glyph_texts()) > 3000
+    more = parse_glyph_list("# own names\nfoo;0041 0042\nA;0391\n")
+    assert [glyph_text(n, more) for n in ("foo", "A", "A.alt", "foo_A", "B", "unheard")] == ["AB", "Α", "Α", "ABΑ", "B", None]
+
+
+def own_file(font, content=b"BT /F1 10 Tf 1 0 0 1 10 700 Tm (A i) Tj (W) Tj ET", more=b""):
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 1 /MediaBox [0 0 612 792] /Kids [3 0 R] >>",
+        3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> /ExtGState << /G1 << /LW 2 >> >> " + more + b" >> >>",
+        4: stream(content), 5: b"<< /Type /Font /Subtype /Type1 " + font + b" >>",
+    }
+    return objects
+
+
+@pytest.mark.parametrize(("name", "widths"), [("Helvetica", (667, 278, 222, 944)), ("Helvetica-BoldOblique", (722, 278, 278, 944)), ("Times-Roman", (722, 250, 278, 944)), ("Times-BoldItalic", (667, 250, 278, 889)), ("Courier-Bold", (600,) * 4), ("Symbol", (1000,) * 4)])
+def test_core_fonts_need_no_widths(name, widths):
+    document = Document(file_of(own_file(b"/BaseFont /" + name.encode()), 1))
+    first, second = page_spans(document, document.pages[0])
+    assert abs(first.max_x - first.min_x - sum(widths[:3]) / 100) < 1e-9 and abs(second.min_x - first.max_x) < 1e-9
+    assert abs(second.max_x - second.min_x - widths[3] / 100) < 1e-9
+    with pytest.raises(PdfError, match="no widths"):
+        page_spans(other := Document(file_of(own_file(b"/BaseFont /Unheard"), 1)), other.pages[0])
+
+
+def test_forms_views_and_states():
+    from parchwork.kernels.vm import form_spans
+    from parchwork.sources.pdf import graphics_state, simplify, view
+
+    objects = own_file(b"/BaseFont /Courier", more=b"/XObject << /X 6 0 R >>")
+    objects[6] = stream(b"BT /F1 10 Tf 1 0 0 1 5 80 Tm (in a form) Tj ET", b" /Type /XObject /Subtype /Form /BBox [0 0 200 100] /Resources << /Font << /F1 5 0 R >> >>")
+    document = Document(file_of(objects, 1))
+    (span,) = form_spans(document, document.resolve(Ref(6)))
+    assert (span.text, span.min_x, span.min_y) == ("in a form", 5.0, 20.0)
+    assert graphics_state(document, document.pages[0].resources, "G1") == {"LW": 2} and graphics_state(document, document.pages[0].resources, "G2") is None
+    page = view(document, document.object(Ref(3)), document.pages[0].media_box)
+    assert page["Type"] == "Page" and page["MediaBox"] == [0, 0, 612, 792] and page["Contents"] == {"$ref": [4, 0]}
+    assert view(document, document.object(Ref(4)))["buffer"].startswith("BT /F1") and view(document, document.object(Ref(2)))["Kids"] == [{"$ref": [3, 0]}]
+    assert "[Circular Object]" in str(simplify(document, document.object(Ref(2)))) or simplify(document, document.object(Ref(2)))["Count"] == 1
+
+
+def test_errors_show_what_stands_around():
+    error = PdfError("odd", 300, b"a" * 300 + b"!" + b"b" * 400)
+    assert str(error).count("a") >= 256 and str(error).count("b") >= 250
