@@ -18,7 +18,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 #: Rows and bytes of an Arrow batch of texts or files.
 BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 #: For Python workers: memory that Arrow and the C library let go of returns to the system.
-WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "1000000"}
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
