@@ -188,25 +188,26 @@ def _lengthen(short: np.ndarray) -> np.ndarray:
 
 
 def _packed_signatures(docs: DataFrame, parts: int) -> DataFrame:
-    """The signatures of all texts, dealt by hash range: (part, hashes, keys, needs, counts), in order of keys."""
-
-    def pack(held: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
-        hashes = np.concatenate([s for _, s, _ in held])
-        owner = np.repeat(np.arange(len(held)), [len(s) for _, s, _ in held])
-        keys = np.array([k for k, _, _ in held], dtype=np.int64)
-        needs = np.minimum([n for _, _, n in held], 65535).astype(np.uint16)  # a lower need is safe
+    """The signatures of all texts, dealt by hash range: (part, hashes, keys, needs, sizes, counts), in order of keys."""
+
+    def pack(held: list[tuple[int, np.ndarray, int, int]]) -> pa.RecordBatch:
+        hashes = np.concatenate([s for _, s, _, _ in held])
+        owner = np.repeat(np.arange(len(held)), [len(s) for _, s, _, _ in held])
+        keys = np.array([k for k, _, _, _ in held], dtype=np.int64)
+        needs = np.minimum([n for _, _, n, _ in held], 65535).astype(np.uint16)  # a lower need is safe
+        sizes = np.array([n for _, _, _, n in held], dtype=np.uint32)
         part = _range_of(hashes, parts)
         order = np.argsort(part, kind="stable")
         hashes, owner, part = _shorten(hashes[order]), owner[order], part[order]
         at = _runs(part)
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for a, b in zip(at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True):
             first = a + _runs(owner[a:b])
             counts = np.diff(np.append(first, b)).astype(np.uint32)
             mine = owner[first]
-            for column, value in zip(rows, (int(part[a]), hashes[a:b].tobytes(), keys[mine].tobytes(), needs[mine].tobytes(), counts.tobytes()), strict=True):
+            for column, value in zip(rows, (int(part[a]), hashes[a:b].tobytes(), keys[mine].tobytes(), needs[mine].tobytes(), sizes[mine].tobytes(), counts.tobytes()), strict=True):
                 column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["part", "hashes", "keys", "needs", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["part", "hashes", "keys", "needs", "sizes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -219,7 +220,7 @@ def _packed_signatures(docs: DataFrame, parts: int) -> DataFrame:
                     done.clear()
                 done.add(key)
                 sigs, need = signatures(found)
-                held.append((key, sigs, need))
+                held.append((key, sigs, need, len(found)))
                 size += len(sigs)
                 if size >= PACK:
                     yield pack(held)
@@ -227,90 +228,89 @@ def _packed_signatures(docs: DataFrame, parts: int) -> DataFrame:
         if held:
             yield pack(held)
 
-    return docs.select("text").mapInArrow(run, "part int, hashes binary, keys binary, needs binary, counts binary")
+    return docs.select("text").mapInArrow(run, "part int, hashes binary, keys binary, needs binary, sizes binary, counts binary")
 
 
 def _memberships(packed: DataFrame, parts: int) -> DataFrame:
-    """(key, need, pivot, n): in how many buckets with that pivot a key is, for keys in as many buckets as they need.
+    """(key, need, size, pivot, n): in how many buckets with that pivot a key is, for keys in as many buckets as they need.
 
     Buckets are found by hash range; their (key, pivot) pairs, counted, are
     dealt by key range, packed again, and summed.
     """
+    kinds = {"keys": "i8", "needs": "u2", "sizes": "u4", "pivots": "i8", "n": "u4"}
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys, needs, counts = _unpacked(batches, {"hashes": _SHORT, "keys": "i8", "needs": "u2", "counts": "u4"})
+        hashes, keys, needs, sizes, counts = _unpacked(batches, {"hashes": _SHORT, "keys": "i8", "needs": "u2", "sizes": "u4", "counts": "u4"})
         if not len(hashes):
             return
-        hashes, keys, needs = _lengthen(hashes), np.repeat(keys, counts), np.repeat(needs, counts)
+        hashes, owner = _lengthen(hashes), np.repeat(np.arange(len(keys), dtype=np.int32), counts)
         order = np.argsort(hashes, kind="stable")
         sorted_hashes = hashes[order]
         again = np.zeros(len(order), dtype=bool)
         np.equal(sorted_hashes[1:], sorted_hashes[:-1], out=again[1:])
         again[:-1] |= again[1:].copy()
         order = order[again]  # all that occur once go before anything else is sorted
-        hashes, keys, needs = hashes[order], keys[order], needs[order]
-        order = np.lexsort((keys, hashes))
-        at = order[_runs(hashes[order], keys[order])] if len(order) else order
-        hashes, keys, needs = hashes[at], keys[at], needs[at]
-        if not len(hashes):
+        if not len(order):
             return
+        hashes, owner = hashes[order], owner[order]
+        order = np.lexsort((keys[owner], hashes))
+        at = order[_runs(hashes[order], keys[owner[order]])]
+        hashes, owner = hashes[at], owner[at]
         begins = _runs(hashes)
-        sizes = np.diff(np.append(begins, len(hashes)))
-        pivots = np.repeat(keys[begins], sizes)
-        several = np.repeat(sizes > 1, sizes)
-        keys, needs, pivots = keys[several], needs[several], pivots[several]
-        if not len(keys):
+        held = np.diff(np.append(begins, len(hashes)))
+        pivots, several = np.repeat(keys[owner[begins]], held), np.repeat(held > 1, held)
+        owner, pivots = owner[several], pivots[several]
+        if not len(owner):
             return
-        order = np.lexsort((pivots, keys))
-        keys, needs, pivots = keys[order], needs[order], pivots[order]
-        at = _runs(keys, pivots)
-        n = np.diff(np.append(at, len(keys))).astype(np.uint32)
-        keys, needs, pivots = keys[at], needs[at], pivots[at]
-        yield _rows(_range_of(mix(keys.view(np.uint64)), parts), [keys, needs, pivots, n], ["keys", "needs", "pivots", "n"])
+        order = np.lexsort((pivots, keys[owner]))
+        owner, pivots = owner[order], pivots[order]
+        at = _runs(keys[owner], pivots)
+        n = np.diff(np.append(at, len(owner))).astype(np.uint32)
+        owner, pivots = owner[at], pivots[at]
+        yield _rows(_range_of(mix(keys[owner].view(np.uint64)), parts), [keys[owner], needs[owner], sizes[owner], pivots, n], list(kinds))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, needs, pivots, n = _unpacked(batches, {"keys": "i8", "needs": "u2", "pivots": "i8", "n": "u4"})
+        keys, needs, sizes, pivots, n = _unpacked(batches, kinds)
         if not len(keys):
             return
         order = np.lexsort((pivots, keys))
-        keys, needs, pivots = keys[order], needs[order], pivots[order]
+        keys, needs, sizes, pivots = keys[order], needs[order].astype(np.int64), sizes[order].astype(np.int64), pivots[order]
         at = _runs(keys, pivots)
         n = np.add.reduceat(n[order].astype(np.int64), at)
-        keys, needs, pivots = keys[at], needs[at].astype(np.int64), pivots[at]
+        keys, needs, sizes, pivots = keys[at], needs[at], sizes[at], pivots[at]
         own = _runs(keys)
-        enough = np.repeat(np.add.reduceat(n, own) >= needs[own], np.diff(np.append(own, len(keys))))
-        for lo in range(0, int(enough.sum()), 50_000):
-            some = np.flatnonzero(enough)[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (keys, needs, pivots, n)], names=["key", "need", "pivot", "n"])
+        enough = np.flatnonzero(np.repeat(np.add.reduceat(n, own) >= needs[own], np.diff(np.append(own, len(keys)))))
+        for lo in range(0, len(enough), 50_000):
+            some = enough[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (keys, needs, sizes, pivots, n)], names=["key", "need", "size", "pivot", "n"])
 
-    found = packed.repartitionById(parts, F.col("part")).mapInArrow(buckets, "part int, keys binary, needs binary, pivots binary, n binary")
-    return found.repartitionById(parts, F.col("part")).mapInArrow(sums, "key long, need long, pivot long, n long")
+    found = packed.repartitionById(parts, F.col("part")).mapInArrow(buckets, "part int, keys binary, needs binary, sizes binary, pivots binary, n binary")
+    return found.repartitionById(parts, F.col("part")).mapInArrow(sums, "key long, need long, size long, pivot long, n long")
 
 
 def _kept(edges: DataFrame) -> DataFrame:
     """Memberships without the largest groups that a key can leave out, and without groups of one."""
-    size = edges.groupBy("pivot").agg(F.count("*").alias("size"))
-    before = W.partitionBy("key").orderBy(F.desc("size"), "pivot").rowsBetween(W.unboundedPreceding, W.currentRow)
-    left = edges.join(size, "pivot").withColumn("so_far", F.sum("n").over(before)).where(F.col("so_far") >= F.col("need")).select("key", "pivot", "n")
+    of_group = edges.groupBy("pivot").agg(F.count("*").alias("members"))
+    before = W.partitionBy("key").orderBy(F.desc("members"), "pivot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    left = edges.join(of_group, "pivot").withColumn("so_far", F.sum("n").over(before)).where(F.col("so_far") >= F.col("need")).select("key", "size", "pivot", "n")
     left = cut(left)
-    return cut(left.join(left.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1"), "pivot"))
+    return cut(left.join(left.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1").select("pivot"), "pivot", "left_semi"))
 
 
 def _sets(docs: DataFrame, owners: DataFrame, keys: DataFrame) -> DataFrame:
-    """(set_key, n, shingles) for the wanted keys, each from the text of its owner."""
+    """(key, shingles) for the wanted keys, each from the text of its owner."""
     wanted = keys.join(owners, "set_key").select("doc_id", F.col("set_key").alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted, keys, sizes, values = batch.column("wanted").to_pylist(), [], [], []
+            wanted, keys, values = batch.column("wanted").to_pylist(), [], []
             for row, found in shingle_sets(batch.column("text")):
                 if len(found) and set_key(found) == wanted[row]:  # rows may repeat a doc_id
                     keys.append(wanted[row])
-                    sizes.append(len(found))
                     values.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(values, pa.binary())], names=["key", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], names=["key", "shingles"])
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "key long, size long, shingles binary")
+    found = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "key long, shingles binary")
     return cut(found)
 
 
@@ -369,8 +369,27 @@ def links_within(keys: np.ndarray, labels: np.ndarray, queries: np.ndarray, sets
     return found
 
 
-def _searched(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links found among ``members`` (pivot, x, y, key, label, query), block by block; x and y number a group's blocks."""
+def _named(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each end of the links, the least key that they connect it with."""
+    least: dict[int, int] = {}
+
+    def name(k: int) -> int:
+        while least.setdefault(k, k) != k:
+            least[k] = k = least[least[k]]
+        return k
+
+    for x, y in links:
+        x, y = sorted((name(x), name(y)))
+        least[y] = x
+    return [(k, name(k)) for k in list(least)]
+
+
+def _searched(members: DataFrame, sets: DataFrame, labelled: bool = False) -> DataFrame:
+    """(a, b): links found among ``members`` (pivot, x, y, key, label, query), block by block; x and y number a group's blocks.
+
+    ``labelled`` for each linked key with the least key that links of its block
+    connect it with.
+    """
     names = ["pivot", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +408,8 @@ def _searched(members: DataFrame, sets: DataFrame) -> DataFrame:
 
         out: list[tuple[int, int]] = []
         for keys, labels, queries, shingles in groups():
-            out += links_within(np.array(keys, dtype=np.int64), np.array(labels, dtype=np.int64), np.array(queries, dtype=bool), [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in shingles])
+            found = links_within(np.array(keys, dtype=np.int64), np.array(labels, dtype=np.int64), np.array(queries, dtype=bool), [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in shingles])
+            out += _named(found) if labelled else found
             if len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
                 out = []
@@ -403,29 +423,35 @@ def _blocks(members: Column, shingles: Column) -> Column:
     return F.ceil(F.greatest(members / BLOCK_MEMBERS, shingles / BLOCK_SHINGLES)).cast("int")
 
 
-def _links(kept: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect every two keys which links connect."""
-    kept = cut(kept.join(sets.select("key", "size"), "key").select("key", "pivot", "n", "size"))
+def _labels(kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label) for keys that links connect with others: equal labels where links connect."""
     one = F.lit(0)
-    best = kept.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"), F.first("size").alias("size"))
-    best = cut(best)
+    best = cut(kept.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"), F.first("size").alias("size")))
     of_group = best.groupBy("pivot").agg(F.count("*").alias("members"), F.sum("size").alias("total")).where("members > 1")
     first = best.join(of_group, "pivot").withColumn("x", F.pmod(F.xxhash64("key"), _blocks(F.col("members"), F.col("total"))).cast("int"))
-    found = _searched(first.select("pivot", "x", one.alias("y"), "key", F.col("key").alias("label"), F.lit(True).alias("query")), sets)
-    labels = components(found)
-    held = kept.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "pivot", "size", F.coalesce("label", "key").alias("label"))
-    held = cut(held)
+    # each key is in one block here, so what the blocks find needs no joining up: pairs are keys and labels
+    labels = _searched(first.select("pivot", "x", one.alias("y"), "key", F.col("key").alias("label"), F.lit(True).alias("query")), sets, labelled=True)
+    labels = labels.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    held = cut(kept.join(labels, F.col("key") == F.col("node"), "left").select("key", "pivot", "size", F.coalesce("label", "key").alias("label")))
     of_label = held.groupBy("pivot", "label").agg(F.count("*").alias("members"), F.sum("size").alias("total"))
     of_group = of_label.groupBy("pivot").agg(F.max_by("label", F.struct("members", "label")).alias("largest"), F.sum("members").alias("members"), F.sum("total").alias("total"), F.max("members").alias("most"), F.max_by("total", F.struct("members", "label")).alias("most_total")).where("members > most")
     queries = _blocks(F.col("members") - F.col("most"), F.col("total") - F.col("most_total"))
-    open_ = cut(of_group.select("pivot", "largest", queries.alias("x_blocks"), _blocks(F.col("members"), F.col("total")).alias("y_blocks")))
-    again = held.join(open_, "pivot")
+    open_ = of_group.select("pivot", "largest", queries.alias("x_blocks"), _blocks(F.col("members"), F.col("total")).alias("y_blocks"))
+    again = cut(held.join(open_, "pivot"))
     every = lambda n: F.explode(F.sequence(one, F.col(n) - 1))
     number = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     asking = again.where("label != largest").select("pivot", number("x_blocks").alias("x"), every("y_blocks").alias("y"), "key", "label", F.lit(True).alias("query"))
     asked = again.select("pivot", every("x_blocks").alias("x"), number("y_blocks").alias("y"), "key", "label", F.lit(False).alias("query"), ((F.col("label") != F.col("largest")) & (number("x_blocks") == F.col("x"))).alias("there"))
     rows = asking.unionByName(asked.where("not there").drop("there"))  # a query is in its own cell already
-    return found.unionByName(_searched(rows, sets))
+    links = _searched(rows, sets)
+    if links.isEmpty():
+        return labels
+    # components of labels, which are far fewer than keys
+    for k in ("a", "b"):
+        links = links.join(labels, F.col(k) == F.col("node"), "left").withColumn(k, F.coalesce("label", k)).select("a", "b")
+    joined = cut(components(links).select(F.col("node").alias("was"), F.col("label").alias("now")))
+    renamed = labels.join(joined, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
+    return renamed.unionByName(joined.select(F.col("was").alias("node"), F.col("now").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -451,7 +477,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     edges = cut(_memberships(_packed_signatures(docs.where(F.col("doc_id").isNotNull()), parts), parts))
     kept = _kept(edges)
     sets = _sets(docs, owners, kept.select(F.col("key").alias("set_key")).distinct())
-    labels = components(_links(kept, sets))
+    labels = _labels(kept, sets)
     named = owners.select("set_key", F.col("doc_id").alias("own")).join(labels, F.col("set_key") == F.col("node"), "left")
     named = cut(named.select("set_key", "own", F.coalesce("label", "set_key").alias("label")))
     least_id = cut(named.groupBy("label").agg(F.min("own").alias("component")))
