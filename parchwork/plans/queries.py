@@ -23,7 +23,7 @@ from parchwork.operators import layout as L
 from parchwork.operators import resolve as R
 from parchwork.operators import sections as S
 from parchwork.plans.typeset import typeset
-from parchwork.session import attach, cut, table
+from parchwork.session import attach, cut, spread, table
 from parchwork.sources.pdf import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typeset(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return typeset(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 _TYPESET = r"""w AS (SELECT doc_id::VARCHAR AS path, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\x0b\x0c]+') AS ws FROM documents),
@@ -207,21 +207,21 @@ def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     for old, new in (("the", "  "), ("on", "\t\n"), ("er", "\x07")):
         text = F.replace(text, F.lit(old), F.lit(new))
-    return table(spark, sf_dir, "documents").select("doc_id", X.normalize_blanks(text).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.normalize_blanks(text).alias("text"))
 
 
 @query()
 def normalize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With spacing modifiers and ligatures put in; SQL has no compatibility composition."""
     text = F.replace(F.replace(F.col("text"), F.lit("fi"), F.lit("ﬁ")), F.lit("on"), F.lit("´on"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.normalize(text).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.normalize(text).alias("text"))
 
 
 _GLYPHS = "g AS (SELECT doc_id AS string_id, regexp_extract_all(text, '(?s).') AS chars FROM documents), u AS (SELECT string_id, unnest(range(1, len(chars) + 1)) AS seq, unnest(chars) AS ch FROM g), c AS (SELECT string_id, seq, ch, (ascii(ch) % 7) * 100 AS width FROM u)"
 
 
 def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("string_id"), F.col("text").alias("t")).where("t <> ''")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("string_id"), F.col("text").alias("t"))).where("t <> ''")
     each = docs.select("string_id", F.posexplode(F.split("t", "")).alias("seq", "text"))
     return each.select("string_id", (F.col("seq") + 1).cast("long").alias("seq"), "text").withColumn("width", (F.ascii("text") % 7 * 100).cast("double"))
 
@@ -361,7 +361,7 @@ def _round_trip(filters: tuple[str, ...]) -> Callable[[SparkSession, str], DataF
             for texts in batches:
                 yield pa.array([None if t is None else apply_filters(encoded(t.encode(), filters)[0], list(filters)).decode() for t in texts.to_pylist()], pa.string())
 
-        return table(spark, sf_dir, "documents").select("doc_id", both(F.col("text")).alias("text"))
+        return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", both(F.col("text")).alias("text"))
 
     return run
 
@@ -385,13 +385,13 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 made.append(paged_file(pages, (("FlateDecode",), ("ASCII85Decode", "LZWDecode"), ())[kind], xref="table" if kind == 2 else "stream", packed=kind == 1))
             yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in batch.column("doc_id").to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(write, "path string, content binary")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(write, "path string, content binary")
 
 
 @query("WITH l AS (SELECT doc_id::VARCHAR AS path, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS text FROM documents) SELECT path, (i // 40 + 1)::INTEGER AS page_no, (i % 40)::INTEGER AS span_seq, text, (20 + 14 * (i % 40))::DOUBLE AS min_y FROM l")
 def pdf_roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 to S22, P1 to P16, F1 to F6, the machine: documents written as files and read back as spans."""
-    spans = read_table(_files(spark, sf_dir), "text_spans")
+    spans = read_table(_files(spark, sf_dir), "text_spans", columns=("path", "page_no", "span_seq", "text", "min_y"))
     return spans.select("path", "page_no", "span_seq", "text", F.round("min_y", 6).alias("min_y"))
 
 
@@ -404,7 +404,7 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id::VARCHAR AS path, len(string_split(text, chr(10)))::BIGINT AS shown, ((len(string_split(text, chr(10))) + 39) // 40)::BIGINT AS blocks FROM documents")
 def pdf_page_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations of written files."""
-    ops = read_table(_files(spark, sf_dir), "page_ops")
+    ops = read_table(_files(spark, sf_dir), "page_ops", columns=("path", "alias"))
     return ops.groupBy("path").agg(F.count_if(F.col("alias") == "showString").alias("shown"), F.count_if(F.col("alias") == "startTextBlock").alias("blocks"))
 
 

@@ -41,6 +41,10 @@ SCHEMAS = {
 }
 
 
+#: What a malformed file may raise.
+MALFORMED = (PdfError, KeyError, TypeError, ValueError, IndexError)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of the PDF files below a folder."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
@@ -155,15 +159,15 @@ def _form_spans(d: Document, options: dict) -> Iterator[tuple]:
                 yield ref.number, i, *s
 
 
-def _pages(d: Document, _: dict) -> Iterator[tuple]:
+def _pages(d: Document, options: dict) -> Iterator[tuple]:
     for p in d.pages:
-        yield p.number, p.ref.number, p.media_box, _json(tagged(p.resources)), d.content(p)
+        yield p.number, p.ref.number, p.media_box, _json(tagged(p.resources)), d.content(p) if "content" in options["columns"] else None
 
 
-def _page_ops(d: Document, _: dict) -> Iterator[tuple]:
+def _page_ops(d: Document, options: dict) -> Iterator[tuple]:
     for p in d.pages:
         for i, o in enumerate(parse_content(d.content(p))):
-            yield p.number, i, o.operator, o.alias, _json(tagged(o.operands))
+            yield p.number, i, o.operator, o.alias, _json(tagged(o.operands)) if "operands" in options["columns"] else None
 
 
 def _page_fonts(d: Document, options: dict) -> Iterator[tuple[int, str, Font]]:
@@ -208,8 +212,10 @@ KERNELS: dict[str, Callable[[Document, dict], Iterator[tuple]]] = {
 }
 
 
-def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_precedence: str = "newest", metrics: dict | None = None, glyphs: dict | None = None) -> DataFrame:
-    """One of the tables of ``SCHEMAS`` from (path, content).
+def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_precedence: str = "newest", metrics: dict | None = None, glyphs: dict | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One of the tables of ``SCHEMAS`` from (path, content), or the named columns of it, in its order.
+
+    What only other columns need is not made.
 
     ``failfast`` raises on a malformed file. ``permissive`` keeps the rows that
     came before the error and adds a column ``_error``: one row with only path
@@ -217,15 +223,20 @@ def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_prec
     """
     if mode not in ("failfast", "permissive"):
         raise ValueError(f"unknown mode {mode}")
-    kernel, options = KERNELS[name], {"metrics": metrics, "glyphs": glyphs}
-    schema = SCHEMAS[name] + (", _error string" if mode == "permissive" else "")
+    every = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+    if columns is not None and not set(columns) <= set(every):
+        raise ValueError(f"{name} has no columns {sorted(set(columns) - set(every))}")
+    wanted = [i for i, c in enumerate(every) if columns is None or c in columns]
+    kernel, options = KERNELS[name], {"metrics": metrics, "glyphs": glyphs, "columns": {every[i] for i in wanted}}
+    schema = ", ".join(SCHEMAS[name].split(", ")[i] for i in wanted) + (", _error string" if mode == "permissive" else "")
     attach(files.sparkSession)
     target = files.sparkSession.createDataFrame([], schema).schema
     types = pickle.loads(pickle.dumps(_arrow(target)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for path, held in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                content = held.as_py()  # one file at a time
                 rows: list[tuple] = []
                 try:
                     for row in kernel(Document(content, trailer_precedence), options):
@@ -233,16 +244,17 @@ def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_prec
                         if len(rows) >= 50_000:
                             yield made(rows)
                             rows = []
-                except (PdfError, KeyError, TypeError, ValueError, IndexError) as error:
+                except MALFORMED as error:
                     if mode == "failfast":
                         raise PdfError(f"{path}: {error}") from error
-                    rows.append((path, *[None] * (len(types) - 2), str(error)))
+                    rows.append((path, *[None] * (len(every) - 1), str(error)))
                 if rows:
                     yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        full = [r if len(r) == len(types) else (*r, None) for r in rows]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t) for i, (_, t) in enumerate(types)], names=[n for n, _ in types])
+        places = [*wanted, len(every)] if mode == "permissive" else wanted
+        full = [r if len(r) > len(every) else (*r, None) for r in rows] if mode == "permissive" else rows
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t) for i, (_, t) in zip(places, types, strict=True)], names=[n for n, _ in types])
 
     return files.select("path", "content").mapInArrow(run, schema)
 

@@ -201,3 +201,44 @@ def test_tables_of_forms_and_views(spark):
     assert [(r.object_number, r.text, r.min_y) for r in read_table(made, "form_spans", glyphs={"foo": "xyz"}).collect()] == [(6, "xyz", 20.0)]
     assert {r.object_number: r.model for r in read_table(made, "views").collect()} == {1: "Catalog", 2: "Pages", 3: "Page", 4: "Stream", 5: "Font", 6: "Stream"}
     assert read_table(made, "simplified").count() == 6
+
+
+def test_columns_of_a_table(spark):
+    from parchwork.kernels.writer import paged_file
+    from parchwork.sources.pdf import read_table
+
+    made = spark.createDataFrame([("f", bytearray(paged_file([[[(10.0, 20.0, 10.0, "a b")]]]))), ("g", bytearray(b"none"))], "path string, content binary")
+    good = made.where("path = 'f'")
+    assert read_table(good, "page_ops", columns=("alias", "path")).columns == ["path", "alias"]
+    assert [tuple(r) for r in read_table(good, "text_spans", columns=("path", "text")).collect()] == [("f", "a b")]
+    found = {r.path: (r.text, r._error is None) for r in read_table(made, "text_spans", mode="permissive", columns=("path", "text")).collect()}
+    assert found == {"f": ("a b", True), "g": (None, False)}
+    with pytest.raises(ValueError, match="no columns"):
+        read_table(good, "text_spans", columns=("path", "nothing"))
+
+
+def test_work_is_spread_and_folders_are_shared(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from parchwork.session import shared_folder, spread
+
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= 4
+    many = spark.range(100).repartition(9)
+    assert spread(many) is many
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))
+
+
+def test_data_source_groups_files_and_forgives(spark, tmp_path, monkeypatch):
+    from parchwork.sources import datasource
+
+    for i in range(5):
+        (tmp_path / f"{i}.pdf").write_bytes(paged_file([[[(10.0, 20.0, 10.0, f"text {i}")]]]) if i != 3 else b"broken")
+    monkeypatch.setattr(datasource, "PART_FILES", 2)
+    reader = datasource._Reader({"path": str(tmp_path), "mode": "permissive"})
+    assert [len(p.paths) for p in reader.partitions()] == [2, 2, 1]
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[-2] for r in rows] == ["text 0", "text 1", "text 2", None, "text 4"] and [r[-1] is None for r in rows] == [True, True, True, False, True]
+    register(spark)
+    assert spark.read.format("pdf").option("mode", "permissive").load(str(tmp_path)).where("_error is null").count() == 4
