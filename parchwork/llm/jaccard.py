@@ -39,6 +39,7 @@ work in proportion to their size, and no row is ever made for a pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ PART_SIGNATURES = 1_000_000
 PACK = 500_000
 #: Members and shingles that a block of a group should hold at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1_000_000
+#: Documents looked at for signatures with very many holders, and the holders among them from which a signature counts as such.
+SAMPLE, HOT = 20_000, 200
 #: Sets that are compared one by one; larger groups are compared through an index.
 FEW = 6
 
@@ -187,8 +190,57 @@ def _lengthen(short: np.ndarray) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-def _packed_signatures(docs: DataFrame, parts: int) -> DataFrame:
-    """The signatures of all texts, dealt by hash range: (part, hashes, keys, needs, sizes, counts), in order of keys."""
+def hot_signatures(docs: DataFrame, rows: int, parts: int) -> dict[int, int]:
+    """Signatures that one in a hundred documents holds or more, each with a name for its bucket.
+
+    Found among about ``SAMPLE`` documents, so there are at most a hundred times
+    as many as a document has, whatever the input. The name is the least key
+    seen. This decides only where holders meet, not whether: the bucket of a
+    signature that is missed has its least key for a name.
+    """
+    part = F.lit(1.0 if rows <= SAMPLE else SAMPLE / rows)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "version"), F.lit(1_000_003)) < part * 1_000_003)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for _, found in shingle_sets(batch.column("text")):
+                if len(found) >= BAND_ENDS[0] and (key := set_key(found)) not in held:
+                    held[key] = signatures(found)[0]
+            if sum(map(len, held.values())) > PACK:
+                yield packed(held)
+                held = {}
+        if held:
+            yield packed(held)
+
+    def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        hashes = np.concatenate(list(held.values())) if held else np.zeros(0, dtype=np.uint64)
+        keys = np.repeat(np.array(list(held), dtype=np.int64), [len(x) for x in held.values()])
+        return _rows(_range_of(hashes, parts), [hashes, keys], ["hashes", "keys"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, keys = _unpacked(batches, {"hashes": "u8", "keys": "i8"})
+        if not len(hashes):
+            return
+        order = np.lexsort((keys, hashes))
+        at = order[_runs(hashes[order], keys[order])]
+        hashes, keys = hashes[at], keys[at]
+        begins = _runs(hashes)
+        hot = np.diff(np.append(begins, len(hashes))) >= HOT
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[begins[hot]].view(np.int64)), pa.array(keys[begins[hot]])], names=["signature", "name"])
+
+    found = some.select("text").mapInArrow(each, "part int, hashes binary, keys binary").repartitionById(parts, F.col("part")).mapInArrow(count, "signature long, name long")
+    return {r["signature"]: r["name"] for r in found.collect()}
+
+
+def _packed_signatures(docs: DataFrame, parts: int, hot: dict[int, int]) -> DataFrame:
+    """The signatures of all texts, dealt by hash range: (part, hashes, keys, needs, sizes, counts), in order of keys.
+
+    Those in ``hot`` are dealt by key instead, to parts numbered from ``parts``
+    on, with the number of their name for a hash: no task gathers the holders.
+    """
+    hot_hashes = np.array(sorted(hot), dtype=np.int64).view(np.uint64)
+    hot_hashes.sort()
 
     def pack(held: list[tuple[int, np.ndarray, int, int]]) -> pa.RecordBatch:
         hashes = np.concatenate([s for _, s, _, _ in held])
@@ -197,6 +249,11 @@ def _packed_signatures(docs: DataFrame, parts: int) -> DataFrame:
         needs = np.minimum([n for _, _, n, _ in held], 65535).astype(np.uint16)  # a lower need is safe
         sizes = np.array([n for _, _, _, n in held], dtype=np.uint32)
         part = _range_of(hashes, parts)
+        if len(hot_hashes):
+            place = np.minimum(np.searchsorted(hot_hashes, hashes), len(hot_hashes) - 1)
+            is_hot = hot_hashes[place] == hashes
+            part[is_hot] = parts + _range_of(mix(keys[owner[is_hot]].view(np.uint64)), parts)
+            hashes[is_hot] = place[is_hot].astype(np.uint64)  # as the number of its name
         order = np.argsort(part, kind="stable")
         hashes, owner, part = _shorten(hashes[order]), owner[order], part[order]
         at = _runs(part)
@@ -231,13 +288,33 @@ def _packed_signatures(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "part int, hashes binary, keys binary, needs binary, sizes binary, counts binary")
 
 
-def _memberships(packed: DataFrame, parts: int) -> DataFrame:
+def _hot_names(hot: dict[int, int]) -> np.ndarray:
+    """Names in order of their signatures as unsigned numbers."""
+    return np.array([hot[h] for h in sorted(hot, key=lambda h: h & (1 << 64) - 1)], dtype=np.int64)
+
+
+def _memberships(packed: DataFrame, parts: int, hot: dict[int, int]) -> DataFrame:
     """(key, need, size, pivot, n): in how many buckets with that pivot a key is, for keys in as many buckets as they need.
 
     Buckets are found by hash range; their (key, pivot) pairs, counted, are
     dealt by key range, packed again, and summed.
     """
     kinds = {"keys": "i8", "needs": "u2", "sizes": "u4", "pivots": "i8", "n": "u4"}
+    names = _hot_names(hot)
+
+    def hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, keys, needs, sizes, counts = _unpacked(batches, {"hashes": _SHORT, "keys": "i8", "needs": "u2", "sizes": "u4", "counts": "u4"})
+        if not len(hashes):
+            return
+        owner, numbers = np.repeat(np.arange(len(keys)), counts), _lengthen(hashes).astype(np.int64)
+        order = np.lexsort((numbers, keys[owner]))
+        at = order[_runs(keys[owner[order]], numbers[order])]  # copies in several tasks bring a key more than once
+        keys, needs, sizes, pivots = keys[owner[at]], needs[owner[at]], sizes[owner[at]], names[numbers[at]]
+        order = np.lexsort((pivots, keys))
+        keys, needs, sizes, pivots = keys[order], needs[order], sizes[order], pivots[order]
+        at = _runs(keys, pivots)
+        n = np.diff(np.append(at, len(keys))).astype(np.uint32)
+        yield _rows(_range_of(mix(keys[at].view(np.uint64)), parts), [keys[at], needs[at], sizes[at], pivots[at], n], list(kinds))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys, needs, sizes, counts = _unpacked(batches, {"hashes": _SHORT, "keys": "i8", "needs": "u2", "sizes": "u4", "counts": "u4"})
@@ -284,7 +361,13 @@ def _memberships(packed: DataFrame, parts: int) -> DataFrame:
             some = enough[lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (keys, needs, sizes, pivots, n)], names=["key", "need", "size", "pivot", "n"])
 
-    found = packed.repartitionById(parts, F.col("part")).mapInArrow(buckets, "part int, keys binary, needs binary, sizes binary, pivots binary, n binary")
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from (buckets if batch.column("part")[0].as_py() < parts else hot_counts)(chain([batch], batches))
+
+    made = "part int, keys binary, needs binary, sizes binary, pivots binary, n binary"
+    found = packed.repartitionById(2 * parts if hot else parts, F.col("part")).mapInArrow(either, made)
     return found.repartitionById(parts, F.col("part")).mapInArrow(sums, "key long, need long, size long, pivot long, n long")
 
 
@@ -474,7 +557,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     owners = cut(keyed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     total = owners.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART_SIGNATURES))
-    edges = cut(_memberships(_packed_signatures(docs.where(F.col("doc_id").isNotNull()), parts), parts))
+    named = docs.where(F.col("doc_id").isNotNull())
+    hot = hot_signatures(named, keyed.count(), parts)
+    edges = cut(_memberships(_packed_signatures(named, parts, hot), parts, hot))
     kept = _kept(edges)
     sets = _sets(docs, owners, kept.select(F.col("key").alias("set_key")).distinct())
     labels = _labels(kept, sets)

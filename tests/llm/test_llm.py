@@ -338,6 +338,28 @@ def test_dense_groups_in_many_blocks(spark, monkeypatch):
     assert [found[i] for i in range(len(texts))] == want and 20 < len({c for _, c in want}) < 200
 
 
+def test_signatures_of_very_many_documents(spark, monkeypatch):
+    """Buckets named from a sample, for clusters and a passage that most documents hold, give the same components."""
+    rng = random.Random(69)
+    passage, base = prose(rng, 40), prose(rng, 120).split()
+    texts = [f"{passage} {prose(rng, 60)}" for _ in range(80)]
+    for _ in range(80):
+        copy = list(base)
+        for k in rng.sample(range(120), rng.choice([1, 2, 4, 6])):
+            copy[k] = "edit" + str(rng.randint(0, 99))
+        texts.append(" ".join(copy))
+    texts += [t + " more" for t in texts[:10]] + texts[100:110]
+    want = brute_components(texts)
+    docs = docs_of(spark, texts).repartition(5)
+    for sample, hot in ((20_000, 200), (20_000, 20), (60, 8)):
+        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+        assert [found[i] for i in range(len(texts))] == want
+        versioned = docs.withColumn("version", F.lit(0).cast("long"))
+        assert (len(jaccard.hot_signatures(versioned, len(texts), 4)) > 0) == (hot < 200)
+
+
 def test_jaccard_join_of_odd_tables(spark):
     clash = spark.createDataFrame([(1, "a b c d e f", 0, 5), (1, "a b c d e f", 1, 6), (2, None, 2, 7), (3, "", 3, 8), (4, "w " * 200_000, 4, 9), (None, "a b c d e f", 5, 1)], "doc_id long, text string, component_id long, key long")
     found = sorted(tuple(r) for r in jaccard.near_duplicates(clash).collect() if r.doc_id)
