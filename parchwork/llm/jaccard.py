@@ -54,9 +54,9 @@ from parchwork.session import cut
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Signatures that a part of the hash range should hold.
-PART_SIGNATURES = 1_000_000
+PART_SIGNATURES = 500_000
 #: Signatures that a task packs at a time.
-PACK = 500_000
+PACK = 250_000
 #: Members and shingles that a block of a group should hold at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1_000_000
 #: Documents looked at for signatures with very many holders, and the holders among them from which a signature counts as such.
@@ -273,7 +273,7 @@ def _packed_signatures(docs: DataFrame, parts: int, hot: dict[int, int]) -> Data
             for _, found in shingle_sets(batch.column("text")):
                 if len(found) < BAND_ENDS[0] or (key := set_key(found)) in done:  # a copy in the same task; others meet in the buckets
                     continue
-                if len(done) > 1_000_000:
+                if len(done) > 200_000:
                     done.clear()
                 done.add(key)
                 sigs, need = signatures(found)
