@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,35 +87,52 @@ def luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
-def _base() -> dict[str, tuple[Callable[[Column], Column], str, Callable[[Column], Column]]]:
-    """For each base kind: a cheap test of a text, the pattern, and which matches count."""
+class Has(NamedTuple):
+    """Cheap facts of a text, found once: without them, most patterns need not be tried."""
+
+    digits: Column
+    at: Column
+    assign: Column
+    dot: Column
+
+
+def facts(text: Column) -> Has:
+    return Has(text.rlike(r"[0-9][\x20().0-9/-]"), F.contains(text, F.lit("@")), F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), F.contains(F.lower(text), F.lit("dot")))
+
+
+#: What a text must have for candidates of a kind.
+NEEDS = {"long_number": "digits", "key": "assign", "local_phone": "digits", "ssn": "digits", "iban": "digits", "spelled_email": "dot"}
+
+
+def _base(text: Column, has: Has) -> dict[str, tuple[Column, str, Callable[[Column], Column]]]:
+    """For each base kind: a test of the text, the pattern, and which matches count."""
     digits = lambda m: F.regexp_replace(m["g0"], r"[^0-9]", "")
     small = lambda m: F.forall(F.split(m["g0"], r"\."), lambda p: F.length(F.regexp_replace(p, "^0+(?=.)", "")).between(1, 3) & (F.regexp_replace(p, "^0+(?=.)", "").try_cast("int") <= 255))
     card = lambda m: S.let(digits(m), lambda d: F.length(d).between(16, 19) & luhn(d))
     phone = lambda m: F.length(digits(m)).between(8, 15)
     return {
-        "email": (lambda t: F.contains(t, F.lit("@")), EMAIL, lambda m: F.lit(True)),
-        "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), IP, small),
-        "card": (lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), CARD, card),
-        "phone": (lambda t: t.rlike(r"\+[0-9]"), PHONE, phone),
+        "email": (has.at, EMAIL, lambda m: F.lit(True)),
+        "ip": (has.digits & text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), IP, small),
+        "card": (has.digits & text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), CARD, card),
+        "phone": (has.digits & text.rlike(r"\+[0-9]"), PHONE, phone),
     }
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def base_spans(text: Column, has: Has) -> dict[str, Column]:
     """Spans of the four base kinds in a text that is not null."""
-    return {kind: F.when(test(text), S.plain(F.filter(S.matches(text, pattern), keep))).otherwise(S.none()) for kind, (test, pattern, keep) in _base().items()}
+    return {kind: F.when(test, S.plain(F.filter(S.matches(text, pattern), keep))).otherwise(S.none()) for kind, (test, pattern, keep) in _base(text, has).items()}
 
 
-def without_base(text: Column) -> Column:
+def without_base(text: Column, has: Has) -> Column:
     """The text with its base spans masked, so that what is found in it lies apart from them."""
     found = text
-    for test, pattern, keep in _base().values():
+    for test, pattern, keep in _base(text, has).values():
         mine = S.masked(text, pattern, keep)
-        found = F.when(test(text) & (mine != text), F.when(found == text, mine).otherwise(S.overlaid(found, mine))).otherwise(found)
-    return found
+        found = F.when(test & (mine != text), F.when(found == text, mine).otherwise(S.overlaid(found, mine))).otherwise(found)
+    return F.when(has.digits | has.at, found).otherwise(text)
 
 
-def candidates(text: Column) -> Column:
+def candidates(text: Column, has: Has) -> Column:
     """Proposed spans of all kinds in a masked text, with their votes and shape."""
 
     def row_of(kind: str) -> Callable[[Column], Column]:
@@ -136,15 +154,15 @@ def candidates(text: Column) -> Column:
         return row
 
     empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,votes:string,shape:string>>)")
-    return F.concat(*[F.when(text.rlike(test), F.transform(S.matches(text, pattern, context=CONTEXT), row_of(kind))).otherwise(empty) for kind, (test, pattern) in PROPOSED.items()])
+    return F.concat(*[F.when(getattr(has, NEEDS[kind]) & text.rlike(test), F.transform(S.matches(text, pattern, context=CONTEXT), row_of(kind))).otherwise(empty) for kind, (test, pattern) in PROPOSED.items()])
 
 
-def proposes(text: Column) -> Column:
-    """Whether a text may hold a candidate."""
-    found = F.lit(False)
-    for test, _ in PROPOSED.values():
-        found = found | text.rlike(test)
-    return found
+def _read(documents: DataFrame, *columns: str) -> tuple[DataFrame, Has]:
+    """``columns``, the text, and its facts as columns."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    names = [f"_has_{n}" for n in Has._fields]
+    rows = documents.select(*columns, text.alias("_text")).select(*columns, "_text", *[c.alias(n) for c, n in zip(facts(F.col("_text")), names, strict=True)])
+    return rows, Has(*map(F.col, names))
 
 
 @dataclass(frozen=True)
@@ -187,8 +205,10 @@ def estimate(counts: Iterable[tuple[str, str, int]], rounds: int = 50) -> dict[t
 
 def train(documents: DataFrame) -> SpanModel:
     """The final classifier from the candidates in ``documents`` (text), weighted by what EM believes of them."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    each = documents.select(without_base(text).alias("left")).where(proposes(F.col("left"))).select(F.explode(candidates(F.col("left"))).alias("c")).select("c.kind", "c.votes", "c.shape")
+    rows, has = _read(documents)
+    some = has.digits | has.assign | has.dot
+    left = rows.where(some).select(without_base(F.col("_text"), has).alias("_left"), *[f"_has_{n}" for n in Has._fields])
+    each = left.select(F.explode(candidates(F.col("_left"), has)).alias("c")).select("c.kind", "c.votes", "c.shape")
     rows = [(r["kind"], r["votes"], r["shape"], r["n"]) for r in cut(each.groupBy("kind", "votes", "shape").agg(F.count("*").alias("n"))).collect()]
     counts: dict[tuple[str, str], int] = {}
     for kind, votes, _, n in rows:
@@ -240,12 +260,10 @@ def find(documents: DataFrame, model: SpanModel) -> DataFrame:
     other columns are left out. A text of millions of digits, dots or matches
     takes time in proportion to its length.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = base_spans(text)
-    rows = documents.select("doc_id", *[c.alias(f"found_{k}") for k, c in base.items()], without_base(text).alias("left"))
-    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,votes:string,shape:string>>)")
-    more = F.when(proposes(F.col("left")), accepted(candidates(F.col("left")), model)).otherwise(empty)
-    rows = rows.select("doc_id", *[f"found_{k}" for k in base], more.alias("more"))
+    rows, has = _read(documents, "doc_id")
+    base = base_spans(F.col("_text"), has)
+    rows = rows.select("doc_id", *[f"_has_{n}" for n in Has._fields], *[c.alias(f"found_{k}") for k, c in base.items()], without_base(F.col("_text"), has).alias("_left"))
+    rows = rows.select("doc_id", *[f"found_{k}" for k in base], accepted(candidates(F.col("_left"), has), model).alias("more"))
     return rows.select("doc_id", *[f"found_{k}" for k in base], *[S.plain(F.filter("more", _is(kind))).alias(f"found_{kind}") for kind in PROPOSED])
 
 
