@@ -9,6 +9,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +68,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run inside drop their shuffle files when they have ended, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many parts as there are cores at least, for work that takes long for each byte.
 
@@ -84,7 +98,8 @@ def cut(df: DataFrame) -> DataFrame:
     cost a re-read of shared files, not the rows.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -101,7 +116,8 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

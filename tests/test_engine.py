@@ -242,3 +242,19 @@ def test_data_source_groups_files_and_forgives(spark, tmp_path, monkeypatch):
     assert [r[-2] for r in rows] == ["text 0", "text 1", "text 2", None, "text 4"] and [r[-1] is None for r in rows] == [True, True, True, False, True]
     register(spark)
     assert spark.read.format("pdf").option("mode", "permissive").load(str(tmp_path)).where("_error is null").count() == 4
+
+
+def test_cut_drops_its_shuffle_files(spark, tmp_path):
+    import time
+    from pathlib import Path
+
+    from parchwork.session import cut, stored
+
+    folders = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f for d in folders for f in d.glob("*/shuffle_*.data")}
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    found = cut(spark.range(10_000).repartition(4, "id").groupBy(F.col("id") % 7).count())
+    again = stored(found.repartition(3, "count"), "again")
+    time.sleep(2)
+    assert shuffles() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert found.count() == 7 == again.count() and sum(r["count"] for r in found.collect()) == 10_000
