@@ -192,7 +192,7 @@ def _dealt_entries(rows: DataFrame, plan: Plan, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, packed, _ in _batches(batches):
             x = np.frombuffer(b"".join(packed), dtype=np.float64).reshape(len(packed), -1)
-            scale = np.abs(x).max(axis=1) / 127
+            scale = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(np.float64).tiny)
             codes, scale, unit = np.rint(x / scale[:, None]).astype(np.int8), scale, _unit(packed)
             for t in range(TREES):
                 keys = strings(unit, t, seed)
@@ -393,6 +393,11 @@ def _descents(entries: DataFrame, asked: DataFrame, total: int, dimension: int,
 _GROUP = ["tree", "group", "part", "query_part"]
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, added up from the first component to the last."""
+    return np.sqrt(np.cumsum((x - y) ** 2, axis=1)[:, -1])
+
+
 def _compared(pairs: DataFrame) -> DataFrame:
     """(q, entry, x, y) to (q, entry, score): distances of packed vectors, in double precision."""
 
@@ -400,7 +405,7 @@ def _compared(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.float64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("entry"), pa.array(np.sqrt(((x - y) ** 2).sum(axis=1)))], names=["q", "entry", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("entry"), pa.array(_distances(x, y))], names=["q", "entry", "score"])
 
     return pairs.select("q", "entry", "x", "y").mapInArrow(run, "q long, entry long, score double")
 
@@ -419,7 +424,7 @@ def _against_all(few: DataFrame, entries: DataFrame, k: int) -> DataFrame:
         if len(held):
             x, ids = np.frombuffer(b"".join(held["vector"].to_pylist()), dtype=np.float64).reshape(len(held), -1), held["id"].to_numpy()
             for query, packed in zip(asked["id"].to_pylist(), asked["vector"].to_pylist(), strict=True):
-                distance = np.sqrt(((x - np.frombuffer(packed, dtype=np.float64)) ** 2).sum(axis=1))
+                distance = _distances(x, np.frombuffer(packed, dtype=np.float64))
                 best = np.lexsort((ids, distance))[:k]
                 for column, value in zip(out, (np.full(len(best), query), ids[best], distance[best]), strict=True):
                     column.append(value)
@@ -452,3 +457,18 @@ def _nearest(ok: DataFrame, asked: DataFrame, dimension: int, k: int, reach: flo
     if not short.isEmpty():
         found = found.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(listed(_against_all(short, entries, k + 1)))
     return _ranked(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k)
+
+
+#: Each query's nearest among all, which the forest finds wherever its recall is 1.
+SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""

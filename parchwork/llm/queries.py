@@ -108,4 +108,5 @@ SQL: dict[str, str] = {
     "op4_mix_sources": mixing.SQL,
     "op5_jaccard_join": jaccard.SQL,
     "op6_secret_ledger": secrets.SQL,
+    "op10_hash_prefix_forest": forest.SQL,
 }

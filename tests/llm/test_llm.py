@@ -751,7 +751,7 @@ def test_line_dedup_and_mix_of_odd_tables(spark):
     assert len(mixed) == 5 and all(r.taken % max(r.size, 1) == 0 for r in mixed) and {r.size for r in mixed} == {21, 0}
 
 
-@pytest.mark.parametrize("name", ["op4_mix_sources", "op5_jaccard_join", "op6_secret_ledger", "op8_personal_data"])
+@pytest.mark.parametrize("name", ["op4_mix_sources", "op5_jaccard_join", "op6_secret_ledger", "op8_personal_data", "op10_hash_prefix_forest"])
 def test_sql_gives_the_same_rows(spark, name):
     import duckdb
 
@@ -761,11 +761,16 @@ def test_sql_gives_the_same_rows(spark, name):
     if not os.path.isdir(folder):
         pytest.skip("needs the tables")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    for name_ in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM read_parquet('{folder}/{name_}.parquet')")
     result = con.execute((queries.SQL | {"op8_personal_data": pii.BASE_SQL})[name])
     names = [d[0] for d in result.description if name != "op8_personal_data" or d[0] != "spans"]
     place = [[d[0] for d in result.description].index(n) for n in names]
     plain = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
     other = [tuple(plain(r[i]) for i in place) for r in result.fetchall()]
     mine = [tuple(plain(r[n]) for n in names) for r in queries.QUERIES[name](spark, folder).collect()]
-    assert sorted(mine, key=str) == sorted(other, key=str)
+    if name.startswith("op10"):  # a search that may miss some
+        pairs = [{r[:1] + r[2:] for r in rows} for rows in (mine, other)]
+        assert len(mine) == len(other) and len(pairs[0] & pairs[1]) >= 0.95 * len(other)
+    else:
+        assert sorted(mine, key=str) == sorted(other, key=str)
