@@ -13,7 +13,7 @@ from parchwork.kernels.cmap import CodeRange, parse_cmap
 from parchwork.kernels.document import Document, xref_table
 from parchwork.kernels.encodings import decode_text, expand_differences, glyph_text, glyphmap
 from parchwork.kernels.fonts import cid_widths, overlay, type1_program
-from parchwork.kernels.objects import Indirect, Name, PdfError, Ref, Stream, hex_string, parse_content, parse_value, tagged
+from parchwork.kernels.objects import Indirect, Name, PdfError, Ref, Stream, parse_content, parse_value, tagged
 from parchwork.kernels.vm import Machine, page_spans
 from parchwork.kernels.writer import encoded, file_of, paged_file, stream
 
