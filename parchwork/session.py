@@ -52,7 +52,7 @@ def attach(spark: SparkSession) -> SparkSession:
     """
     for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", str(64 << 20), BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
-        if (spark.conf.get(name) or "").removesuffix("b") == default:
+        if (spark.conf.get(name, default) or "").removesuffix("b") == default:
             spark.conf.set(name, str(value))
     env = spark.sparkContext.environment
     for name, value in WORKER_ENV.items():
