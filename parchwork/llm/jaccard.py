@@ -47,6 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parchwork.llm.caches import begin
 from parchwork.llm.components import components
 from parchwork.llm.shingles import mix, set_key, shingle_sets
 from parchwork.session import cut
@@ -58,7 +59,7 @@ PART_SIGNATURES = 500_000
 #: Signatures that a task packs at a time.
 PACK = 250_000
 #: Members and shingles that a block of a group should hold at most.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1_000_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 500_000
 #: Documents looked at for signatures with very many holders, and the holders among them from which a signature counts as such.
 SAMPLE, HOT = 20_000, 200
 #: Sets that are compared one by one; larger groups are compared through an index.
@@ -418,7 +419,7 @@ def links_within(keys: np.ndarray, labels: np.ndarray, queries: np.ndarray, sets
                     near.append(y)
             join(x, np.array(near, dtype=np.int64))
         return found
-    values, owner = np.concatenate(sets), np.repeat(np.arange(members), sizes)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(members, dtype=np.int32), sizes)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     at = _runs(values)
@@ -489,6 +490,7 @@ def _searched(members: DataFrame, sets: DataFrame, labelled: bool = False) -> Da
             if len(held[0]) > 1:
                 yield held
 
+        begin("shingles")
         out: list[tuple[int, int]] = []
         for keys, labels, queries, shingles in groups():
             found = links_within(np.array(keys, dtype=np.int64), np.array(labels, dtype=np.int64), np.array(queries, dtype=bool), [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in shingles])

@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchwork.llm.caches import begin, keep
+
 #: Characters handled at a time; longer texts go through in steps that carry two letters over.
 STEP = 1_000_000
 #: Largest alphabet for which trigrams are numbered by their letters' places in it.
 SMALL_ALPHABET = 128
 
 _letters: dict[tuple[int, int, int], np.ndarray] = {}
+keep("langid", _letters.clear)
 _is_letter = np.full(0x110000, -1, dtype=np.int8)
 
 
@@ -149,6 +152,7 @@ def train(docs: DataFrame, dimensions: int = 1024, seed: int = 7) -> Profiles:
     schema = "language string, dimension int, value double"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
@@ -183,6 +187,7 @@ def predict(text: Column, profiles: Profiles) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("langid")
         for texts in batches:
             n = len(texts)
             vectors, lettered = bundle(texts.to_pylist(), np.arange(n), n, dimensions, seed)

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parchwork.llm.caches import begin
 from parchwork.session import cut, output_columns
 
 #: Words from which an aligned block is deleted.
@@ -50,6 +51,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("lines")
         types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         names = ["doc_id", "version", "line", "pos", "ord", "words", "single"]
         for batch in batches:

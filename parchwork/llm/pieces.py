@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchwork.llm.caches import begin, keep
+
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -397,6 +399,7 @@ class Transducer:
 
 
 _loaded: dict[str, tuple[bytes, Transducer]] = {}
+keep("pieces", _loaded.clear)
 
 
 def _transducer(model: bytes, name: str) -> Transducer:
@@ -418,6 +421,7 @@ def encode(text: Column, model: bytes) -> Column:
 
     @F.arrow_udf("array<int>")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("pieces")
         compiled = _transducer(model, "model")
         for texts in batches:
             rows = compiled.encode_batch(texts.to_pylist())
@@ -433,6 +437,7 @@ def decode(ids: Column, model: bytes) -> Column:
 
     @F.arrow_udf("string")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin("pieces")
         decode_one = _transducer(model, "model").decode
         for arrays in batches:
             if isinstance(arrays, pa.ChunkedArray):

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from parchwork.llm.caches import begin, keep
+
 #: Words of a shingle.
 WIDTH = 5
 #: Bytes of text hashed at a time; a longer text is a step of its own.
@@ -21,6 +23,7 @@ _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.u
 _BYTE[65:91] = _BYTE[97:123]
 _PLACE = np.random.default_rng(6).integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _tables: dict[int, np.ndarray] = {}
+keep("shingles", _tables.clear)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -82,6 +85,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
     A text of fewer than ``WIDTH`` words has its whole sequence as one shingle.
     """
+    begin("shingles")
     data, offsets = text_buffers(texts)
     lo, rows = 0, len(offsets) - 1
     while lo < rows:

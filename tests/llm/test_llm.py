@@ -367,6 +367,16 @@ def test_jaccard_join_of_odd_tables(spark):
     assert jaccard.near_duplicates(clash.limit(0)).count() == 0
 
 
+def test_workers_keep_the_tables_of_one_operator():
+    from parchwork.llm import caches, shingles
+
+    langid.letter_vector(97, 64, 1)
+    list(shingles.shingle_sets(__import__("pyarrow").array(["a b c d e f"])))
+    assert not langid._letters and shingles._tables
+    caches.begin("langid")
+    assert not shingles._tables
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (203, 201)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
