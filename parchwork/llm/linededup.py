@@ -231,30 +231,44 @@ def _united(deleted: DataFrame) -> DataFrame:
     return gathered.mapInArrow(unite, "d_id long, d_version long, keep array<boolean>, gone array<boolean>, lines long, words long")
 
 
+def _of(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``rows`` whose keys are among those of ``wanted``."""
+    return cut(rows.join(wanted.select(keys).distinct(), keys, "left_semi"))
+
+
 def _gone(readable: DataFrame, min_words: int) -> DataFrame:
-    """``_united`` deletions of all pairs of ``readable`` (doc_id, version, text) that can delete a line."""
+    """``_united`` deletions of all pairs of ``readable`` (doc_id, version, text) that can delete a line.
+
+    Lines are laid out once. What a later round of tries reads is narrowed to
+    runs that are still open: their further holders, the lines of these, and
+    the pairs already tried of documents with such a run.
+    """
     min_words = max(min_words, 1)
+    of_doc = ["doc_id", "version"]
     common = cut(_common(cut(document_lines(readable))))
-    lines = common.select("doc_id", "version", F.explode("rows").alias("r")).select("doc_id", "version", "r.*")
     holders = cut(_holders(common, min_words))
-    open_runs = holders.where(F.col("before") > 0).select("run", "doc_id", "version", "lo", "hi", "before")
-    held = holders.select("run", "number", F.col("doc_id").alias("p_id"), F.col("version").alias("p_version"))
+    lines = cut(common.select(*of_doc, F.explode("rows").alias("r")).select(*of_doc, "r.*"))
+    open_runs = holders.where(F.col("before") > 0).select("run", *of_doc, F.sequence("lo", "hi").alias("left"), "before")
+    held = holders.select("run", "number", *of_doc)
     tried = deleted = None
     tries, step = 0, 1
     while True:
         ahead = open_runs.withColumn("number", F.explode(F.sequence(F.lit(tries + 1), F.least("before", F.lit(tries + step)))))
-        pairs = ahead.join(held, ["run", "number"]).select("doc_id", "version", "p_id", "p_version").distinct()
+        partners = held.select("run", "number", F.col("doc_id").alias("p_id"), F.col("version").alias("p_version"))
+        pairs = ahead.join(partners, ["run", "number"]).select(*of_doc, "p_id", "p_version").distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, pairs.columns, "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         found = cut(_aligned(pairs, lines, min_words))
         deleted = found if deleted is None else deleted.union(found)
-        united = cut(_united(deleted))
         tries, step = tries + step, 2 * step
-        stays = F.exists(F.sequence("lo", "hi"), lambda i: ~F.coalesce(F.get(F.col("gone"), i), F.lit(False)))
-        of_doc = united.select(F.col("d_id").alias("doc_id"), F.col("d_version").alias("version"), "gone")
-        open_runs = cut(open_runs.where(F.col("before") > tries).join(of_doc, ["doc_id", "version"], "left").where(F.col("gone").isNull() | stays).drop("gone"))
+        later = open_runs.where(F.col("before") > tries)
+        now = _united(found.join(later.select(of_doc).distinct(), of_doc, "left_semi")).select(F.col("d_id").alias("doc_id"), F.col("d_version").alias("version"), "gone")
+        left = F.filter("left", lambda i: ~F.coalesce(F.get(F.col("gone"), i), F.lit(False)))
+        open_runs = cut(later.join(now, of_doc, "left").withColumn("left", left).drop("gone").where(F.size("left") > 0))
         if open_runs.isEmpty():
-            return united.drop("gone")
+            return cut(_united(deleted)).drop("gone")
+        held = _of(held.where(F.col("number") > tries), open_runs, ["run"])  # with the open documents themselves
+        lines, tried = _of(lines, held, of_doc), _of(tried, open_runs, of_doc)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -176,6 +176,25 @@ def test_line_dedup_equals_all_earlier_documents(spark):
     assert [(x.text, x.deleted_lines) for x in found] == brute_lines(texts)
 
 
+def test_line_dedup_rounds_read_only_what_is_open(spark, monkeypatch):
+    rng = random.Random(64)
+    pieces_ = [prose(rng, 12) for _ in range(9)]
+    copy = "\n".join(prose(rng, 12) for _ in range(5))
+    texts = ["\n".join(rng.sample(pieces_, len(pieces_))) for _ in range(40)] + [copy] * 60
+    align, read = linededup._aligned, []
+
+    def seen(pairs, lines, min_words):
+        assert "Generate" not in lines._jdf.queryExecution().optimizedPlan().toString()  # laid out once, not in each round
+        read.append((lines.count(), lines.where(F.col("doc_id") >= 40).count()))
+        return align(pairs, lines, min_words)
+
+    monkeypatch.setattr(linededup, "_aligned", seen)
+    found = sorted(linededup.dedup_lines(docs_of(spark, texts)).collect())
+    assert [(x.text, x.deleted_lines) for x in found] == brute_lines(texts)
+    assert len(read) >= 3 and read[0] == (660, 300)
+    assert all(copies == 0 and n <= 360 for n, copies in read[1:])  # copies are settled by their first holder
+
+
 def test_short_lines_of_many_documents_are_no_block(spark):
     rng = random.Random(63)
     short = [prose(rng, 3) for _ in range(4)]
