@@ -195,6 +195,34 @@ def test_line_dedup_rounds_read_only_what_is_open(spark, monkeypatch):
     assert all(copies == 0 and n <= 360 for n, copies in read[1:])  # copies are settled by their first holder
 
 
+def rows_made(spark, what):
+    """Rows that plan nodes described like ``what`` have made in this session."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, total = store.executionsList(), 0
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if what in node.desc():
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                total += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return total
+
+
+def test_pipeline_lays_out_shared_lines_once(spark, tmp_path):
+    rng = random.Random(65)
+    made = []
+    for n in (20, 100):
+        pieces_ = [prose(rng, 12) for _ in range(12)]
+        texts = ["\n".join([*rng.sample(pieces_, 12), prose(rng, 12)]) for _ in range(n)]
+        before = rows_made(spark, "explode(rows")
+        left = corpus_pipeline.line_dedup(spark, docs_of(spark, texts), str(tmp_path))
+        assert sorted((r.doc_id, r.text) for r in left.collect()) == [(i, t) for i, (t, _) in enumerate(brute_lines(texts))]
+        made.append(rows_made(spark, "explode(rows") - before)
+    assert made == [12 * 20, 12 * 100]
+
+
 def test_short_lines_of_many_documents_are_no_block(spark):
     rng = random.Random(63)
     short = [prose(rng, 3) for _ in range(4)]
