@@ -23,33 +23,37 @@ give: merges inside a piece do not depend on what lies outside, so a sequence
 of pieces is the outcome of the merges just if each adjacent pair is.
 
 Inputs are cut where no arc can cross: before a U+2581 that follows something
-else (if no piece holds such a pair), and around characters outside the
-lexicon's alphabet. The parts are composed many at a time, all places of one
-depth together, and words are remembered in a table of bounded size, since
-they recur.
+else (if no piece holds such a pair), around characters outside the lexicon's
+alphabet, and for BPE between groups of characters that pieces never hold side
+by side, such as letters and signs. For unigrams the parts are composed many at
+a time, all places of one depth together. For BPE the composition is made only
+as far as it is searched: no weight is below 0, so the first path of weight 0
+to the end is the shortest. Parts recur; a table of bounded size remembers
+those met lately.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parchwork.llm.caches import begin, keep
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words whose encodings a worker remembers.
-REMEMBERED = 100_000
-#: Slots of the table of pair weights, a power of two.
-PAIRS = 1 << 20
-#: Characters that are composed at a time.
-STEP = 200_000
+#: Characters in half the table of parts that a worker remembers; each entry counts ENTRY more.
+REMEMBERED, ENTRY = 12_000_000, 20
+#: Pairs of pieces whose weights a worker remembers.
+PAIRS = 300_000
+#: Characters that are composed at a time, and of texts that are encoded together.
+STEP, TOGETHER = 200_000, 1_000_000
 INFINITY = np.float32(np.inf)
 
 
@@ -169,6 +173,28 @@ class Lexicon:
         return piece
 
 
+class Recent:
+    """Encodings by text, of bounded size: a full half becomes the old one, and what is asked for again moves to the new."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def missing(self, texts: set[str]) -> list[str]:
+        """Those of ``texts`` to be added; the others can be read from ``young`` until the next call."""
+        if self.size > REMEMBERED:
+            self.young, self.old, self.size = {}, self.young, 0
+        texts = texts.difference(self.young)
+        again = texts.intersection(self.old)
+        self.add(again, map(self.old.__getitem__, again))
+        return list(texts - again)
+
+    def add(self, texts: Collection[str], encoded: Iterable[bytes]) -> None:
+        self.young.update(zip(texts, encoded, strict=True))
+        self.size += sum(map(len, texts)) + ENTRY * len(texts)
+
+
 class Transducer:
     """The compiled composition of normaliser, pieces and byte fallback."""
 
@@ -201,22 +227,48 @@ class Transducer:
         self.normal = [p.type == NORMAL for p in proto.pieces]
         # pieces that merges never give can't be on a path of weight 0
         self.pieces = {p: i for p, i in self.ids.items() if self.kind == UNIGRAM or len(p) == 1 or self._merged(p) == [p]}
-        self.names = {i: p for p, i in self.pieces.items()}
-        self.lexicon = Lexicon(self.pieces)
         self.unknown_weight = np.float32(10) - min((self.scores[i] for i in self.ids.values()), default=np.float32(0))
-        alphabet = set(self.lexicon.alphabet)
-        # where parts may be cut
-        crossed = any(SPACE in piece.lstrip(SPACE) for piece in self.pieces)
-        known = f"[{re.escape(''.join(sorted(alphabet - {SPACE})))}]" if alphabet - {SPACE} else r"(?!)"
-        space = SPACE if SPACE in alphabet else ""
-        if crossed or not space:
-            self.parts = re.compile(f"(?:{known}|{space or '(?!)'})+|.", re.DOTALL)
+        self.is_byte = np.array([p.type == BYTE for p in proto.pieces], dtype=bool)
+        alphabet = {c for piece in self.pieces for c in piece}
+        if self.kind == UNIGRAM:
+            self.lexicon = Lexicon(self.pieces)
         else:
-            self.parts = re.compile(f"{space}+{known}*|{known}+|.", re.DOTALL)
-        #: A text whose words are separated by single blanks is encoded word by word.
-        self.by_word = self.normaliser.dummy and not crossed and bool(space) and (self.fallback or alphabet == set())
-        self._words: dict[str, bytes] = {}
-        self._pair_keys, self._pair_weights = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=np.float32)
+            self.packed = {p: np.int32(i).tobytes() for p, i in self.pieces.items()}
+            # the trie: of each beginning of a piece the longest piece that begins it, and of each piece the next shorter one
+            self.begun: dict[str, str] = {}
+            self.shorter: dict[str, str | None] = {}
+            for piece in sorted(self.pieces, key=len):
+                for end in range(1, len(piece)):
+                    if piece[:end] not in self.begun:
+                        self.begun[piece[:end]] = self.begun.get(piece[: end - 1], piece[:1])
+                self.shorter[piece] = self.begun.get(piece[:-1])
+                self.begun[piece] = piece
+            self._pairs: dict[tuple[str, str], bool] = {}
+        # where parts may be cut; if U+2581 is only at the beginning of pieces, it begins a part
+        if SPACE in alphabet and not any(SPACE in piece.lstrip(SPACE) for piece in self.pieces):
+            runs = self._runs(alphabet - {SPACE})
+            self.parts = re.compile(f"{SPACE}+(?:{runs})?|{runs}|.", re.DOTALL)
+        else:
+            self.parts = re.compile(f"{self._runs(alphabet)}|.", re.DOTALL)
+        self._known = Recent()
+
+    def _runs(self, letters: set[str]) -> str:
+        """A pattern of the strings of ``letters`` that arcs may span; for BPE, pieces link letters side by side in them to groups."""
+        if self.kind == UNIGRAM:
+            groups, alone = [letters] if letters else [], set()
+        else:
+            group = {c: {c} for c in letters}
+            linked = set()
+            for a, b in {piece[i : i + 2] for piece in self.pieces for i in range(len(piece) - 1)}:
+                if a in letters and b in letters:
+                    linked |= {a, b}
+                    small, large = sorted((group[a], group[b]), key=len)
+                    if small is not large:
+                        large |= small
+                        group |= dict.fromkeys(small, large)
+            groups, alone = sorted({id(group[c]): group[c] for c in linked}.values(), key=len, reverse=True), letters - linked
+        listed = lambda s: f"[{re.escape(''.join(sorted(s)))}]"
+        return "|".join([listed(g) + "+" for g in groups] + [listed(alone)] * bool(alone)) or "(?!)"
 
     # -- weights ---------------------------------------------------------------------
 
@@ -235,26 +287,19 @@ class Transducer:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def _border(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Weights of BPE pieces ``right`` after ``left``: 0, or infinity where a merge crosses the border."""
-        keys = left.astype(np.int64) << 32 | right
-        slots = (keys * 0x9E3779B1 ^ keys >> 29) & (PAIRS - 1)
-        weights, missing = self._pair_weights[slots], np.flatnonzero(self._pair_keys[slots] != keys)
-        if len(missing):
-            different, where = np.unique(keys[missing], return_inverse=True)
-            names = [(self.names[k >> 32], self.names[k & 0xFFFFFFFF]) for k in different.tolist()]
-            computed = np.array([0 if self._merged(a + b) == [a, b] else np.inf for a, b in names], dtype=np.float32)
-            weights[missing] = computed[where]
-            slots = (different * 0x9E3779B1 ^ different >> 29) & (PAIRS - 1)
-            last = np.unique(slots[::-1], return_index=True)[1]  # of pairs with one slot, the last stays in both arrays
-            last = len(slots) - 1 - last
-            self._pair_keys[slots[last]], self._pair_weights[slots[last]] = different[last], computed[last]
-        return weights
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether the BPE pieces ``left`` and ``right`` weigh 0 side by side: no merge crosses their border."""
+        if len(self._pairs) >= PAIRS:
+            self._pairs.clear()
+        found = self._pairs[left, right] = self._merged(left + right) == [left, right]
+        return found
 
     # -- shortest paths ----------------------------------------------------------------
 
     def shortest(self, parts: list[str]) -> list[bytes]:
         """Ids, as little-endian 32-bit integers, along the shortest path through the composition with each part."""
+        if self.kind == BPE:
+            return list(map(self._searched, parts))
         out: list[bytes] = []
         held, size = [], 0
         for part in parts:
@@ -265,6 +310,42 @@ class Transducer:
                 held, size = [], 0
         return out + self._shortest(held) if held else out
 
+    def _searched(self, part: str) -> bytes:
+        """The path of weight 0 through a BPE part, depth first and long arcs first.
+
+        Only one such path reaches a place, so a place from which none goes on
+        is never tried again.
+        """
+        found = self.packed.get(part)
+        if found is not None:
+            return found
+        begun, next_shorter, pairs, size = self.begun, self.shorter, self._pairs, len(part)
+        path: list[str] = []
+        dead: set[int] = set()
+        at, last, piece = 0, None, None
+        while at < size:
+            if piece is None:  # the longest that begins here, or a character that is none
+                piece, end = part[at], at + 1
+                while end <= size and (longer := begun.get(part[at:end])) is not None:
+                    piece = longer
+                    end += 1
+            end = at + len(piece)
+            if end not in dead:
+                apart = last is None or pairs.get((last, piece))
+                if apart or (apart is None and self._apart(last, piece)):
+                    path.append(piece)
+                    at, last, piece = end, piece, None
+                    continue
+            piece = next_shorter.get(piece)
+            while piece is None:
+                dead.add(at)
+                piece = path.pop()
+                at -= len(piece)
+                last = path[-1] if path else None
+                piece = next_shorter.get(piece)
+        packed = self.packed
+        return b"".join([packed[p] if p in packed else self._emitted(p) for p in path])
+
     def _shortest(self, parts: list[str]) -> list[bytes]:
         lengths = np.array([len(p) for p in parts])
         starts = np.cumsum(lengths) - lengths
@@ -274,36 +355,25 @@ class Transducer:
         piece = self.lexicon.compose(letters, np.repeat(starts + lengths, lengths) - np.arange(n))
         distance, taken, last = np.full(n + 1, INFINITY), np.zeros(n + 1, dtype=np.int32), np.full(n + 1, -1, dtype=np.int32)
         depth = np.arange(n) - np.repeat(starts, lengths) + 1  # of a place after its character
-        # arcs by depth, then by length: short ones first, but for unigrams, where of equal paths that with the longest last piece counts
+        # arcs by depth, then by length: of equal paths that with the longest last piece counts
         rows, ends = np.nonzero(piece >= 0)
         lone = np.flatnonzero(piece[0, 1:] < 0) + 1  # after a character that is no piece, but for itself
         ids = np.concatenate([piece[rows, ends], np.full(len(lone), self.unknown, dtype=np.int32)])
-        turn = np.concatenate([rows if self.kind == BPE else longest - rows, np.full(len(lone), longest + 1)])
+        turn = np.concatenate([longest - rows, np.full(len(lone), longest + 1)])
         size, ends = np.concatenate([rows + 1, np.ones(len(lone), dtype=np.int64)]), np.concatenate([ends, lone])
         key = depth[ends - 1] * (longest + 2) + turn
         order = np.argsort(key, kind="stable")
         key, ids, size, ends = key[order], ids[order], size[order], ends[order]
         edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
-        least = np.float32(0) if self.kind == BPE else -INFINITY  # no path to a place can weigh less
         for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=True):
-            to, arcs = ends[lo:hi], ids[lo:hi]
-            open_ = distance[to] > least
-            self._relax(to[open_], int(size[lo]), arcs[open_], int(depth[to[0] - 1]), distance, taken, last)
+            self._relax(ends[lo:hi], int(size[lo]), ids[lo:hi], int(depth[ends[lo] - 1]), distance, taken, last)
         return self._walked(parts, codes, starts, lengths, taken, last)
 
     def _relax(self, ends: np.ndarray, length: int, ids: np.ndarray, depth: int, distance: np.ndarray, taken: np.ndarray, last: np.ndarray) -> None:
         """Take the arcs of ``length`` characters into ``ends`` that make a path shorter."""
-        if not len(ends):
-            return
         begins = ends - length
         before = distance[begins] if depth > length else np.zeros(len(ends), dtype=np.float32)
-        if self.kind == UNIGRAM:
-            weight = np.where(ids == self.unknown, self.unknown_weight, -self.scores[ids])
-        else:
-            weight = np.zeros(len(ends), dtype=np.float32)
-            if depth > length:
-                apart = (ids == self.unknown) | (last[begins] == self.unknown) | (last[begins] < 0)  # nothing merges with what is no piece
-                weight[~apart] = self._border(last[begins][~apart], ids[~apart])
+        weight = np.where(ids == self.unknown, self.unknown_weight, -self.scores[ids])
         through = before + weight
         shorter = through < distance[ends]
         ends, ids = ends[shorter], ids[shorter]
@@ -330,11 +400,13 @@ class Transducer:
         out = [plain[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         for i in np.unique(owner[ids < 0]).tolist():  # with characters that are no pieces
             mine = ids[ends[i - 1] if i else 0 : ends[i]].tolist()
-            out[i] = np.array([x for k in mine for x in ([k] if k >= 0 else self._emitted(chr(-1 - k)))], dtype=np.int32).tobytes()
+            out[i] = b"".join([np.int32(k).tobytes() if k >= 0 else self._emitted(chr(-1 - k)) for k in mine])
         return out
 
-    def _emitted(self, character: str) -> list[int]:
-        return [self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
+    def _emitted(self, character: str) -> bytes:
+        """What the byte fallback emits for a character."""
+        ids = [self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
+        return np.array(ids, dtype=np.int32).tobytes()
 
     # -- whole texts -------------------------------------------------------------------
 
@@ -346,31 +418,16 @@ class Transducer:
         for text in texts:
             held.append(text or "")
             size += len(held[-1])
-            if size > STEP:
+            if size > TOGETHER:
                 out += self._encode_some(held)
                 held, size = [], 0
         return out + self._encode_some(held)
 
     def _encode_some(self, texts: list[str]) -> list[bytes]:
-        rows: list[list[str]] = []  # of each text: words, each with the U+2581 before it
-        for text in texts:
-            text = self.normaliser.apply(text)
-            if self.by_word and text[:1] == SPACE and text[-1:] != SPACE and SPACE * 2 not in text:
-                rows.append(text[1:].split(SPACE))
-            else:
-                rows.append(["", *self.parts.findall(text)])
-        plain = [r for r in rows if not r or r[0] != ""]
-        if len(self._words) > REMEMBERED:
-            self._words.clear()
-        words = self._words
-        new = list({w for row in plain for w in row}.difference(words))
-        split = [self.parts.findall(SPACE + w) for w in new]
-        loose = {p for row in rows if row and row[0] == "" for p in row[1:]}
-        parts = list({p for row in split for p in row} | loose)
-        known = dict(zip(parts, self.shortest(parts), strict=True))
-        for word, row in zip(new, split, strict=True):
-            words[word] = known[row[0]] if len(row) == 1 else b"".join([known[p] for p in row])
-        out = [b"".join([words[w] for w in row]) if not row or row[0] != "" else b"".join([known[p] for p in row[1:]]) for row in rows]
+        rows = [self.parts.findall(self.normaliser.apply(text)) for text in texts]
+        new = self._known.missing(set().union(*rows))
+        self._known.add(new, self.shortest(new))
+        out = [b"".join(map(self._known.young.__getitem__, row)) for row in rows]
         return out if self.fallback else [self._joined(x) for x in out]
 
     def _joined(self, packed: bytes) -> bytes:
@@ -416,6 +473,15 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
+def _flat(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' ids in one array, and where each row begins, with the end of the last."""
+    return np.frombuffer(b"".join(rows), dtype=np.int32), np.cumsum([0] + [len(r) // 4 for r in rows])
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray, null: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids), mask=null)
+
+
 def encode(text: Column, model: bytes) -> Column:
     """Ids of a text as an array of integers; null stays null, an empty text gives no ids."""
 
@@ -424,10 +490,7 @@ def encode(text: Column, model: bytes) -> Column:
         begin("pieces")
         compiled = _transducer(model, "model")
         for texts in batches:
-            rows = compiled.encode_batch(texts.to_pylist())
-            ends = np.cumsum([0] + [len(r) // 4 for r in rows])
-            values = pa.array(np.frombuffer(b"".join(rows), dtype=np.int32))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=texts.is_null())
+            yield _lists(*_flat(compiled.encode_batch(texts.to_pylist())), texts.is_null())
 
     return udf(text)
 
@@ -456,14 +519,18 @@ def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
     Equal rows give equal rows, an empty table none, texts are encoded whole,
     however long, and other columns of ``docs`` are left out.
     """
-    compiled = _transducer(model, "model")
-    low, high = (min(compiled.byte_ids), max(compiled.byte_ids)) if compiled.fallback else (-1, -1)
-    encoded = docs.select("doc_id", "text", encode(F.col("text"), model).alias("ids"))
-    checked = encoded.select("doc_id", "text", "ids", decode(F.col("ids"), model).alias("decoded"))
-    return checked.select(
-        "doc_id",
-        "ids",
-        F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"),
-        F.size(F.filter("ids", lambda i: (i >= low) & (i <= high))).cast("long").alias("n_byte_tokens"),
-        (F.col("decoded") == F.col("text")).alias("decoded_ok"),
-    )
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(name, kind) for name, kind in (("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("n_byte_tokens", T.LongType()), ("decoded_ok", T.BooleanType())))])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pieces")
+        compiled = _transducer(model, "model")
+        for batch in batches:
+            texts, null = batch.column("text").to_pylist(), batch.column("text").is_null()
+            ids, ends = _flat(compiled.encode_batch(texts))
+            bytes_before = np.append(0, np.cumsum(compiled.is_byte[ids]))[ends]
+            same = [None if text is None else compiled.decode(ids[a:b].tolist()) == text for text, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            count = lambda before, null=null: pa.array(np.diff(before), pa.int64(), mask=null.to_numpy(zero_copy_only=False))
+            columns = [batch.column("doc_id"), _lists(ids, ends, null), count(ends), count(bytes_before), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(encoded, schema)

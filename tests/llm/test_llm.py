@@ -90,6 +90,49 @@ def test_encoding_with_other_models_equals_the_library(kind, charsmap, fallback,
         assert mine.decode(ids) == library.decode(ids), text
 
 
+def test_encoding_is_cut_only_where_no_merge_crosses():
+    """Signs that only meet themselves, a sign among letters, and long texts that are one part."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto.FromString(small_model(pieces.BPE, False, True, False, True))
+    for rank, name in enumerate(["-", "--", "▁-", "'", "'a", "b'a", ".", "!", "!.", ".!", "!.!", "0"], 200):
+        proto.pieces.add(piece=name, type=pieces.NORMAL, score=-rank - 0.5)
+    model = proto.SerializeToString()
+    mine, library = pieces.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert mine.parts.findall("▁--ab'a!.!0") == ["▁--", "ab'a", "!.!", "0"]
+    rng = random.Random(73)
+    texts = ["".join(rng.choice("--''aabbcd..!!0  \nß中é") for _ in range(rng.randint(1, 40))) for _ in range(1000)]
+    for text, data in zip(texts, mine.encode_batch(texts), strict=True):
+        assert np.frombuffer(data, dtype=np.int32).tolist() == library.encode(text), text
+    for text in ("".join(rng.choice("abcde") for _ in range(50_000)), "a" * 50_000, "-" * 50_001):
+        assert mine.encode(text) == library.encode(text)
+
+
+@with_model
+def test_parts_met_lately_are_not_searched_again(monkeypatch):
+    """A table that overflows forgets rare parts, not those of every batch, and stays bounded."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 1000)
+    mine, library = pieces.Transducer(pieces.read_model(MODEL)), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    searched = Counter()
+    shortest = mine.shortest
+    monkeypatch.setattr(mine, "shortest", lambda parts: searched.update(parts) or shortest(parts))
+    rng = random.Random(74)
+    for _ in range(80):
+        text = " ".join(["often", "heard", *("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(20))])
+        assert mine.encode(text) == library.encode(text)
+    assert searched["▁often"] == searched["▁heard"] == 1 and len(searched) > 1500
+    assert len(mine._known.young) + len(mine._known.old) < 150
+
+
+@with_model
+def test_documents_go_through_python_once(spark):
+    plan = pieces.encode_documents(docs_of(spark, ["a b"]), pieces.read_model(MODEL))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
 @with_model
 def test_encode_documents(spark):
     found = {r.doc_id: r for r in pieces.encode_documents(docs_of(spark, ODD), pieces.read_model(MODEL)).collect()}
