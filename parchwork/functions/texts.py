@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,19 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from parchwork.kernels.blanks import BLANK, compose
 from parchwork.kernels.encodings import decode_text, glyph_text
 from parchwork.kernels.filters import apply_filters
 
-#: White space as the layout rules mean it, as the inside of a character class.
-BLANK = r"\t\n\x0B\f\r    -     　﻿"
-# Spacing modifiers and the combining marks they stand for.
-COMBINING = {
-    "^": "̂", "`": "̀", "¨": "̈", "¯": "̄", "´": "́", "¸": "̧", "ˆ": "̂",
-    "ˇ": "̌", "ˉ": "̄", "ˊ": "́", "ˋ": "̀", "˘": "̆", "˙": "̇", "˚": "̊",
-    "˛": "̨", "˜": "̃", "˝": "̋",
-}
-_MODIFIER = re.compile("([\\^`¨¯´¸ʰ-˿])(.)", re.DOTALL)
-
 
 def blank(text: Column) -> Column:
     """Whether a text holds white space only."""
@@ -35,16 +24,6 @@ def normalize_blanks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"[{BLANK}]+", " "), r"[\x00-\x1F]+", "")
 
 
-def compose(text: str) -> str:
-    """A spacing modifier before a character becomes a combining mark after it (alone, where that is a space); then NFKC."""
-
-    def one(m: re.Match) -> str:
-        mark = COMBINING.get(m[1])
-        return m[0] if mark is None else mark if m[2] == " " else m[2] + mark
-
-    return unicodedata.normalize("NFKC", _MODIFIER.sub(one, text))
-
-
 @F.arrow_udf(StringType())
 def _compose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:

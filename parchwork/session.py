@@ -13,12 +13,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 #: Rows and bytes of an Arrow batch of texts or files.
 BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
+#: Bytes of a file that one part gets where a table is dealt out, and the most parts.
+PART_BYTES, MOST_PARTS = 16 << 20, 10_000
 #: For Python workers: memory that Arrow and the C library let go of returns to the system.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
 
@@ -80,14 +83,27 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """``df`` in as many parts as there are cores at least, for work that takes long for each byte.
 
-    A table in many files or row groups stays as it is; one that comes as a
-    single piece would keep a single core busy.
+    A table in that many files stays as it is. One that comes in fewer is
+    dealt out once, by ``key`` where one is given (else in turn), to parts of
+    about ``PART_BYTES``: of the parts that Spark plans for a file, only those
+    in which a row group begins have rows, so their number says nothing.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    if min(df.rdd.getNumPartitions(), len(df.inputFiles()) or cores) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(2 * cores, min(size // PART_BYTES, MOST_PARTS))
+    return df.repartition(parts, key) if key else df.repartition(parts)
+
+
+def arrow_types(spark: SparkSession, schema: str) -> list[tuple[str, pa.DataType]]:
+    """Names and Arrow types of a schema's columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return [(f.name, f.type) for f in to_arrow_schema(spark.createDataFrame([], schema).schema)]
 
 
 def cut(df: DataFrame) -> DataFrame:

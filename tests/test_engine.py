@@ -1,6 +1,7 @@
 """DataFrame operators against folds in Python, sources and sinks on written files."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,68 @@ def test_cut_drops_its_shuffle_files(spark, tmp_path):
     time.sleep(2)
     assert shuffles() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
     assert found.count() == 7 == again.count() and sum(r["count"] for r in found.collect()) == 10_000
+
+
+#: Queries whose results come from one document each.
+IN_ROWS = ["paper_string"]
+
+
+@pytest.mark.parametrize("name", IN_ROWS)
+def test_documents_stay_in_their_rows(spark, tmp_path, name):
+    """Over a table in as many files as there are cores, nothing is dealt, sorted or gathered: what is written to disk does not grow with spans."""
+    spark.createDataFrame([(i, f"one two-\nthree {i} " * 9) for i in range(80)], "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and not re.search("Exchange|Sort|Window|Aggregate|ExistingRDD", plan)
+
+
+def test_a_file_of_few_row_groups_is_dealt_out(spark, tmp_path):
+    """Spark plans more parts of such a file than have rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from parchwork.session import spread
+
+    rng = random.Random(3)
+    pq.write_table(pa.table({"doc_id": range(400), "text": ["".join(rng.choices("abcdefgh ", k=2000)) for _ in range(400)]}), f"{tmp_path}/d.parquet", row_group_size=200)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        found = spread(spark.read.parquet(f"{tmp_path}/d.parquet"), "doc_id")
+        assert sum(n > 0 for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) >= 4 and found.count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_layout_in_a_row_is_that_of_the_operators(spark):
+    """Pages of odd spans: arrays of one document against tables of spans."""
+    import numpy as np
+
+    from parchwork.kernels import layout as K
+    from parchwork.kernels.blanks import normalize_blanks
+
+    rng, rows, pages = random.Random(12), [], {}
+    for path in map(str, range(40)):
+        for page in (1, 2):
+            x, y, made = 0.0, 100.0, []
+            for i in range(rng.choice([1, 2, 3, 30, 120])):
+                if rng.random() < 0.3:
+                    x, y = rng.choice([0.0, 0.0, 3.0, 7.5, 40.0, 300.0]), y + rng.choice([-3, 4, 5, 5.5, 12, 12, 12, 30, -90])
+                w, size = rng.choice([5.0, 8.25]), rng.choice([10.0, 10.0, 10.0, 12.5, 14.0])
+                made.append((path, page, i, x, y + rng.choice([0, 0, 1, -1]), x + w, y + size, size, rng.random() < 0.6, rng.choice(["a", "Word", "well-", " ", "ΣΑΣ", "x", "known"])))
+                x += w + rng.choice([0, 1, 1.5, 6])
+            rows += made
+            columns = list(zip(*made, strict=True))
+            pages.setdefault(path, []).append(K.Page(K.Spans(*[np.array(c) for c in columns[3:9]], list(columns[9]))))
+    spans = spark.createDataFrame(rows, SPANS)
+    laid = {(r.path, r.page_no, r.span_seq): (r.line_id, r.word_id, r.column_id, r.paragraph_id) for r in L.layout(spans).collect()}
+    mine = {}
+    for path, found in pages.items():
+        for n, p in enumerate(found, 1):
+            words = np.repeat(p.word_id, np.diff(p.words, append=p.n))
+            for i in range(p.n):
+                line = int(p.line_id[i])
+                mine[path, n, i] = (line, int(words[i]), int(p.column_id[line]), int(p.paragraph_id[line]))
+    assert mine == laid
+    for interpolate in (False, True):
+        papers = {r.path: [(s.title, s.paragraphs) for s in r.sections] for r in S.papers(L.layout(spans), compatibility=False, interpolate=interpolate).collect()}
+        assert {path: K.paper(found, normalize_blanks, interpolate) for path, found in pages.items()} == papers
