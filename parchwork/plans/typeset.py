@@ -5,9 +5,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
 from parchwork.kernels.layout import Spans
 
@@ -25,22 +22,3 @@ def spans_of(text: str) -> Spans:
     y = (14 * line + 7 * n % 9).astype(float)
     size = np.where(line % 40 == 0, 14.0, 10.0)
     return Spans(x, y, x + 5 * n, y + size, size, line % 40 == 1, words)
-
-
-def typeset(documents: DataFrame) -> DataFrame:
-    """(path, page_no, span_seq, min_x, min_y, max_x, max_y, font_size, font_bold, text) from (doc_id, text).
-
-    A document's words are cut inside its row and then dealt out once, by path.
-    """
-    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^ \t\n\r\x0b\x0c]+"), F.lit(0))
-    # dealt by path while rows are whole documents: every window and aggregate of a page or document above finds its rows together
-    dealt = documents.select(F.col("doc_id").cast("string").alias("path"), words.alias("_words")).repartition("path")
-    spans = dealt.select("path", F.posexplode("_words").alias("span_seq", "text"))
-    n, line = F.length("text"), F.floor(F.col("span_seq") / WORDS_PER_LINE)
-    before = W.partitionBy("path", "_line").orderBy("span_seq").rowsBetween(W.unboundedPreceding, -1)
-    spans = spans.withColumns({"_line": line, "_step": 5 * n + n % 3})
-    x = F.coalesce(F.sum("_step").over(before), F.lit(0)).cast("double")
-    y = (14 * F.col("_line") + (7 * n) % 9).cast("double")
-    size = F.when(F.col("_line") % 40 == 0, 14.0).otherwise(10.0)
-    placed = spans.select("path", F.lit(1).alias("page_no"), "span_seq", x.alias("min_x"), y.alias("min_y"), (5 * n).cast("double").alias("_w"), size.alias("font_size"), (F.col("_line") % 40 == 1).alias("font_bold"), "text")
-    return placed.select("path", "page_no", "span_seq", "min_x", "min_y", (F.col("min_x") + F.col("_w")).alias("max_x"), (F.col("min_y") + F.col("font_size")).alias("max_y"), "font_size", "font_bold", "text")
