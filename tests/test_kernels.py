@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import zlib
 
 import pytest
@@ -243,3 +244,15 @@ def test_forms_views_and_states():
 def test_errors_show_what_stands_around():
     error = PdfError("odd", 300, b"a" * 300 + b"!" + b"b" * 400)
     assert str(error).count("a") >= 256 and str(error).count("b") >= 250
+
+
+def test_ascii85_takes_long_data_at_once():
+    """Zeros, part groups and 4 MB in a time that a loop over its bytes does not meet."""
+    for n in range(23):
+        for data in (bytes(n), bytes(range(n)), bytes(4) + bytes(range(n)) + bytes(n)):
+            assert F.ascii85_decode(F.ascii85_encode(data)) == data
+    assert F.ascii85_encode(bytes(6)) == b"z!!!~>" and F.ascii85_decode(b"z!!!~>") == bytes(6)
+    data = bytes(range(256)) * 16_000
+    began = time.time()
+    assert F.ascii85_decode(F.ascii85_encode(data)) == data
+    assert time.time() - began < 1
