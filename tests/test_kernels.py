@@ -256,3 +256,12 @@ def test_ascii85_takes_long_data_at_once():
     began = time.time()
     assert F.ascii85_decode(F.ascii85_encode(data)) == data
     assert time.time() - began < 1
+
+
+def test_lzw_is_linear_in_its_data():
+    """Bits that are written no longer move with each code after them."""
+    rng = random.Random(4)
+    data = bytes(rng.choices(b"abcdefgh ", k=1_500_000))
+    began = time.time()
+    assert F.lzw_decode(F.lzw_encode(data)) == data
+    assert time.time() - began < 10
