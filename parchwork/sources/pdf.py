@@ -21,6 +21,7 @@ from parchwork.kernels.encodings import decode_text
 from parchwork.kernels.fonts import Font
 from parchwork.kernels.objects import PdfError, Ref, Stream, parse_content, tagged
 from parchwork.kernels.vm import form_spans, page_spans
+from parchwork.operators.documents import OUT_BYTES, OUT_ROWS
 from parchwork.operators.layout import layout
 from parchwork.operators.sections import paper_text, papers, with_empty
 from parchwork.session import attach
@@ -130,11 +131,11 @@ def _metadata(d: Document, _: dict) -> Iterator[tuple]:
     yield size if isinstance(size, int) else None, _json(tagged(d.catalog)), None if d.info is None else _json(simplify(d, d.info))
 
 
-def _objects(d: Document, _: dict) -> Iterator[tuple]:
+def _objects(d: Document, options: dict) -> Iterator[tuple]:
     for ref in sorted(d._in_use):
         value = d.object(ref)
         kind, sub = type_of(value)
-        yield ref.number, ref.generation, kind, sub, _json(tagged(value)), d.decoded(value) if isinstance(value, Stream) and kind not in ("XRef",) and sub != "Image" else None
+        yield ref.number, ref.generation, kind, sub, _json(tagged(value)), d.decoded(value) if "stream" in options["columns"] and isinstance(value, Stream) and kind not in ("XRef",) and sub != "Image" else None
 
 
 def _simplified(d: Document, _: dict) -> Iterator[tuple]:
@@ -161,7 +162,7 @@ def _form_spans(d: Document, options: dict) -> Iterator[tuple]:
 
 def _pages(d: Document, options: dict) -> Iterator[tuple]:
     for p in d.pages:
-        yield p.number, p.ref.number, p.media_box, _json(tagged(p.resources)), d.content(p) if "content" in options["columns"] else None
+        yield p.number, p.ref.number, p.media_box, _json(tagged(p.resources)) if "resources" in options["columns"] else None, d.content(p) if "content" in options["columns"] else None
 
 
 def _page_ops(d: Document, options: dict) -> Iterator[tuple]:
@@ -212,10 +213,12 @@ KERNELS: dict[str, Callable[[Document, dict], Iterator[tuple]]] = {
 }
 
 
-def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_precedence: str = "newest", metrics: dict | None = None, glyphs: dict | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_precedence: str = "newest", metrics: dict | None = None, glyphs: dict | None = None, columns: tuple[str, ...] | None = None, opened: Callable[[pa.RecordBatch], Iterator[tuple[str, bytes]]] | None = None) -> DataFrame:
     """One of the tables of ``SCHEMAS`` from (path, content), or the named columns of it, in its order.
 
-    What only other columns need is not made.
+    What only other columns need is not made. ``opened`` gives the files of a
+    batch of rows of another shape, one after the other: none is held besides
+    the one that is read.
 
     ``failfast`` raises on a malformed file. ``permissive`` keeps the rows that
     came before the error and adds a column ``_error``: one row with only path
@@ -234,29 +237,39 @@ def read_table(files: DataFrame, name: str, mode: str = "failfast", trailer_prec
     types = pickle.loads(pickle.dumps(_arrow(target)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
-            for path, held in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                content = held.as_py()  # one file at a time
-                rows: list[tuple] = []
+            for path, content in (opened or _held)(batch):
                 try:
                     for row in kernel(Document(content, trailer_precedence), options):
                         rows.append((path, *row))
-                        if len(rows) >= 50_000:
+                        if len(rows) >= OUT_ROWS:
                             yield made(rows)
-                            rows = []
+                            rows, size = [], 0
                 except MALFORMED as error:
                     if mode == "failfast":
                         raise PdfError(f"{path}: {error}") from error
                     rows.append((path, *[None] * (len(every) - 1), str(error)))
-                if rows:
-                    yield made(rows)
+                size += len(content)
+                if size >= OUT_BYTES:  # of files, as rows of small ones go together
+                    if rows:
+                        yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         places = [*wanted, len(every)] if mode == "permissive" else wanted
         full = [r if len(r) > len(every) else (*r, None) for r in rows] if mode == "permissive" else rows
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t) for i, (_, t) in zip(places, types, strict=True)], names=[n for n, _ in types])
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return (files if opened else files.select("path", "content")).mapInArrow(run, schema)
+
+
+def _held(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+        yield path, content.as_py()
 
 
 def _arrow(schema) -> list[tuple[str, pa.DataType]]:

@@ -339,3 +339,41 @@ def test_advances_in_a_row_are_those_of_the_operator(spark):
     odd = [0.0, 0.0000005, 1.0000005, 2.5000015, -1.0000005, 12345.6789015, 1e9 + 0.0000005, 3e12 + 1 / 3, 0.05 * 7, 1e300, *[rng.randint(0, 10**12) / 2e6 for _ in range(300)], *[rng.uniform(-1e6, 1e6) for _ in range(300)]]
     asked = spark.createDataFrame(list(enumerate(odd)), "i int, x double").select("i", F.round("x", 6).alias("x")).orderBy("i")
     assert [r.x for r in asked.collect()] == rounded(np.array(odd), 6).tolist()
+
+
+#: Queries that write a file for each document and read it.
+FILES_IN_ROWS = ["pdf_roundtrip_text"]
+
+
+@pytest.mark.parametrize("name", FILES_IN_ROWS)
+def test_files_are_written_and_read_in_one_worker(spark, tmp_path, name):
+    """Files do not go from one Python worker of a task through Spark to another."""
+    spark.createDataFrame([(i, "one\ntwo") for i in range(80)], "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not {"content", "stream", "resources"} & set(re.findall(r"(\w+)#", plan))
+
+
+def test_rows_of_small_files_go_together(spark):
+    """Many files, one batch, in both modes; and what columns are left out is not decoded."""
+    from parchwork.kernels import writer
+
+    broken = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 1 /MediaBox [0 0 612 792] /Kids [3 0 R] >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", 4: b"<< /Length 4 /Filter /FlateDecode >>\nstream\nnone\nendstream"}
+    made = [(str(i), bytearray(b"none" if i == 7 else paged_file([[[(10.0, 20.0, 10.0, f"text {i}")]]]))) for i in range(300)]
+    table = spark.createDataFrame([*made, ("broken", bytearray(writer.file_of(broken, 1)))], "path string, content binary").coalesce(1)
+    found = read_table(table, "text_spans", mode="permissive", columns=("path", "text")).collect()
+    assert {r.path: r.text for r in found} == {str(i): None if i == 7 else f"text {i}" for i in range(300)} | {"broken": None} and sum(r._error is not None for r in found) == 2
+    assert read_table(table.where("path <> '7'"), "objects", columns=("path", "value")).where("path = 'broken'").count() == 4
+
+
+def test_widths_and_texts_of_whole_strings():
+    """Strings are read at once where that gives the same, else code by code."""
+    from parchwork.kernels.document import Document
+    from parchwork.kernels.fonts import Font
+    from parchwork.kernels.objects import Name
+
+    document = Document(paged_file([[]]))
+    for widths, differences in (([500] * 256, []), ([333.3, 500, 7] * 85, []), ([250] * 9, [65, "fi", "Euro", "space"])):
+        font = Font(document, {"Subtype": "Type1", "BaseFont": "Own", "Encoding": {"BaseEncoding": "WinAnsiEncoding", "Differences": [Name(d) if isinstance(d, str) else d for d in differences]}, "FirstChar": 0, "Widths": widths})
+        data = bytes(range(256)) * 2
+        assert font.decode(data) == "".join(font.encoding.get(c, "") for c in data)
+        assert font.measure(data) == sum(float(widths[c]) if c < len(widths) else 0.0 for c in data)
